@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontamination, exact_dedup, packing, simhash, token_files
+from . import decontamination, exact_dedup, language_id, licenses, line_dedup, lm_scoring, packing, pii, simhash, token_files
 from .common import table
 
 
@@ -31,6 +31,27 @@ def op6_token_files(spark, sf_dir):
     return token_files.read_token_files(segments, by_rank)
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lm_scoring.score(table(spark, sf_dir, "documents"), good)
+
+
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_pii(spark, sf_dir):
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
 ORACLES = {
