@@ -1,7 +1,370 @@
-"""The library's queries by name, each with its DuckDB counterpart."""
+"""The library's queries by name over the standard tables; oracles.py has their DuckDB counterparts."""
 
 from __future__ import annotations
 
-FLAGSHIP = "ocr_lines"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import distance, strings
+from ..functions import geometry as geo
+from ..operators import correction as co
+from ..operators import layout, raster
+from ..operators import lexicon as lx
+from ..operators import text as tx
+from ..sources import lines as src
+from .oracles import ORACLES
+
+PAGE = layout.PAGE
+FLAGSHIP = "paragraph_text"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(name: str) -> F.Column:
+    return F.round(name, 6).alias(name) if isinstance(name, str) else F.round(name, 6)
+
+
+def _roles(spark, sf_dir):
+    return layout.line_roles(src.document_lines(spark, sf_dir))
+
+
+def ocr_lines(spark, sf_dir):
+    return src.document_lines(spark, sf_dir)
+
+
+def line_geometry(spark, sf_dir):
+    """Angle, width, height, centre and deskewed extent of each line under its page's skew."""
+    lines = src.document_lines(spark, sf_dir)
+    df = layout.with_geometry(lines).join(layout.page_skew(lines), PAGE)
+    low, high = geo.deskewed_range(F.col("skew"))
+    return df.select(*PAGE, "line_no", *map(_r, ("angle", "width", "height", "cy")), _r(low).alias("x_min"), _r(high).alias("x_max"), _r(geo.deskewed_center(F.col("skew"))).alias("x_center"))
+
+
+def line_roles(spark, sf_dir):
+    return _roles(spark, sf_dir).select(*PAGE, "line_no", "role")
+
+
+def page_summary(spark, sf_dir):
+    return layout.page_summary(_roles(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+def page_skew(spark, sf_dir):
+    return layout.page_skew(src.document_lines(spark, sf_dir)).select(*PAGE, _r("skew"))
+
+
+def text_skew(spark, sf_dir):
+    return layout.text_skew(src.document_lines(spark, sf_dir)).select(*PAGE, _r("skew"))
+
+
+def page_orientation(spark, sf_dir):
+    """Orientation of pages whose documents lie turned by a quarter or half for two remainders of their id."""
+    lines = src.document_lines(spark, sf_dir)
+    turned = lines.withColumns(
+        {
+            "tr_x": F.when(F.col("doc_id") % 5 == 1, F.col("tl_x")).when(F.col("doc_id") % 5 == 2, F.col("tl_x") - 0.4).otherwise(F.col("tr_x")),
+            "tr_y": F.when(F.col("doc_id") % 5 == 1, F.col("tl_y") + 0.4).when(F.col("doc_id") % 5 == 2, F.col("tl_y")).otherwise(F.col("tr_y")),
+        }
+    )
+    return layout.orientation(turned)
+
+
+def band_skew(spark, sf_dir):
+    return layout.band_skew(src.document_lines(spark, sf_dir)).select(*PAGE, "band", _r("y_min"), _r("y_max"), _r("skew"))
+
+
+def column_gutter(spark, sf_dir):
+    return layout.column_gutter(_roles(spark, sf_dir)).select(*PAGE, _r("gutter"))
+
+
+def column_assign(spark, sf_dir):
+    return layout.column_assign(_roles(spark, sf_dir)).select(*PAGE, "line_no", "side")
+
+
+def band_columns(spark, sf_dir):
+    return layout.band_columns(src.document_lines(spark, sf_dir)).select(*PAGE, "line_no", "band", "side")
+
+
+def paragraphs(spark, sf_dir):
+    df = layout.paragraphs(layout.column_assign(_roles(spark, sf_dir)), layout.GROUP)
+    return df.select(*layout.GROUP, "line_no", F.col("place").cast("long").alias("place"), F.col("para").cast("long").alias("para"))
+
+
+def _ordered(spark, sf_dir):
+    return layout.reading_order(_roles(spark, sf_dir))
+
+
+def reading_order(spark, sf_dir):
+    return _ordered(spark, sf_dir).select(*PAGE, "line_no", F.col("reading_order").cast("long").alias("reading_order"), F.col("place").cast("long").alias("place"))
+
+
+def paragraph_text(spark, sf_dir):
+    return tx.paragraph_text(_ordered(spark, sf_dir)).withColumn("reading_order", F.col("reading_order").cast("long"))
+
+
+def sidecar_text(spark, sf_dir):
+    return tx.sidecar_text(tx.paragraph_text(_ordered(spark, sf_dir)))
+
+
+def _second_pass(lines: DataFrame) -> DataFrame:
+    """Every third line again, a little lower, and lines of a second column beside narrow pages."""
+    down = lines.where(F.col("line_no") % 3 == 0)
+    return down.withColumns(
+        {f"{c}_{k}": F.col(f"{c}_{k}") + F.when(F.col("line_no") % 2 == 0, 0.0 if k == "x" else 0.004).otherwise(1.0 if k == "x" else 0.0) for c in geo.CORNERS for k in "xy"}
+    )
+
+
+def merge_passes(spark, sf_dir):
+    lines = src.document_lines(spark, sf_dir)
+    out = layout.merge_passes(lines, _second_pass(lines))
+    return out.select(*PAGE, "line_no", "pass", _r("tl_x"), _r("tl_y"))
+
+
+def line_iou(spark, sf_dir):
+    """Overlap of each line of the second pass with the line it came from."""
+    lines = src.document_lines(spark, sf_dir)
+    corners = [f"{c}_{k}" for c in geo.CORNERS for k in "xy"]
+    second = _second_pass(lines).select(*PAGE, "line_no", *[F.col(c).alias(f"s_{c}") for c in corners])
+    return lines.join(second, [*PAGE, "line_no"]).select(*PAGE, "line_no", F.round(geo.iou("", "s_"), 6).alias("iou"))
+
+
+def page_text(spark, sf_dir):
+    return tx.page_text(_ordered(spark, sf_dir))
+
+
+def searchability(spark, sf_dir):
+    return tx.searchability(tx.page_text(_ordered(spark, sf_dir))).withColumn("ratio", F.round("ratio", 6))
+
+
+def _page_sizes(spark, sf_dir):
+    """Physical pages with a size from their id: a third lie landscape."""
+    pages = src.document_lines(spark, sf_dir).select(*PAGE).distinct()
+    wide = (F.col("doc_id") + F.col("page_idx")) % 3 == 0
+    return pages.select(
+        "doc_id",
+        F.col("page_idx").alias("original_idx"),
+        F.when(wide, 842.0).otherwise(595.0).alias("width"),
+        F.when(wide, 595.0).otherwise(842.0).alias("height"),
+    )
+
+
+def letterbox(spark, sf_dir):
+    p = _page_sizes(spark, sf_dir).withColumns({"px_w": 1000 + F.col("doc_id") % 900, "px_h": 1400 + F.col("original_idx") * 10})
+    p = p.withColumn("g", geo.fit(F.col("width"), F.col("height"), F.col("px_w"), F.col("px_h"), F.lit(300.0 / 72)))
+    return p.select("doc_id", "original_idx", *[_r(F.col(f"g.{k}")).alias(k) for k in ("draw_x", "draw_y", "draw_w", "draw_h")], _r(geo.split_scale(F.col("width"), F.col("height"), F.lit(300.0 / 72))).alias("split_scale"))
+
+
+def split_pages(spark, sf_dir):
+    return layout.split_pages(_page_sizes(spark, sf_dir)).select("doc_id", "original_idx", "part", "width", F.col("logical_idx").cast("long").alias("logical_idx"))
+
+
+def draw_list(spark, sf_dir):
+    g = geo.identity(F.lit(595.0), F.lit(842.0), F.lit(1.0))
+    df = tx.draw_list(_ordered(spark, sf_dir), g)
+    return df.select(*PAGE, F.col("reading_order").cast("long").alias("reading_order"), F.col("place").cast("long").alias("place"), "text", *map(_r, ("x", "y", "angle", "width", "font_size")))
+
+
+def tokens(spark, sf_dir):
+    return tx.tokens(src.document_lines(spark, sf_dir))
+
+
+def token_affixes(spark, sf_dir):
+    return tx.token_affixes(src.document_lines(spark, sf_dir))
+
+
+def line_words(spark, sf_dir):
+    """Words of each line with their place in it."""
+    df = src.document_lines(spark, sf_dir)
+    w = df.select(*PAGE, "line_no", F.posexplode(strings.word_starts(F.col("text"))).alias("word_idx", "w"))
+    return w.select(*PAGE, "line_no", "word_idx", "w.word", "w.start")
+
+
+def digit_fix(spark, sf_dir):
+    cores = lx.corpus_cores(_table(spark, sf_dir, "documents")).select("core").distinct()
+    return cores.where(strings.is_suspicious(F.col("core"))).select("core", strings.digits_to_letters(F.col("core")).alias("fixed"))
+
+
+def citations(spark, sf_dir):
+    """Cited names in lines to which a citation of their first capitalised word is added."""
+    df = src.document_lines(spark, sf_dir)
+    name = F.regexp_extract("text", r"(\p{Lu}\p{L}+)", 1)
+    cited = F.when(F.col("line_no") % 2 == 0, F.concat("text", F.lit(" ("), name, F.lit(", 1999)"))).otherwise(F.concat("text", F.lit(" ["), name, F.lit(" 2001]")))
+    return df.where(name != "").select(*PAGE, "line_no", F.explode(strings.citations(cited)).alias("name"))
+
+
+def name_index(spark, sf_dir):
+    return tx.name_index(tx.capitalised(src.document_lines(spark, sf_dir)))
+
+
+def lexicon(spark, sf_dir):
+    return lx.lexicon(lx.corpus_cores(_table(spark, sf_dir, "documents")))
+
+
+def _cores(spark, sf_dir):
+    cores = lx.corpus_cores(_table(spark, sf_dir, "documents"))
+    return cores, lx.lexicon(cores)
+
+
+def valid_words(spark, sf_dir):
+    cores, lex = _cores(spark, sf_dir)
+    return lx.valid(cores, lex, "core").select("lang", "core")
+
+
+def _word_pairs(spark, sf_dir):
+    """Words of benchmark items beside words of the lexicon with the same first two letters and about the same length."""
+    b = _table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("a")).where(F.length("a").between(4, 9)).distinct()
+    lex = lexicon(spark, sf_dir).select(F.col("word_lower").alias("b")).where(F.length("b").between(4, 9)).distinct()
+    return b.join(lex, (F.substring("a", 1, 2) == F.substring("b", 1, 2)) & (F.abs(F.length("a") - F.length("b")) <= 1))
+
+
+def edit_distance(spark, sf_dir):
+    return _word_pairs(spark, sf_dir).select("a", "b", F.levenshtein("a", "b").alias("distance"))
+
+
+def weighted_edit(spark, sf_dir):
+    costs = distance.confusion_map(distance.confusion_pairs())
+    return _word_pairs(spark, sf_dir).select("a", "b", distance.weighted_levenshtein(F.col("a"), F.col("b"), costs).alias("tenths"))
+
+
+def cosine_pairs(spark, sf_dir):
+    """Cosine of each embedding with the first of its label."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("f"))
+    return e.join(first, "label").select("vec_id", "label", F.round(distance.cosine(F.col("embedding"), F.col("f")), 6).alias("cosine"))
+
+
+def protected_match(spark, sf_dir):
+    """Words of a page against its long capitalised words."""
+    lines = src.document_lines(spark, sf_dir)
+    cores = tx.token_affixes(lines).where("core <> ''").select(*PAGE, "core")
+    names = tx.capitalised(lines).where(F.length("name") >= 14)
+    return co.protected_match(cores, names)
+
+
+def _open_cores(spark, sf_dir):
+    cores, lex = _cores(spark, sf_dir)
+    norm = co.normalised(cores.select("lang", "core"), lex)
+    return norm.where("state = 'open'").select("lang", F.col("norm").alias("core")).distinct(), lex
+
+
+def grapheme_candidates(spark, sf_dir):
+    todo, lex = _open_cores(spark, sf_dir)
+    return co.grapheme_candidates(todo, lex).select("lang", "core", "candidate")
+
+
+def subst_candidates(spark, sf_dir):
+    todo, lex = _open_cores(spark, sf_dir)
+    return co.substitution_candidates(co.substitutions(todo), lex).select("lang", "core", "candidate")
+
+
+def pair_candidates(spark, sf_dir):
+    todo, lex = _open_cores(spark, sf_dir)
+    return co.pair_candidates(co.substitutions(todo), lex).select("lang", "core", "candidate")
+
+
+def diacritic_matches(spark, sf_dir):
+    todo, lex = _open_cores(spark, sf_dir)
+    return co.diacritic_matches(todo, lex)
+
+
+def best_candidate(spark, sf_dir):
+    todo, lex = _open_cores(spark, sf_dir)
+    return co.best_candidate(co.optical_candidates(todo, lex).unionByName(co.diacritic_matches(todo, lex)))
+
+
+def split_merged(spark, sf_dir):
+    cores, lex = _cores(spark, sf_dir)
+    return co.split_merged(cores, lex)
+
+
+def _lang_tokens(spark, sf_dir):
+    langs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return tx.tokens(src.document_lines(spark, sf_dir)).join(langs, "doc_id")
+
+
+def corrected_tokens(spark, sf_dir):
+    _, lex = _cores(spark, sf_dir)
+    return co.correct_tokens(_lang_tokens(spark, sf_dir), lex).select(*PAGE, "line_no", "tok_idx", "token", "corrected")
+
+
+def context_candidate(spark, sf_dir):
+    """Choice between equally near candidates by the vectors of the words around the first occurrence."""
+    todo, lex = _open_cores(spark, sf_dir)
+    vecs = lx.vectors(lex, _table(spark, sf_dir, "embeddings"))
+    found = _lang_tokens(spark, sf_dir).withColumn("core", strings.core(F.col("token")))
+    contexts = co.first_contexts(found.join(todo, ["lang", "core"], "left_semi"))
+    return co.best_candidate(co.optical_candidates(todo, lex).unionByName(co.diacritic_matches(todo, lex)), contexts, vecs)
+
+
+def hyphen_repair(spark, sf_dir):
+    """Paragraph lines of which every fourth ends with a broken word."""
+    ordered = _ordered(spark, sf_dir).select(*PAGE, "reading_order", "place", "text")
+    broken = ordered.withColumn("text", F.when(F.col("place") % 4 == 0, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
+    keys = [*PAGE, "reading_order"]
+    fixes = co.hyphen_words(broken, keys).withColumn("fixed", F.lower("merged"))
+    out = co.hyphen_repair(broken, keys, fixes)
+    return out.select(*PAGE, F.col("reading_order").cast("long").alias("reading_order"), F.col("place").cast("long").alias("place"), "text")
+
+
+def corrected_pages(spark, sf_dir):
+    """Page text after correction of every token."""
+    t = corrected_tokens(spark, sf_dir)
+    line = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "corrected"))), lambda s: s["corrected"])
+    lines = t.groupBy(*PAGE, "line_no").agg(F.array_join(line, " ").alias("text"))
+    order = _ordered(spark, sf_dir).select(*PAGE, "line_no", "reading_order", "place")
+    return tx.page_text(order.join(lines, [*PAGE, "line_no"]))
+
+
+def _rasters(spark, sf_dir):
+    """A gray page of 160 by 60 for each page row: bright paper, a dark edge, ink that leaves a gutter."""
+    p = _table(spark, sf_dir, "pages").select("page_id", F.lit(160).alias("w"), F.lit(60).alias("h"))
+    x, y = F.col("i") % 160, F.expr("i div 160")
+    p = p.withColumn("edge", (4 + F.col("page_id") % 7).cast("int")).withColumn("mid", (74 + F.col("page_id") % 9).cast("int"))
+    from_seq = F.sequence(F.lit(0), F.lit(160 * 60 - 1))
+
+    def value(i):
+        x, y = i % 160, F.floor(i / 160)
+        dark = (x < F.col("edge")) | (y < 3) | (x >= 155) | (y >= 57)
+        ink = ((x * 7 + y * 3) % 11 == 0) & (F.abs(x - F.col("mid")) > 3)
+        return F.when(dark, 40).when(ink, 90).otherwise(240).cast("smallint")
+
+    return p.select("page_id", "w", "h", F.transform(from_seq, value).alias("px"))
+
+
+def ink_gutter(spark, sf_dir):
+    return raster.ink_gutter(_rasters(spark, sf_dir)).select("page_id", F.col("gutter").cast("long").alias("gutter"))
+
+
+def crop_box(spark, sf_dir):
+    box = raster.crop_box(_rasters(spark, sf_dir))
+    return box.select("page_id", *[F.col(c).cast("long").alias(c) for c in ("left", "right", "top", "bottom")])
+
+
+def crop_decision(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages").select("page_id")
+    w, h = F.lit(595.0), F.lit(842.0)
+    cw, ch = 595.0 - (F.col("page_id") % 40) * 10, 842.0 - (F.col("page_id") % 60) * 9
+    return p.select("page_id", raster.crop_decision(w, h, cw, ch).alias("decision"), raster.upscale_factor(F.lit(1.0), -(F.col("page_id") % 5) / 10.0).alias("upscale"))
+
+
+def top_labels(spark, sf_dir):
+    """The ten surest event types of each user as labels, and whether the first is a picture's."""
+    e = _table(spark, sf_dir, "events")
+    labels = e.groupBy("user_id", "event_type").agg(F.max("value").alias("confidence"))
+    labels = labels.select(F.col("user_id").alias("page_id"), F.col("event_type").alias("label"), "confidence")
+    top = raster.top_labels(labels, 3)
+    return top.select("page_id", "label", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"), raster.is_photographic(F.col("label"), F.col("confidence")).alias("photo"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        ocr_lines, line_geometry, line_roles, page_summary, page_skew, text_skew, page_orientation, band_skew, column_gutter, column_assign,
+        band_columns, paragraphs, reading_order, paragraph_text, sidecar_text, page_text, merge_passes, line_iou, searchability, letterbox,
+        split_pages, draw_list, tokens, token_affixes, line_words, digit_fix, citations, name_index, lexicon, valid_words, edit_distance,
+        weighted_edit, cosine_pairs, protected_match, grapheme_candidates, subst_candidates, pair_candidates, diacritic_matches,
+        best_candidate, context_candidate, split_merged, corrected_tokens, hyphen_repair, corrected_pages, ink_gutter, crop_box,
+        crop_decision, top_labels,
+    )
+}
