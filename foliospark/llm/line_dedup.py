@@ -22,8 +22,6 @@ lines of one another; an empty table gives no rows; result columns replace those
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,47 +31,51 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, staged
 
-_END = re.compile(r"[.!?]+\s+|\n\s*")
+_END = re.compile(rb"[.!?]+[ \t-\r]+|\n[ \t-\r]*")
+_ODD_SPACE = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 _LAST = (1 << 63) - 1
 
 
-def pieces(text: str) -> list[int]:
-    """Where the lines of a text start, and its length; a line holds the white space after it."""
-    cuts = [0, *(m.end() for m in _END.finditer(text))]
-    return cuts if cuts[-1] == len(text) else [*cuts, len(text)]
+def pieces(raw: bytes) -> list[int]:
+    """Where the lines of a text in UTF-8 start, and its length; a line holds the white space after it."""
+    cuts = [0, *(m.end() for m in _END.finditer(raw))]
+    return cuts if cuts[-1] == len(raw) else [*cuts, len(raw)]
 
 
-def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and words of each line; white space within a line doesn't count."""
-    cuts = pieces(text)
-    words = [text[a:b].split() for a, b in zip(cuts, cuts[1:])]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in words), np.uint64, len(words))
-    return hashes, np.fromiter(map(len, words), np.int64, len(words))
+def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
+    """Hash and words of each line; runs of (ASCII) white space within a line count as one space."""
+    raw = text.encode() if text else b""
+    cuts = pieces(raw)
+    lines = [raw[a:b].strip() for a, b in zip(cuts, cuts[1:])]
+    if any(x in raw for x in _ODD_SPACE):
+        lines = [b" ".join(x.split()) for x in lines]
+    return [xxhash.xxh3_64_intdigest(x) for x in lines], [x.count(b" ") + 1 if x else 0 for x in lines]
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: first line, line after the last, hash of the fingerprint, hash of all its lines."""
+def windows(hashes: np.ndarray, words: np.ndarray, lengths: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of each window in documents of the given numbers of lines, one after another: document, first line
+    in it, line after the last, hash of the fingerprint, hash of all its lines."""
     total = np.concatenate(([0], np.cumsum(words)))
     stop = np.searchsorted(total, total[:-1] + min_words)
-    n = int(np.searchsorted(stop, len(words), side="right"))
-    n = min(n, len(words))
-    first, stop = np.arange(n), stop[:n]
-    if not n:
-        return first, stop, hashes[:0], hashes[:0]
+    ends = np.cumsum(lengths)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    first = np.flatnonzero(stop <= ends[doc])
+    stop, doc = stop[first], doc[first]
     reach = stop - first
-    low = hashes[:n].copy()
-    mixed = np.zeros(n, np.uint64)
+    low = hashes[first]
+    mixed = np.zeros(len(first), np.uint64)
     prime = np.uint64(0x9E3779B97F4A7C15)
-    live = first
+    live = np.arange(len(first))
     step = 0
     while len(live):  # as many rounds as the longest window has lines
-        h = hashes[live + step]
+        h = hashes[first[live] + step]
         low[live] = np.minimum(low[live], h)
         m = (mixed[live] ^ h) * prime
         mixed[live] = m ^ (m >> np.uint64(29))
         step += 1
         live = live[reach[live] > step]
-    return first, stop, low, mixed
+    start = (ends - lengths)[doc]
+    return doc, first - start, stop - start, low, mixed
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -84,12 +86,12 @@ def hashed(docs: DataFrame) -> DataFrame:
     """(doc, tie, hashes, words): the documents as lists of line hashes; tie tells rows with one doc_id apart."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines = [line_hashes(t or "") for t in batch.column(1).to_pylist()]
+        lines = [line_hashes(t) for t in batch.column(1).to_pylist()]
         ends = pa.array(np.cumsum([0, *(len(h) for h, _ in lines)]), pa.int32())
-        h = np.concatenate([h for h, _ in lines])
-        w = np.concatenate([w for _, w in lines])
+        h = np.array([x for h, _ in lines for x in h], np.uint64)
+        w = pa.array([x for _, w in lines for x in w], pa.int32())
         return pa.record_batch(
-            [batch.column(0), batch.column(2), pa.ListArray.from_arrays(ends, _signed(h)), pa.ListArray.from_arrays(ends, pa.array(w, pa.int32()))],
+            [batch.column(0), batch.column(2), pa.ListArray.from_arrays(ends, _signed(h)), pa.ListArray.from_arrays(ends, w)],
             ["doc", "tie", "hashes", "words"],
         )
 
@@ -102,10 +104,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for i in range(batch.num_rows):
-        h = batch.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-        yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), h, batch.column(3)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+def _windows_of(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, ...]:
+    flat = batch.column(2).flatten().to_numpy().view(np.uint64)
+    words = batch.column(3).flatten().to_numpy().astype(np.int64)
+    return windows(flat, words, batch.column(2).value_lengths().to_numpy().astype(np.int64), min_words)
 
 
 def repeated_windows(lines: DataFrame, min_words: int) -> DataFrame:
@@ -113,22 +115,23 @@ def repeated_windows(lines: DataFrame, min_words: int) -> DataFrame:
     wide = "fp long, mixed long, doc long, tie long, first int, stop int"
 
     def select(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(windows(h, w, min_words)[2]) for _, _, h, w in _each(batch)]
-        return pa.record_batch([_signed(np.concatenate(found))], ["fp"])
+        doc, _, _, low, _ = _windows_of(batch, min_words)
+        new = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])))[: len(low)]
+        return pa.record_batch([_signed(low[new])], ["fp"])
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-        for doc, tie, h, w in _each(batch):
-            first, stop, low, mixed = windows(h, w, min_words)
-            _, where, back = np.unique(mixed, return_index=True, return_inverse=True)
-            later = where[back] < first if len(first) else np.zeros(0, bool)
-            for c, x in zip(cols, (low.view(np.int64), mixed.view(np.int64), np.full(len(first), doc), np.full(len(first), tie), first, stop, later)):
-                c.append(x)
+        doc, first, stop, low, mixed = _windows_of(batch, min_words)
+        order = np.lexsort((first, mixed, doc))
+        own = np.zeros(len(doc), bool)
+        a, b = order[1:], order[:-1]
+        own[a] = (doc[a] == doc[b]) & (mixed[a] == mixed[b])
+        ids, ties = (batch.column(i).to_numpy()[doc] for i in (0, 1))
+        cols = [low.view(np.int64), mixed.view(np.int64), ids, ties, first, stop, own]
         kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
-        return pa.record_batch([pa.array(np.concatenate(c), k) for c, k in zip(cols, kinds)], ["fp", "mixed", "doc", "tie", "first", "stop", "own"])
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["fp", "mixed", "doc", "tie", "first", "stop", "own"])
 
-    prints = arrow_map(lines, select, "fp long")  # once a document
-    # a fingerprint repeated within one document only is caught by `own` below
+    # a fingerprint that comes back within one document only may pass here; the windows tell
+    prints = arrow_map(lines, select, "fp long")
     shared = prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     every = arrow_map(lines, emit, wide + ", own boolean")
     within = every.where("own").select("doc", "tie", "first", "stop")
@@ -145,37 +148,33 @@ def dedup(docs: DataFrame, min_words: int = 30) -> DataFrame:
     lines = staged(hashed(docs), "lines")
     # a document's windows are as many as its lines at most
     marks = repeated_windows(lines, min_words).groupBy("doc", "tie").agg(F.collect_list("first").alias("__first"), F.collect_list("stop").alias("__stop"))
-    keyed = _keyed(docs)
-    joined = keyed.join(marks, (F.col("__doc") == F.col("doc")) & F.col("__tie").eqNullSafe(F.col("tie")), "left").select(*docs.columns, "__first", "__stop")
+    counts = lines.select("doc", "tie", F.size("hashes").cast("long").alias("n_lines"), F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w).alias("n_words"))
+    counts = counts.distinct().join(marks, ["doc", "tie"], "left")
+    joined = _keyed(docs).join(counts, (F.col("__doc") == F.col("doc")) & (F.col("__tie") == F.col("tie"))).select(*docs.columns, "n_lines", "n_words", "__first", "__stop")
     kept = docs.columns
     schema = T.StructType([*(T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields), *(T.StructField(c, T.LongType()) for c in own)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         place = batch.schema.get_field_index
-        texts, counts = [], []
-        firsts, stops = batch.column(place("__first")), batch.column(place("__stop"))
-        for i, text in enumerate(batch.column(place("text")).to_pylist()):
-            if not text:
-                texts.append(text)
-                counts.append((0, 0, 0, 0))
-                continue
-            cuts = pieces(text)
-            n = len(cuts) - 1
-            if firsts[i].as_py():
-                cover = np.zeros(n + 1, np.int64)
-                np.add.at(cover, firsts[i].values.to_numpy(zero_copy_only=False), 1)
-                np.add.at(cover, stops[i].values.to_numpy(zero_copy_only=False), -1)
+        text, firsts, stops = (batch.column(place(c)) for c in ("text", "__first", "__stop"))
+        deleted, words = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        marked = np.flatnonzero(firsts.is_valid().to_numpy(zero_copy_only=False)).tolist()
+        if marked:
+            texts = text.to_pylist()
+            for i in marked:
+                raw = texts[i].encode()
+                cuts = pieces(raw)
+                cover = np.zeros(len(cuts), np.int64)
+                np.add.at(cover, firsts[i].values.to_numpy(), 1)
+                np.add.at(cover, stops[i].values.to_numpy(), -1)
                 gone = np.cumsum(cover[:-1]) > 0
-                left = [text[cuts[j] : cuts[j + 1]] for j in np.flatnonzero(~gone)]
-                out = "".join(left)
-                all_words, out_words = len(text.split()), sum(len(x.split()) for x in left)
-                texts.append(out)
-                counts.append((n, int(gone.sum()), all_words, all_words - out_words))
-            else:
-                texts.append(text)
-                counts.append((n, 0, len(text.split()), 0))
-        cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(place(c)) for c in kept]
-        cols += [pa.array(c, pa.int64()) for c in zip(*counts)]
+                spans = list(zip(cuts, cuts[1:], gone.tolist()))
+                texts[i] = b"".join([raw[a:b] for a, b, g in spans if not g]).decode()
+                deleted[i] = gone.sum()
+                words[i] = sum(len(raw[a:b].split()) for a, b, g in spans if g)
+            text = pa.array(texts, pa.string())
+        cols = [text if c == "text" else batch.column(place(c)) for c in kept]
+        cols += [batch.column(place("n_lines")), pa.array(deleted), batch.column(place("n_words")), pa.array(words)]
         return pa.record_batch(cols, [*kept, *own])
 
     return arrow_map(joined, run, schema)

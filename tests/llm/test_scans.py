@@ -205,8 +205,9 @@ def line_brute(docs, min_words):
     """All windows of all documents, compared by content."""
     lines, first = {}, {}
     for n, (d, t) in enumerate(docs):
-        cuts = [0, *(m.end() for m in re.finditer(r"[.!?]+\s+|\n\s*", t or ""))]
-        parts = [(t or "")[a:b] for a, b in zip(cuts, [*cuts[1:], len(t or "")])]
+        raw = (t or "").encode()
+        cuts = [0, *(m.end() for m in re.finditer(rb"[.!?]+\s+|\n\s*", raw))]
+        parts = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
         lines[n] = [p for p in parts if p]
     spans = defaultdict(list)
     for n, (d, _) in enumerate(docs):
@@ -227,7 +228,7 @@ def line_brute(docs, min_words):
     for n, (d, t) in enumerate(docs):
         key = float("inf") if d is None else d
         gone = {k for i, j, w, own in spans[n] if own or first[w] < key for k in range(i, j)}
-        out.append((d, None if t is None else "".join(p for k, p in enumerate(lines[n]) if k not in gone), len(lines[n]), len(gone)))
+        out.append((d, None if t is None else b"".join(p for k, p in enumerate(lines[n]) if k not in gone).decode(), len(lines[n]), len(gone)))
     return Counter(out)
 
 
