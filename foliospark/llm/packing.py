@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, staged
-from .tokens import PieceEncoder
+from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -76,14 +76,10 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
     """Tokenises (doc_id, text) and cuts documents longer than capacity; one row per piece."""
-    box: list[PieceEncoder] = []
-
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not box:
-            box.append(PieceEncoder(tokenizer_path))
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
-        for d, ids in zip(batch.column(0).to_pylist(), box[0].encode(batch.column(1).to_pylist())):
+        for d, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1).to_pylist())):
             ids += end
             for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]

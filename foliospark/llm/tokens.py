@@ -11,14 +11,16 @@ read as ordinary text.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-
-import numpy as np
+from array import array
+from functools import lru_cache
+from itertools import islice
 
 #: Code points on which the split below and the library agree: printable ASCII with tab, newline
-#: and carriage return, Latin-1 to Latin Extended-B without the dotted capital I (whose lower case
+#: and carriage return, Latin-1 and Latin Extended-A without the dotted capital I (whose lower case
 #: has two characters), and general punctuation without separators and format characters.
-_PLAIN = [(9, 10), (13, 13), (32, 126), (0xA1, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC)]
+_PLAIN = [(9, 10), (13, 13), (32, 126), (0xA1, 0x12F), (0x131, 0x17F), (0x2010, 0x2027), (0x20AC, 0x20AC)]
 
 
 def _ranges(prefix: str) -> str:
@@ -38,14 +40,30 @@ _SPLITS = {
 }
 
 
+#: Byte-level vocabularies spell bytes as letters: printable ones of Latin-1 as themselves, the rest
+#: by the letters from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_ALONE = "\0"
+
+
+def _bytes(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class PieceEncoder:
     """Encodes texts to little-endian uint32 bytes.
 
-    `memo_pieces` bounds the memo; beyond it unseen pieces are encoded afresh for each batch, so
-    memory stays bounded and results never change.
+    Words between spaces are looked up in one memo, the pieces of unseen words in another, and the
+    pieces unseen there go to the library's model.  A space before a visible character
+    always starts a new piece, so words are independent.  Both memos are bounded, so memory is too,
+    and results never change.
     """
 
-    def __init__(self, path: str, memo_pieces: int = 600_000):
+    def __init__(self, path: str, memo_words: int = 600_000, memo_pieces: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,47 +71,69 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        norm = self.tok.normalizer
-        self.lower = norm is not None
+        self.lower = self.tok.normalizer is not None
         self.split = _SPLITS["word" if self.lower else "byte"].findall
-        self.memo: dict[str, bytes] = {}
-        self.memo_pieces = memo_pieces
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+        self.memo_words, self.memo_pieces = memo_words, memo_pieces
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _library(self, text: str) -> bytes:
+        return _bytes(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _independent(self, text: str) -> list[str]:
+        """The text in parts whose ids are independent; _ALONE marks those that do not follow a space."""
+        if self.lower:
+            return text.lower().split()
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return [_ALONE + p for p in self.split(text)]
+        words = text.split(" ")
+        words[0] = _ALONE + words[0]
+        return words
+
+    def _cut(self, word: str) -> list[str]:
+        if word[0] == _ALONE:
+            return self.split(word[1:])
+        return self.split(word if self.lower else " " + word)
+
+    def _unseen(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not in the memo."""
+        cut = {w: self._cut(w) for w in words}
+        pieces = self.pieces
+        todo = [p for p in {p for ps in cut.values() for p in ps} if p not in pieces]
+        # a piece is what the pre-tokenizer hands to the model, but for its spelling of bytes
+        model = self.tok.model.tokenize
+        fresh = {p: _bytes([t.id for t in model(p.encode().decode("latin-1").translate(_BYTE_LETTERS))]) for p in todo}
+        found = {w: b"".join([pieces[p] if p in pieces else fresh[p] for p in ps]) for w, ps in cut.items()}
+        pieces.update(islice(fresh.items(), max(0, self.memo_pieces - len(pieces))))
+        self.words.update(islice(found.items(), max(0, self.memo_words - len(self.words))))
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as uint32 bytes; null counts as empty."""
-        out: list[bytes | None] = [None] * len(texts)
-        pieces: dict[int, list[str]] = {}
-        memo = self.memo
-        fresh: dict[str, bytes] = {}
-        unseen: set[str] = set()
-        for i, text in enumerate(texts):
+        get, out, holes, unseen = self.words.get, [], [], set()
+        for text in texts:
             if not text:
-                out[i] = b""
+                out.append([b""])
             elif _ODD.search(text):
-                out[i] = self._library([text])[0]
+                out.append([self._library(text)])
             else:
-                pieces[i] = found = self.split(text.lower() if self.lower else text)
-                unseen.update(found)
-        unseen.difference_update(memo)
+                words = self._independent(text)
+                ids = list(map(get, words))
+                out.append(ids)
+                if None in ids:
+                    at = [i for i, x in enumerate(ids) if x is None]
+                    missing = [words[i] for i in at]
+                    unseen.update(missing)
+                    holes.append((ids, at, missing))
         if unseen:
-            todo = list(unseen)
-            fresh = dict(zip(todo, self._library(todo)))
-            room = self.memo_pieces - len(memo)
-            if room >= len(fresh):
-                memo.update(fresh)
-                fresh = {}
-            elif room > 0:
-                for k in todo[:room]:
-                    memo[k] = fresh[k]
-        if fresh:
-            for i, found in pieces.items():
-                out[i] = b"".join([memo[p] if p in memo else fresh[p] for p in found])
-        else:
-            for i, found in pieces.items():
-                out[i] = b"".join(map(memo.__getitem__, found))
-        return out
+            found = self._unseen(unseen)
+            for ids, at, missing in holes:
+                for i, w in zip(at, missing):
+                    ids[i] = found[w]
+        return [b"".join(ids) for ids in out]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """The process's encoder of a vocabulary: Python workers serve many tasks, and load and learn once."""
+    return PieceEncoder(path)
