@@ -54,6 +54,11 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PHRASES = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())
+_TEMPLATES = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for label, t in licenses.TEMPLATES)
+
 ORACLES = {
     "op2_exact_dedup": r"""
 WITH n AS (
@@ -61,5 +66,43 @@ WITH n AS (
 ), g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.norm) AS text_sha256
 FROM n JOIN g ON n.norm = g.norm
+""",
+    "op3_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS name, {_WORDS.format("text")} AS w FROM benchmark),
+win AS (SELECT name, least(len(w), 10) AS k, unnest(range(greatest(len(w) - 10, 0) + 1)) AS i, w FROM b WHERE len(w) > 0),
+grams AS (SELECT DISTINCT name, k, array_to_string(list_slice(w, i + 1, i + k), ' ') AS gram FROM win),
+ks AS (SELECT DISTINCT k FROM grams),
+places AS (SELECT doc_id, k, w, unnest(range(greatest(len(w) - k + 1, 0))) AS i FROM d, ks),
+hits AS (
+  SELECT doc_id, p.i, p.k, name FROM (SELECT doc_id, i, k, array_to_string(list_slice(w, i + 1, i + k), ' ') AS gram FROM places) p
+  JOIN grams g ON p.k = g.k AND p.gram = g.gram
+),
+cover AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, name FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op7_license_scan": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+phrases AS (SELECT * FROM (VALUES {_PHRASES}) v(p, label)),
+templates AS (SELECT * FROM (VALUES {_TEMPLATES}) v(t, label)),
+spots AS (SELECT doc_id, p, label, w, unnest(range(greatest(len(w) - len(p) + 1, 0))) AS i FROM d, phrases WHERE list_has_all(w, p)),
+places AS (SELECT doc_id, label, i FROM spots WHERE list_slice(w, i + 1, i + len(p)) = p),
+base AS (
+  SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id
+),
+blocks AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 33, 0) + 1, 32)) AS s FROM d WHERE len(w) > 0),
+found AS (
+  SELECT doc_id, label, len(list_intersect(list_slice(w, s + 1, s + 64), t)) / len(t)::DOUBLE AS c
+  FROM blocks, templates WHERE len(list_intersect(list_slice(w, s + 1, s + 64), t)) >= ceil(0.9 * len(t))
+),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM found GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  greatest(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, coalesce(best, 0.0::DOUBLE)) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """,
 }
