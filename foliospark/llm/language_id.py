@@ -109,11 +109,10 @@ class Models:
 def _em(p: np.ndarray, starts: np.ndarray, doc: np.ndarray, n: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Shares (documents by languages) after EM from given shares, whose zeros stay; and the log likelihood less the words' own scale."""
     for _ in range(steps):
-        r = p * share[doc]
-        r /= r.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(r, starts, axis=0) / n[:, None]
-    total = np.log(np.maximum((p * share[doc]).sum(axis=1), 1e-30))
-    return share, np.add.reduceat(total, starts)
+        each = p / np.einsum("ij,ij->i", p, share[doc])[:, None]
+        share = (share * np.add.reduceat(each, starts, axis=0, dtype=np.float64) / n[:, None]).astype(np.float32)
+    total = np.log(np.maximum(np.einsum("ij,ij->i", p, share[doc]), np.float32(1e-30)))
+    return share, np.add.reduceat(total, starts, dtype=np.float64)
 
 
 def mixtures(models: Models, texts: list[str | None], max_languages: int = 3, price: float = 3.0, steps: int = 8) -> np.ndarray:
@@ -136,8 +135,8 @@ def mixtures(models: Models, texts: list[str | None], max_languages: int = 3, pr
     starts = np.cumsum(n) - n
     scale = logs.max(axis=1, keepdims=True)
     # no word may rule a language out: a floor for names, code and noise
-    p = np.maximum(np.exp(logs - scale), 1e-6)
-    single = np.add.reduceat(np.log(p), starts, axis=0)
+    p = np.maximum(np.exp(logs - scale), np.float32(1e-6))
+    single = np.add.reduceat(np.log(p), starts, axis=0, dtype=np.float64)
     best_one = single.argmax(axis=1)
     every = np.arange(len(rows))
     chosen = np.zeros((len(rows), k), np.float32)
