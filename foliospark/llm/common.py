@@ -43,11 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+def staged(df: DataFrame, tag: str, compression: str = "zstd", row_group_bytes: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", compression)
+    if row_group_bytes:  # for rows so large that a reader should hold few of them
+        writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.size.row.check.min", 8)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

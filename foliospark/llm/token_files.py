@@ -18,153 +18,177 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, slices, staged
-from .tokens import PieceEncoder
+from .tokens import encoder
 
 MAGIC = b"FTOK1"
 #: Byte lengths of the four ids of each control byte.
-CONTROL_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
-
-
-def encode_block(ranks: np.ndarray) -> bytes:
-    """One document's ranks as a block."""
-    n = len(ranks)
-    ranks = ranks.astype(np.uint32)
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-n // 4) * 4, np.uint8)
-    padded[:n] = extra
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    as_bytes = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = as_bytes[np.arange(4) <= extra[:, None]]
-    return np.uint32(n).astype("<u4").tobytes() + control.tobytes() + data.tobytes()
-
-
-def decode_block(buffer: bytes, at: int = 0) -> tuple[np.ndarray, int]:
-    """The ranks of the block at a place, and the place after it."""
-    n = int(np.frombuffer(buffer, "<u4", 1, at)[0])
-    m = -(-n // 4)
-    control = np.frombuffer(buffer, np.uint8, m, at + 4)
-    lengths = CONTROL_LENGTHS[control].reshape(-1)[:n]
-    ends = np.cumsum(lengths)
-    size = int(ends[-1]) if n else 0
-    data = np.zeros(size + 3, np.uint32)
-    data[:size] = np.frombuffer(buffer, np.uint8, size, at + 4 + m)
-    starts = ends - lengths
-    out = data[starts]
-    for k in (1, 2, 3):
-        more = lengths > k
-        if not more.any():
-            break
-        out[more] |= data[starts[more] + k] << np.uint32(8 * k)
-    return out, at + 4 + m + size
-
-
-_SEGMENT = "file_no int, seq int, doc_ids array<long>, n_tokens long, body binary"
+CONTROL_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
+
+
+CONTROL_TOTALS = CONTROL_LENGTHS.sum(axis=1, dtype=np.int64)
+_SHIFTS = np.array([0, 2, 4, 6], np.uint8)
+
+
+def encode_blocks(ranks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Blocks of documents that stand one after another in ranks, sizes ids each."""
+    width = 4 if len(ranks) and ranks.max() > 0xFFFF else 2  # of which bytes are taken
+    ranks = ranks.astype(f"<u{width}")
+    extra = (ranks > 0xFF).astype(np.uint8)
+    if width == 4:
+        extra += (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF)
+    groups = -(-sizes // 4)
+    group_ends, ends = np.cumsum(groups), np.cumsum(sizes)
+    padded = np.zeros(4 * int(groups.sum()), np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(4 * (group_ends - groups) - (ends - sizes), sizes)] = extra
+    control = np.bitwise_or.reduce(padded.reshape(-1, 4) << _SHIFTS, axis=1).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, width)[np.arange(width, dtype=np.uint8) <= extra[:, None]].tobytes()
+    data_ends = np.concatenate(([0], np.cumsum(extra, dtype=np.int64) + np.arange(1, len(extra) + 1)))
+    heads = sizes.astype("<u4").tobytes()
+    rows = zip((group_ends - groups).tolist(), group_ends.tolist(), data_ends[ends - sizes].tolist(), data_ends[ends].tolist())
+    return [b"".join((heads[4 * i : 4 * i + 4], control[a:b], data[c:d])) for i, (a, b, c, d) in enumerate(rows)]
+
+
+def decode_blocks(body: bytes, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All ranks of the blocks from a place to the end of body, and how many each document has."""
+    controls, datas, sizes = [], [], []
+    while at < len(body):
+        n = int.from_bytes(body[at : at + 4], "little")
+        control = np.frombuffer(body, np.uint8, -(-n // 4), at + 4)
+        at += 4 + len(control)
+        size = int(CONTROL_TOTALS[control].sum()) - (4 * len(control) - n)  # absent ids show as one byte each
+        controls.append(control)
+        datas.append(body[at : at + size])
+        sizes.append(n)
+        at += size
+    sizes = np.array(sizes, np.int64)
+    if not sizes.sum():
+        return np.empty(0, np.uint32), sizes
+    groups = -(-sizes // 4)
+    there = np.arange(4 * int(groups.sum())) - np.repeat(4 * (np.cumsum(groups) - groups), 4 * groups) < np.repeat(sizes, 4 * groups)
+    lengths = CONTROL_LENGTHS[np.concatenate(controls)].reshape(-1)[there]
+    data = np.frombuffer(b"".join(datas) + bytes(3), np.uint8)
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    out = data[starts].astype(np.uint32)
+    for k in range(1, int(lengths.max())):
+        more = np.flatnonzero(lengths > k)
+        out[more] |= data[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out, sizes
+
+
+_SEGMENT = "file_no int, seq int, inner long, doc_ids array<long>, n_tokens long, body binary"
 _SEGMENT_ARROW = pa.schema(
-    [("file_no", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("body", pa.binary())]
+    [("file_no", pa.int32()), ("seq", pa.int32()), ("inner", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("body", pa.binary())]
 )
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids binary): uint32 little-endian ids with the end id."""
-    box: list[PieceEncoder] = []
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a binary column one after another, and how many each value has."""
+    values = column.to_pylist()
+    kind = np.dtype(kind)
+    return np.frombuffer(b"".join(values), kind), np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
+
+
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, kind: str = "<u4") -> DataFrame:
+    """(doc_id, ids binary, counts binary): little-endian ids of the given numpy type, with the end id.
+
+    The first row of each slice of documents has the slice's count of every id, as int64.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not box:
-            box.append(PieceEncoder(tokenizer_path))
-        end = np.array([end_id], "<u4").tobytes()
-        ids = [x + end for x in box[0].encode(batch.column(1).to_pylist())]
-        return pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        end = np.array([end_id], kind).tobytes()
+        ids = encoder(tokenizer_path, np.dtype(kind).char).encode(batch.column(1).to_pylist())
+        column = pa.array([x + end for x in ids], pa.binary())
+        counts = np.bincount(_flat(column, kind)[0], minlength=vocabulary).astype("<i8").tobytes()
+        return pa.record_batch([batch.column(0), column, pa.array([counts] + [None] * (len(ids) - 1), pa.binary())], ["doc_id", "ids", "counts"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow_map(source, run, "doc_id long, ids binary, counts binary", 4_000_000)
 
 
-def ranks_by_frequency(tokens: DataFrame, vocabulary: int) -> np.ndarray:
-    """Ids by falling count over all tokens, ties by id: at most `vocabulary` entries, whatever the corpus."""
+def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+    """Count of every id over all tokens; only the column of counts is read."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                total[: len(got)] += got
+                total += np.frombuffer(x.as_buffer(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
 
-    counted = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    summed = tokens.select("counts").where("counts is not null").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(vocabulary, np.int64)
-    for r in counted:
-        total[r.id] = r.n
-    return np.lexsort((np.arange(vocabulary), -total)).astype(np.uint32)
+    total[summed.column(0).to_numpy()] = summed.column(1).to_numpy()
+    return total
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, file_bytes: int = 64 << 20) -> tuple[DataFrame, np.ndarray]:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, file_bytes: int = 32 << 20) -> tuple[DataFrame, np.ndarray]:
     """Writes the corpus in ascending doc_id order; returns the stored segments and the ids by rank.
 
-    A segment row (file_no, seq, doc_ids, n_tokens, body) holds one stretch of a file in the format
-    above with the ids of its documents; (file_no, seq) follows doc_id order.  Segments are binary
-    values of a table because Spark's writers reach any store and commit atomically when executors
-    are lost.  A file is made of about file_bytes of plain ids.
+    A segment row (file_no, seq, inner, doc_ids, n_tokens, body) holds one stretch of a file in the
+    format above with the ids of its documents and the file's tokens in front of it; (file_no, seq)
+    follows doc_id order.  Segments are binary values of a table because Spark's writers reach any
+    store and commit atomically when executors are lost.  A file takes about file_bytes of plain ids.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    tokens = staged(tokenised(docs, tokenizer_path, end_id), "tokens")
-    by_rank = ranks_by_frequency(tokens, Tokenizer.from_file(tokenizer_path).get_vocab_size())
+    vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size()
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    tokens = staged(tokenised(docs, tokenizer_path, end_id, vocabulary, kind), "tokens", "lz4")
+    counts = id_counts(tokens, vocabulary)
+    by_rank = np.lexsort((np.arange(vocabulary), -counts)).astype(np.uint32)  # ties by id
     rank_of = np.empty(len(by_rank), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)  # as long as the vocabulary
 
-    size = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    files = max(1, -(-size // file_bytes))
+    files = max(1, -(-int(counts.sum()) * np.dtype(kind).itemsize // file_bytes))
     key = F.col("doc_id").asc_nulls_first()
-    ordered = tokens.repartitionByRange(files, key).sortWithinPartitions(key, F.crc32("ids"))
+    ordered = tokens.select("doc_id", "ids").repartitionByRange(files, key).sortWithinPartitions(key, F.crc32("ids"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file_no, seq = TaskContext.get().partitionId(), 0
+        file_no, seq, inner = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for part in slices(batch, 16_000_000):
-                ids = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column(1)]
-                body = MAGIC + b"".join([encode_block(shared.value[x]) for x in ids])
-                row = [file_no, seq, part.column(0).to_pylist(), sum(map(len, ids)), body]
+            for part in slices(batch, 500_000):
+                ids, sizes = _flat(part.column(1), kind)
+                body = MAGIC + b"".join(encode_blocks(shared.value[ids], sizes))
+                row = [file_no, seq, inner, part.column(0).to_pylist(), len(ids), body]
                 yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, _SEGMENT_ARROW)], _SEGMENT_ARROW)
-                seq += 1
+                seq, inner = seq + 1, inner + len(ids)
 
-    return staged(ordered.mapInArrow(encode, _SEGMENT), "token-files"), by_rank
+    return staged(ordered.mapInArrow(encode, _SEGMENT), "token-files", "lz4", 8 << 20), by_rank
 
 
 def read_token_files(segments: DataFrame, by_rank: np.ndarray) -> DataFrame:
     """Decodes the files: doc_id, start (ids before the document), n_tokens, ids_crc32."""
     spark = segments.sparkSession
-    # one row per file of file_bytes
+    # one row per file, that is the corpus over file_bytes
     totals = sorted((r.file_no, r.n) for r in segments.groupBy("file_no").agg(F.sum("n_tokens").alias("n")).collect())
     before, fronts = 0, []
     for file_no, n in totals:
         fronts.append((file_no, before))
         before += n
     front = spark.createDataFrame(fronts, "file_no int, front long")
-    w = Window.partitionBy("file_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    heads = segments.select("file_no", "seq", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("inner"))
-    placed = heads.join(front, "file_no").select("file_no", "seq", (F.col("front") + F.col("inner")).alias("at"))
     table = spark.sparkContext.broadcast(by_rank)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs, body, start in zip(*(batch.column(i) for i in range(3))):
-                body, start, rows = body.as_py(), start.as_py(), []
+                body, start = body.as_py(), start.as_py()
                 if body[: len(MAGIC)] != MAGIC:
                     raise ValueError("not a token file")
-                at = len(MAGIC)
-                for d in docs.as_py():
-                    ranks, at = decode_block(body, at)
-                    rows.append((d, start, len(ranks), zlib.crc32(table.value[ranks].astype("<u4").tobytes())))
-                    start += len(ranks)
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    joined = segments.select("file_no", "seq", "doc_ids", "body").join(placed, ["file_no", "seq"])
-    return joined.select("doc_ids", "body", "at").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                ranks, sizes = decode_blocks(body, len(MAGIC))
+                ids = memoryview(table.value[ranks].astype("<u4").tobytes())
+                ends = np.cumsum(sizes)
+                crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+                cols = [docs.values, pa.array(start + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())]
+                yield pa.record_batch(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    joined = segments.join(F.broadcast(front), "file_no").select("doc_ids", "body", (F.col("front") + F.col("inner")).alias("at"))
+    return joined.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")

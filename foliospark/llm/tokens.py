@@ -10,6 +10,7 @@ read as ordinary text.
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import unicodedata
@@ -45,17 +46,26 @@ _SPLITS = {
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _ALONE = "\0"
+#: White space that is not one space or one line break.
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 
 
-def _bytes(ids: list[int]) -> bytes:
-    found = array("I", ids)
+def _spelled(piece: str) -> str:
+    """A piece in the letters of a byte-level vocabulary."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", chr(_BYTE_LETTERS[32]))
+    return piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
+def _bytes(ids: list[int], code: str) -> bytes:
+    found = array(code, ids)
     if sys.byteorder == "big":
         found.byteswap()
     return found.tobytes()
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian uint32 bytes.
+    """Encodes texts to little-endian bytes of uint32 ids, or of uint16 ids with code "H".
 
     Words between spaces are looked up in one memo, the pieces of unseen words in another, and the
     pieces unseen there go to the library's model.  A space before a visible character
@@ -63,7 +73,7 @@ class PieceEncoder:
     and results never change.
     """
 
-    def __init__(self, path: str, memo_words: int = 600_000, memo_pieces: int = 300_000):
+    def __init__(self, path: str, memo_words: int = 800_000, memo_pieces: int = 300_000, code: str = "I"):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -73,22 +83,21 @@ class PieceEncoder:
         self.tok.encode_special_tokens = True
         self.lower = self.tok.normalizer is not None
         self.split = _SPLITS["word" if self.lower else "byte"].findall
-        self.memo_words, self.memo_pieces = memo_words, memo_pieces
+        self.memo_words, self.memo_pieces, self.code = memo_words, memo_pieces, code
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
-        return _bytes(self.tok.encode(text, add_special_tokens=False).ids)
+        return _bytes(self.tok.encode(text, add_special_tokens=False).ids, self.code)
 
     def _independent(self, text: str) -> list[str]:
         """The text in parts whose ids are independent; _ALONE marks those that do not follow a space."""
         if self.lower:
             return text.lower().split()
-        if "  " in text or text[0] == " " or text[-1] == " ":
+        if text[0] == " " or text[-1] == " " or any(x in text for x in _RUNS):
             return [_ALONE + p for p in self.split(text)]
-        words = text.split(" ")
-        words[0] = _ALONE + words[0]
-        return words
+        # a lone line break is a piece, and the word behind it follows no space
+        return (_ALONE + text.replace("\n", f" {_ALONE}\n {_ALONE}")).split(" ")
 
     def _cut(self, word: str) -> list[str]:
         if word[0] == _ALONE:
@@ -102,14 +111,24 @@ class PieceEncoder:
         todo = [p for p in {p for ps in cut.values() for p in ps} if p not in pieces]
         # a piece is what the pre-tokenizer hands to the model, but for its spelling of bytes
         model = self.tok.model.tokenize
-        fresh = {p: _bytes([t.id for t in model(p.encode().decode("latin-1").translate(_BYTE_LETTERS))]) for p in todo}
+        fresh = {p: _bytes([t.id for t in model(_spelled(p))], self.code) for p in todo}
         found = {w: b"".join([pieces[p] if p in pieces else fresh[p] for p in ps]) for w, ps in cut.items()}
         pieces.update(islice(fresh.items(), max(0, self.memo_pieces - len(pieces))))
         self.words.update(islice(found.items(), max(0, self.memo_words - len(self.words))))
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as uint32 bytes; null counts as empty."""
+        """Ids of each text; null counts as empty."""
+        # a batch makes millions of strings and no cycles: the collector would only walk them again and again
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         get, out, holes, unseen = self.words.get, [], [], set()
         for text in texts:
             if not text:
@@ -134,6 +153,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, code: str = "I") -> PieceEncoder:
     """The process's encoder of a vocabulary: Python workers serve many tasks, and load and learn once."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, code=code)
