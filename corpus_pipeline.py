@@ -33,7 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(groups.withColumnRenamed("doc_id", "stays"), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select(*docs.columns)
+    return docs.join(groups.withColumnRenamed("doc_id", "__stays"), F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

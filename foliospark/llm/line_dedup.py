@@ -149,8 +149,9 @@ def dedup(docs: DataFrame, min_words: int = 30) -> DataFrame:
     # a document's windows are as many as its lines at most
     marks = repeated_windows(lines, min_words).groupBy("doc", "tie").agg(F.collect_list("first").alias("__first"), F.collect_list("stop").alias("__stop"))
     counts = lines.select("doc", "tie", F.size("hashes").cast("long").alias("n_lines"), F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w).alias("n_words"))
-    counts = counts.distinct().join(marks, ["doc", "tie"], "left")
-    joined = _keyed(docs).join(counts, (F.col("__doc") == F.col("doc")) & (F.col("__tie") == F.col("tie"))).select(*docs.columns, "n_lines", "n_words", "__first", "__stop")
+    counts = counts.distinct().join(marks, ["doc", "tie"], "left").withColumnsRenamed({"doc": "__of", "tie": "__own_tie"})
+    same = (F.col("__doc") == F.col("__of")) & (F.col("__tie") == F.col("__own_tie"))
+    joined = _keyed(docs).join(counts, same).select(*docs.columns, "n_lines", "n_words", "__first", "__stop")
     kept = docs.columns
     schema = T.StructType([*(T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields), *(T.StructField(c, T.LongType()) for c in own)])
 

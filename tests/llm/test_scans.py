@@ -11,11 +11,11 @@ from hypothesis import strategies as st
 
 from foliospark.llm import language_id, licenses, line_dedup, lm_scoring, pii, queries
 
-DOCS = "doc_id long, text string, lang string, score double, n_words string"
+DOCS = "doc_id long, text string, lang string, score double, n_words string, doc long, tie string, first int"
 
 
 def rows(spark, texts):
-    return spark.createDataFrame([(i, t, None, 1.0, "clash") for i, t in texts], DOCS)
+    return spark.createDataFrame([(i, t, None, 1.0, "clash", 7, "x", 0) for i, t in texts], DOCS)
 
 
 EDGE = [(0, None), (1, ""), (2, " \n "), (3, "Some words. More of them! " * 3000), (None, "Some words."), (3, "x" * 40_000), (4, "!!! ... 123")]
