@@ -14,6 +14,10 @@ import argparse
 from dataclasses import dataclass, field
 
 
+#: A list for one's own words; every page is compared with each.
+MAX_CUSTOM_WORDS = 10_000
+
+
 @dataclass(frozen=True)
 class Config:
     input: str
@@ -63,11 +67,14 @@ def run(spark, config: Config) -> None:
     ordered = layout.reading_order(layout.line_roles(lines))
     names = None
     if config.custom_words or config.names or config.fix_diacritics or config.split_merged_words:
-        custom = None
+        custom = []
         if config.custom_words and config.custom_words.endswith(".txt"):
-            custom = src.word_list(spark, config.custom_words)
+            words = src.word_list(spark, config.custom_words)
+            if words.count() > MAX_CUSTOM_WORDS:
+                raise ValueError(f"more than {MAX_CUSTOM_WORDS} custom words; give such names as an entities table")
+            custom = [r.word for r in words.collect()]
         elif config.custom_words:
-            custom = spark.createDataFrame([(w.strip(),) for w in config.custom_words.split(",") if w.strip()], "word string")
+            custom = [w.strip() for w in config.custom_words.split(",") if w.strip()]
         names = text.protected_words(text.page_text(ordered), custom=custom)
     if config.fix_diacritics or config.split_merged_words:
         tokens = text.tokens(ordered).withColumn("lang", F.lit(lang))

@@ -38,13 +38,11 @@ def valid(words: DataFrame, lex: DataFrame, column: str) -> DataFrame:
 
 
 def vectors(lex: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """(word, v): lexicon words by rank of frequency, each with the embedding at that rank modulo their number."""
+    """(word, v): each lexicon word with the embedding whose vec_id is its hash modulo their number, a stand-in for trained ones."""
     n = embeddings.count()
-    words = lex.groupBy("word_lower").agg(F.sum("freq").alias("freq"))
-    # ranks over the vocabulary, in ranges of equal frequency dealt by range partitioning
-    ranked = words.select("word_lower", F.row_number().over(Window.orderBy(F.desc("freq"), "word_lower")).alias("r"))
-    e = embeddings.select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
-    return ranked.join(e, (F.col("r") - 1) % n == F.col("k")).select(F.col("word_lower").alias("word"), "v")
+    words = lex.select("word_lower").distinct()
+    e = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return words.join(e, F.pmod(F.xxhash64("word_lower"), F.lit(n)) == F.col("vec_id")).select(F.col("word_lower").alias("word"), "v")
 
 
 def mean_vector(tokens: DataFrame, vecs: DataFrame, keys: list[str]) -> DataFrame:

@@ -80,15 +80,14 @@ def token_affixes(lines: DataFrame) -> DataFrame:
     return tokens(lines).withColumns({"prefix": strings.prefix(t), "core": strings.core(t), "suffix": strings.suffix(t)})
 
 
-def protected_words(pages: DataFrame, entities: DataFrame | None = None, custom: DataFrame | None = None) -> DataFrame:
-    """(page, name): names cited on the page, its entities, and custom words on every page."""
-    out = pages.select(*PAGE, F.explode(strings.citations(F.col("text"))).alias("name"))
+def protected_words(pages: DataFrame, entities: DataFrame | None = None, custom: list[str] | None = None) -> DataFrame:
+    """(page, name): names cited on the page, its entities, and custom words (a list written by hand) on every page."""
+    names = strings.citations(F.col("text"))
+    if custom:
+        names = F.concat(names, F.array(*map(F.lit, custom)))
+    out = pages.select(*PAGE, F.explode(names).alias("name"))
     if entities is not None:
         out = out.unionByName(entities.select(*PAGE, "name"))
-    if custom is not None:
-        # a list that people write by hand, so every page gets a copy
-        words = custom.agg(F.collect_set("word").alias("words"))
-        out = out.unionByName(pages.select(*PAGE).join(F.broadcast(words)).select(*PAGE, F.explode("words").alias("name")))
     return out.distinct()
 
 
