@@ -64,7 +64,14 @@ def run(spark, config: Config) -> None:
     table = spark.read.parquet(config.input)
     lines = src.recognised(table if config.lines else src.laid_out(table))
     lang = config.languages[0].split("-")[0]
-    ordered = layout.reading_order(layout.line_roles(lines))
+
+    def stored(df, name):
+        """Later steps read a table, not the whole plan behind it, many times over."""
+        path = f"{config.output}.work/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    ordered = stored(layout.reading_order(layout.line_roles(lines)), "ordered")
     names = None
     if config.custom_words or config.names or config.fix_diacritics or config.split_merged_words:
         custom = []
@@ -75,14 +82,14 @@ def run(spark, config: Config) -> None:
             custom = [r.word for r in words.collect()]
         elif config.custom_words:
             custom = [w.strip() for w in config.custom_words.split(",") if w.strip()]
-        names = text.protected_words(text.page_text(ordered), custom=custom)
+        names = stored(text.protected_words(text.page_text(ordered), custom=custom), "names")
     if config.fix_diacritics or config.split_merged_words:
         tokens = text.tokens(ordered).withColumn("lang", F.lit(lang))
-        cores = lexicon.corpus_cores(lines.select(F.lit(lang).alias("lang"), "text"))
-        fixed = correction.correct_tokens(tokens, lexicon.lexicon(cores), names, config.fix_diacritics, config.split_merged_words)
+        lex = stored(lexicon.lexicon(lexicon.corpus_cores(ordered.select(F.lit(lang).alias("lang"), "text"))), "lexicon")
+        fixed = stored(correction.correct_tokens(tokens, lex, names, config.fix_diacritics, config.split_merged_words), "tokens")
         line = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "corrected"))), lambda s: s["corrected"])
         new = fixed.groupBy(*layout.PAGE, "line_no").agg(F.array_join(line, " ").alias("text"))
-        ordered = ordered.drop("text").join(new, [*layout.PAGE, "line_no"])
+        ordered = stored(ordered.drop("text").join(new, [*layout.PAGE, "line_no"]), "corrected")
     layout.page_summary(ordered).write.mode("overwrite").parquet(config.output)
     if config.sidecar:
         text.write_sidecar(text.sidecar_text(text.paragraph_text(ordered)), config.sidecar)

@@ -9,7 +9,7 @@ def test_parse():
 
 
 def test_run(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "Kant read a book (Kant, 1999). " * 40), (3, "Words of two columns. " * 200)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Kant read a book (Kant, 1999). " * 40), (3, "Words of two columns. " * 60)], "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/docs")
     cli.run(spark, cli.parse([f"{tmp_path}/docs", f"{tmp_path}/out", "--lang", "en", "--sidecar", f"{tmp_path}/text", "--customwords", "book, Moss", "--names", f"{tmp_path}/names", "--fix-diacritics", "--split-merged-words"]))
     assert spark.read.parquet(f"{tmp_path}/out").count() >= 2
