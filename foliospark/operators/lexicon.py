@@ -28,13 +28,16 @@ def shape_ok(word: Column, lang: Column) -> Column:
 
 
 def valid(words: DataFrame, lex: DataFrame, column: str) -> DataFrame:
-    """The rows whose word is valid: of one letter by rule, else in the list of their language, whatever its case."""
-    shaped = words.where(shape_ok(F.col(column), F.col("lang"))).withColumn("__low", F.lower(column))
-    one = shaped.where(F.length(column) == 1)
-    more = shaped.where(F.length(column) > 1)
+    """The rows whose word is valid: of one letter by rule, else in the list of their language, whatever its case.
+
+    The list holds letters only and each word once a language, so one left join decides, without a
+    second reading of words.
+    """
     known = lex.select(F.col("lang").alias("__lang"), F.col("word_lower").alias("__word"))
-    more = more.join(known, (F.col("lang") == F.col("__lang")) & (F.col("__low") == F.col("__word")), "left_semi")
-    return one.unionByName(more).drop("__low")
+    same = (F.col("lang") == F.col("__lang")) & (F.lower(column) == F.col("__word"))
+    one = F.length(column) == 1
+    good = (one & shape_ok(F.col(column), F.col("lang"))) | (~one & F.col("__word").isNotNull())
+    return words.join(known, same, "left").where(good).select(*words.columns)
 
 
 def vectors(lex: DataFrame, embeddings: DataFrame) -> DataFrame:
