@@ -212,7 +212,7 @@ def identify(docs: DataFrame, models: Models, keep: list[str] | None = None) ->
         added = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())]
         return pa.record_batch([*batch.columns[:-1], *added], [*keep, "lang_pred", "score", "mixture"])
 
-    return arrow_map(source, run, f"{fields}, lang_pred string, score double, mixture string")
+    return arrow_map(source, run, f"{fields}, lang_pred string, score double, mixture string", 4_000_000)
 
 
 def predict(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:

@@ -79,7 +79,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
-        for d, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1).to_pylist())):
+        for d, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path, memo_words=240_000).encode(batch.column(1).to_pylist())):
             ids += end
             for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]

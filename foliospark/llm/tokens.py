@@ -153,6 +153,9 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, code: str = "I") -> PieceEncoder:
-    """The process's encoder of a vocabulary: Python workers serve many tasks, and load and learn once."""
-    return PieceEncoder(path, code=code)
+def encoder(path: str, code: str = "I", memo_words: int = 800_000) -> PieceEncoder:
+    """The process's encoder of a vocabulary: Python workers serve many tasks, and load and learn once.
+
+    The memo stays in the worker, beside what other operators load there.
+    """
+    return PieceEncoder(path, memo_words, memo_words * 3 // 8, code)
