@@ -184,6 +184,16 @@ def test_lm_scoring_equals_brute_force(spark, docs, ids):
     assert {d: sorted(v) for d, v in mine.items()} == lm_brute(part, set(targets) - {None}, 1e-3, 1e-3, 50.0)
 
 
+def test_lm_scoring_keeps_rare_words_and_bigrams(spark, docs):
+    """By default the models hold whatever occurs, also single words among many tokens."""
+    part = [(d, t) for d, t, _ in docs]
+    targets = [0, 1, 5, 8, 33]
+    got = lm_scoring.score(rows(spark, part), spark.createDataFrame([(x,) for x in targets], "doc_id long")).collect()
+    want = lm_brute(part, set(targets), 0, 0, 200.0)
+    assert {r.doc_id: [(r.n_tokens, *[round(x, 6) for x in r[2:]])] for r in got} == want
+    assert len({w for _, t in part for w in word_list(t)}) > len(lm_scoring.vocabulary(rows(spark, part), 2e-5))
+
+
 def test_lm_scoring_edges(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert lm_scoring.score(rows(spark, []), none).count() == 0
