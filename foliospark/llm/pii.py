@@ -3,7 +3,7 @@
 Base detectors read the text as it is.  For disguises, a transducer rewrites homoglyphs, spelled
 digits and at/dot disguises and notes for every character it writes which source characters it came
 from; the same detectors read the rewritten text, and their spans are mapped back.  A mapped span
-counts unless it overlaps a base span of its kind.
+counts unless it lies within a base span of its kind; one that reaches beyond stands beside it.
 
 Cases: null text counts as empty; empty tables give no rows; a row's result depends on its text
 alone, so repeated rows repeat; columns besides doc_id and text are ignored.  All scans are linear
@@ -98,8 +98,8 @@ _NUMBER = re.compile(rf"(?:\bplus[ -]?)?{_UNIT}(?:[ .-]{{0,2}}{_UNIT}){{4,}}", r
 _NAME = re.compile(rf"\b({_NAMES})\b", re.I)
 _SOME_NAME = re.compile(rf"\b(?:{'|'.join(k for k in SPELLED if k not in ('oh', 'plus'))})\b", re.I)
 _WRAPPED = re.compile(r" ?[\[({<] ?(at|dot) ?[\])}>] ?", re.I)
-#: Bare words count only as a whole: name at host dot domain.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( at |@)[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){1,8}", re.I)
+#: Bare words count only as a whole: name at host dot domain, with dots in the name as well.
+_BARE = re.compile(r"( at |@)[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)+", re.I)
 _AT_OR_DOT = re.compile(r" (at|dot) ", re.I)
 _SIGNS = {"at": "@", "dot": "."}
 
@@ -127,6 +127,20 @@ class Rewritten:
         self.end = [*end, *self.end[at:]]
 
 
+def _local_start(text: str, end: int, least: int) -> int:
+    """Where the local part before `end` starts, its dots plain or spelled; `end` if there is none."""
+    start = end
+    while True:
+        at = start
+        while at > least and text[at - 1] in _LOCAL:
+            at -= 1
+        if at == start:  # no name before this dot
+            return min(end, start + len(" dot ")) if start < end else end
+        if at - len(" dot ") < least or text[at - len(" dot ") : at].lower() != " dot ":
+            return at
+        start = at - len(" dot ")
+
+
 def deobfuscate(text: str) -> Rewritten | None:
     """The rewritten text, or None if no disguise occurs."""
     out = Rewritten(text)
@@ -135,10 +149,14 @@ def deobfuscate(text: str) -> Rewritten | None:
     low = out.text.lower()
     if "at" in low or "dot" in low:
         out.replace([(m.start(), m.end(), _SIGNS[m[1].lower()]) for m in _WRAPPED.finditer(out.text)])
-        if " dot " in out.text.lower():
-            edits = []
+        low = out.text.lower()
+        if " at " in low or " dot " in low:
+            edits, last = [], 0
             for m in _BARE.finditer(out.text):
-                edits += [(x.start(), x.end(), _SIGNS[x[1].lower()]) for x in _AT_OR_DOT.finditer(out.text, m.start(), m.end())]
+                start = _local_start(out.text, m.start(), last)
+                if start < m.start():
+                    edits += [(x.start(), x.end(), _SIGNS[x[1].lower()]) for x in _AT_OR_DOT.finditer(out.text, start, m.end())]
+                    last = m.end()
             out.replace(edits)
     if _SOME_NAME.search(out.text):
         edits = []
@@ -162,7 +180,7 @@ def find(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     more = []
     for a, kind, b in detect(plain.text):
         a, b = plain.start[a], plain.end[b - 1]
-        if not any(k == kind and x < b and a < y for x, k, y in base):
+        if not any(k == kind and x <= a and b <= y for x, k, y in base):
             more.append((a, kind, b))
     return base, sorted({*base, *more}, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 

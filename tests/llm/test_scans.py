@@ -308,6 +308,26 @@ def test_pii_disguises(text, kind, source):
         assert [(k, text[a:b]) for a, k, b in spans] == [(kind, source)]
 
 
+@pytest.mark.parametrize(
+    "text, sources",
+    [
+        ("Write to jane at example.org today", ["jane at example.org"]),
+        ("Write to jane at example [dot] org today", ["jane at example [dot] org"]),
+        ("Write to jane dot doe at example dot org today", ["jane dot doe at example dot org"]),
+        ("Write to j dot a dot doe at mail dot example dot org", ["j dot a dot doe at mail dot example dot org"]),
+        ("mail jane [dot] doe@example.com ok", ["jane [dot] doe@example.com", "doe@example.com"]),
+        ("mail a@example.co [dot] uk ok", ["a@example.co", "a@example.co [dot] uk"]),
+        ("a dot b at c dot d at e dot f", ["a dot b at c dot d"]),
+        ("İ Jane DOT Doe AT example dot org", ["Jane DOT Doe AT example dot org"]),
+        (" dot at example dot org", ["dot at example dot org"]),
+        ("x" * 80 + " at " + "y" * 70 + " dot a" * 12, ["x" * 80 + " at " + "y" * 70 + " dot a" * 12]),
+        ("plain jane@example.com here at home", ["jane@example.com"]),
+    ],
+)
+def test_pii_disguised_spans_are_whole(text, sources):
+    assert [text[a:b] for a, k, b in pii.find(text)[1] if k == "email"] == sources
+
+
 def test_pii_edges(spark):
     texts = EDGE + [(20, "a.b@c-d.com and +49 (170) 1234567, 1.2.3.4, 300.1.1.1, 4111 1111 1111 1111"), (21, "9" * 30_000 + "." + "0" * 5000 + "1.1.1"), (22, "one " * 20_000)]
     got = pii.scan(rows(spark, texts)).collect()
