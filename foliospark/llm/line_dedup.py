@@ -1,27 +1,32 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by winnowing: verbatim runs of `min_words` words or more that stood earlier are deleted.
 
-Lines end at line breaks and at sentence marks followed by white space, so a passage set into a
-longer line is still a run of lines.  A window is the shortest stretch of lines from a given line on
-that holds `min_words` words.  The line with the smallest hash of a window is its fingerprint, so
-two documents that share a run of min_words words or more are sure to share a fingerprint.
+Runs are of words, whatever the lines: a window is any min_words words in a row, white space between
+them aside.  Deleting all windows that stood earlier deletes the whole of every run, both ways from
+any match, also one that starts or ends within a line or in text without sentence marks.
 
-1. Fingerprints are counted; those met once are dropped with all their windows.
-2. At positions of shared fingerprints, windows are compared by fingerprint and by hash of all their
-   lines.  Each window's first document is found by a pre-aggregated minimum, so a fingerprint met
-   millions of times never forms pairs.
-3. Windows that follow one another extend a match both ways to the whole run.
-4. A run met in an earlier document (smaller doc_id), or earlier in its own, is deleted.
+1. A window's fingerprint is the smallest hash of the word runs of half its length in it, so two
+   documents that share a window share a fingerprint.  Successive windows of one fingerprint are kept
+   as one row; fingerprints met once are dropped.
+2. Documents that are left compare their windows at shared fingerprints by a hash of all words.
+   Each window's first document is found by a pre-aggregated minimum, so a window met millions of
+   times never forms pairs.
+3. Words of a window met in an earlier document (smaller doc_id), or before it in its own, are deleted
+   with the white space after them.
 
-The first occurrence of any content always stays: a line is deleted only for an earlier one.
+The first occurrence of any content always stays: a word is deleted only for an earlier one.  Windows
+that overlap their own first occurrence do not count.
 
 Cases: null text stays null and empty text empty; documents of fewer than min_words words have no
 window and stay as they are; a null doc_id counts as last; rows that share a doc_id never delete
-lines of one another; an empty table gives no rows; result columns replace those of the same name.
+words of one another; an empty table gives no rows; result columns replace those of the same name.
+Lines, which end at line breaks and at sentence marks before white space, are only counted.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +37,9 @@ from pyspark.sql import types as T
 from .common import arrow_map, staged
 
 _END = re.compile(rb"[.!?]+[ \t-\r]+|\n[ \t-\r]*")
-_ODD_SPACE = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
+_WORD = re.compile(rb"[^ \t-\r]+")
 _LAST = (1 << 63) - 1
+_FACTOR = 0x9E3779B97F4A7C15
 
 
 def pieces(raw: bytes) -> list[int]:
@@ -42,60 +48,55 @@ def pieces(raw: bytes) -> list[int]:
     return cuts if cuts[-1] == len(raw) else [*cuts, len(raw)]
 
 
-def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
-    """Hash and words of each line; runs of (ASCII) white space within a line count as one space."""
-    raw = text.encode() if text else b""
-    cuts = pieces(raw)
-    lines = [raw[a:b].strip() for a, b in zip(cuts, cuts[1:])]
-    if any(x in raw for x in _ODD_SPACE):
-        lines = [b" ".join(x.split()) for x in lines]
-    return [xxhash.xxh3_64_intdigest(x) for x in lines], [x.count(b" ") + 1 if x else 0 for x in lines]
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and how many each text has."""
+    known: dict[bytes, int] = {}
+    out, lengths = [np.empty(0, np.int64)], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = text.encode().split() if text else []
+        lengths[i] = len(words)
+        out.append(np.array([known.setdefault(w, len(known)) for w in words], np.int64))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+    return hashes[np.concatenate(out)], lengths
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, lengths: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Of each window in documents of the given numbers of lines, one after another: document, first line
-    in it, line after the last, hash of the fingerprint, hash of all its lines."""
-    total = np.concatenate(([0], np.cumsum(words)))
-    stop = np.searchsorted(total, total[:-1] + min_words)
-    ends = np.cumsum(lengths)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    first = np.flatnonzero(stop <= ends[doc])
-    stop, doc = stop[first], doc[first]
-    reach = stop - first
-    low = hashes[first]
-    mixed = np.zeros(len(first), np.uint64)
-    prime = np.uint64(0x9E3779B97F4A7C15)
-    live = np.arange(len(first))
-    step = 0
-    while len(live):  # as many rounds as the longest window has lines
-        h = hashes[first[live] + step]
-        low[live] = np.minimum(low[live], h)
-        m = (mixed[live] ^ h) * prime
-        mixed[live] = m ^ (m >> np.uint64(29))
-        step += 1
-        live = live[reach[live] > step]
-    start = (ends - lengths)[doc]
-    return doc, first - start, stop - start, low, mixed
+def _powers(of: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.fromiter(repeat(of, n - 1), np.uint64, n - 1))), dtype=np.uint64)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k values in a row."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_FACTOR, len(h)), dtype=np.uint64)))
+    x = (total[k:] - total[:-k]) * _powers(pow(_FACTOR, -1, 1 << 64), len(h))[: len(h) - k + 1]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """(doc, tie, hashes, words): the documents as lists of line hashes; tie tells rows with one doc_id apart."""
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    step = 1
+    while 2 * step <= width:
+        x = np.minimum(x[:-step], x[step:])
+        step *= 2
+    rest = width - step
+    return np.minimum(x[:-rest], x[rest:]) if rest else x
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines = [line_hashes(t) for t in batch.column(1).to_pylist()]
-        ends = pa.array(np.cumsum([0, *(len(h) for h, _ in lines)]), pa.int32())
-        h = np.array([x for h, _ in lines for x in h], np.uint64)
-        w = pa.array([x for _, w in lines for x in w], pa.int32())
-        return pa.record_batch(
-            [batch.column(0), batch.column(2), pa.ListArray.from_arrays(ends, _signed(h)), pa.ListArray.from_arrays(ends, w)],
-            ["doc", "tie", "hashes", "words"],
-        )
 
-    return arrow_map(_keyed(docs).select("__doc", "text", "__tie"), run, "doc long, tie long, hashes array<long>, words array<int>")
+def windows(h: np.ndarray, lengths: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of each window in texts of the given numbers of words, one after another: text, first word in it,
+    fingerprint, hash of all its words."""
+    if len(h) < min_words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), h[:0], h[:0]
+    ends = np.cumsum(lengths)
+    doc = np.repeat(np.arange(len(lengths)), lengths)[: len(h) - min_words + 1]
+    at = np.flatnonzero(np.arange(len(doc)) + min_words <= ends[doc])
+    half = min_words // 2 + 1
+    low = _sliding_min(grams(h, half), min_words - half + 1)
+    doc = doc[at]
+    return doc, at - (ends - lengths)[doc], low[at], grams(h, min_words)[at]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64), pa.int64())
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -104,78 +105,98 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _windows_of(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, ...]:
-    flat = batch.column(2).flatten().to_numpy().view(np.uint64)
-    words = batch.column(3).flatten().to_numpy().astype(np.int64)
-    return windows(flat, words, batch.column(2).value_lengths().to_numpy().astype(np.int64), min_words)
+def prints(keyed: DataFrame, min_words: int) -> DataFrame:
+    """(fp, doc, tie, first, n): n windows of one fingerprint in a row, from the word `first` on."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, first, low, _ = windows(*word_hashes(batch.column(2).to_pylist()), min_words)
+        at = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])))[: len(low)])
+        n = np.diff(np.concatenate((at, [len(low)])))
+        ids, ties = (batch.column(i).to_numpy()[doc[at]] for i in (0, 1))
+        cols = [_signed(low[at]), pa.array(ids), pa.array(ties), pa.array(first[at], pa.int32()), pa.array(n, pa.int32())]
+        return pa.record_batch(cols, ["fp", "doc", "tie", "first", "n"])
+
+    return arrow_map(keyed.select("__doc", "__tie", "text"), run, "fp long, doc long, tie long, first int, n int")
 
-def repeated_windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, tie, first, stop): the windows that have an earlier occurrence."""
-    wide = "fp long, mixed long, doc long, tie long, first int, stop int"
 
-    def select(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, _, _, low, _ = _windows_of(batch, min_words)
-        new = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])))[: len(low)]
-        return pa.record_batch([_signed(low[new])], ["fp"])
+def repeated_windows(keyed: DataFrame, min_words: int) -> DataFrame:
+    """(doc, tie, first): the windows that have an earlier occurrence."""
+    found = staged(prints(keyed, min_words), "prints")
+    # a run longer than one hash can rule holds it twice
+    most = min_words - min_words // 2
+    shared = found.groupBy("fp").agg(F.count("*").alias("c"), F.max("n").alias("m")).where(f"c > 1 or m > {most}").select("fp")
+    spots = found.join(shared, "fp", "left_semi").groupBy("doc", "tie").agg(F.collect_set(F.struct("first", "n")).alias("spots"))
+    near = keyed.select("__doc", "__tie", "text").join(spots, (F.col("__doc") == F.col("doc")) & (F.col("__tie") == F.col("tie")))
 
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, first, stop, low, mixed = _windows_of(batch, min_words)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, lengths = word_hashes(batch.column(2).to_pylist())
+        doc, first, _, mixed = windows(h, lengths, min_words)
+        starts = np.cumsum(lengths) - lengths
+        spots = batch.column(3)
+        base = np.repeat(starts, spots.value_lengths().to_numpy())
+        flat = spots.flatten()
+        lo = base + flat.field("first").to_numpy()
+        cover = np.zeros(len(h) + 1, np.int64)
+        np.add.at(cover, lo, 1)
+        np.add.at(cover, lo + flat.field("n").to_numpy(), -1)
+        live = np.cumsum(cover)[starts[doc] + first] > 0
+        doc, first, mixed = doc[live], first[live], mixed[live]
         order = np.lexsort((first, mixed, doc))
+        new = np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (mixed[order][1:] != mixed[order][:-1])))[: len(order)]
+        opening = first[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else first
         own = np.zeros(len(doc), bool)
-        a, b = order[1:], order[:-1]
-        own[a] = (doc[a] == doc[b]) & (mixed[a] == mixed[b])
+        own[order] = first[order] >= opening + min_words
         ids, ties = (batch.column(i).to_numpy()[doc] for i in (0, 1))
-        cols = [low.view(np.int64), mixed.view(np.int64), ids, ties, first, stop, own]
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["fp", "mixed", "doc", "tie", "first", "stop", "own"])
+        cols = [_signed(mixed), pa.array(ids), pa.array(ties), pa.array(first, pa.int32()), pa.array(own)]
+        return pa.record_batch(cols, ["mixed", "doc", "tie", "first", "own"])
 
-    # a fingerprint that comes back within one document only may pass here; the windows tell
-    prints = arrow_map(lines, select, "fp long")
-    shared = prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    every = arrow_map(lines, emit, wide + ", own boolean")
-    within = every.where("own").select("doc", "tie", "first", "stop")
-    at_shared = staged(every.where("not own").join(shared, "fp", "left_semi"), "windows")
-    firsts = at_shared.groupBy("fp", "mixed").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    across = at_shared.join(firsts, ["fp", "mixed"]).where("doc > least").select("doc", "tie", "first", "stop")
-    return across.unionByName(within)
+    every = staged(arrow_map(near.select("__doc", "__tie", "text", "spots"), run, "mixed long, doc long, tie long, first int, own boolean"), "windows")
+    firsts = every.groupBy("mixed").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    across = every.where("not own").join(firsts, "mixed").where("doc > least").select("doc", "tie", "first")
+    return across.unionByName(every.where("own").select("doc", "tie", "first"))
 
 
 def dedup(docs: DataFrame, min_words: int = 30) -> DataFrame:
-    """The documents' columns with text less its repeated runs, n_lines, n_deleted (lines), n_words, words_deleted."""
+    """The documents' columns with text less its repeated runs, n_lines, n_deleted (whole lines), n_words, words_deleted."""
     own = ["n_lines", "n_deleted", "n_words", "words_deleted"]
     docs = docs.drop(*own)
-    lines = staged(hashed(docs), "lines")
-    # a document's windows are as many as its lines at most
-    marks = repeated_windows(lines, min_words).groupBy("doc", "tie").agg(F.collect_list("first").alias("__first"), F.collect_list("stop").alias("__stop"))
-    counts = lines.select("doc", "tie", F.size("hashes").cast("long").alias("n_lines"), F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + w).alias("n_words"))
-    counts = counts.distinct().join(marks, ["doc", "tie"], "left").withColumnsRenamed({"doc": "__of", "tie": "__own_tie"})
-    same = (F.col("__doc") == F.col("__of")) & (F.col("__tie") == F.col("__own_tie"))
-    joined = _keyed(docs).join(counts, same).select(*docs.columns, "n_lines", "n_words", "__first", "__stop")
+    keyed = _keyed(docs)
+    # a document's windows are as many as its words at most
+    marks = repeated_windows(keyed, min_words).groupBy("doc", "tie").agg(F.collect_set("first").alias("__first"))
+    marks = marks.withColumnsRenamed({"doc": "__of", "tie": "__own_tie"})
+    same = (F.col("__doc") == F.col("__of")) & (F.col("__tie").eqNullSafe(F.col("__own_tie")))
+    joined = keyed.join(marks, same, "left").select(*docs.columns, "__first")
     kept = docs.columns
     schema = T.StructType([*(T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields), *(T.StructField(c, T.LongType()) for c in own)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         place = batch.schema.get_field_index
-        text, firsts, stops = (batch.column(place(c)) for c in ("text", "__first", "__stop"))
-        deleted, words = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-        marked = np.flatnonzero(firsts.is_valid().to_numpy(zero_copy_only=False)).tolist()
-        if marked:
-            texts = text.to_pylist()
-            for i in marked:
-                raw = texts[i].encode()
-                cuts = pieces(raw)
-                cover = np.zeros(len(cuts), np.int64)
-                np.add.at(cover, firsts[i].values.to_numpy(), 1)
-                np.add.at(cover, stops[i].values.to_numpy(), -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                spans = list(zip(cuts, cuts[1:], gone.tolist()))
-                texts[i] = b"".join([raw[a:b] for a, b, g in spans if not g]).decode()
-                deleted[i] = gone.sum()
-                words[i] = sum(len(raw[a:b].split()) for a, b, g in spans if g)
+        text, firsts = (batch.column(place(c)) for c in ("text", "__first"))
+        texts = text.to_pylist()
+        counts = np.zeros((4, batch.num_rows), np.int64)
+        marked = firsts.is_valid().to_numpy(zero_copy_only=False)
+        for i, t in enumerate(texts):
+            raw = t.encode() if t else b""
+            cuts = pieces(raw)
+            counts[0, i] = len(cuts) - 1
+            if not marked[i]:
+                counts[2, i] = len(raw.split())
+                continue
+            starts = np.array([m.start() for m in _WORD.finditer(raw)])
+            cover = np.zeros(len(starts) + 1, np.int64)
+            at = firsts[i].values.to_numpy()
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + min_words, -1)
+            gone = np.cumsum(cover[:-1]) > 0
+            line = np.searchsorted(cuts, starts, "right") - 1
+            whole = np.bincount(line, minlength=len(cuts) - 1)
+            counts[1, i] = ((whole > 0) & (np.bincount(line[gone], minlength=len(cuts) - 1) == whole)).sum()
+            counts[2:, i] = len(starts), gone.sum()
+            ends = [*starts[1:].tolist(), len(raw)]
+            texts[i] = (raw[: starts[0]] + b"".join([raw[a:b] for a, b, g in zip(starts.tolist(), ends, gone.tolist()) if not g])).decode()
+        if marked.any():
             text = pa.array(texts, pa.string())
         cols = [text if c == "text" else batch.column(place(c)) for c in kept]
-        cols += [batch.column(place("n_lines")), pa.array(deleted), batch.column(place("n_words")), pa.array(words)]
-        return pa.record_batch(cols, [*kept, *own])
+        return pa.record_batch([*cols, *map(pa.array, counts)], [*kept, *own])
 
     return arrow_map(joined, run, schema)

@@ -257,6 +257,46 @@ def test_line_dedup_whole(spark, sf_dir, docs):
     assert any(r.n_deleted for r in got)
 
 
+def run_brute(docs, min_words):
+    """Every run of words that an earlier document has, or that stood before in its own, by content."""
+    least, out = {}, []
+    key = lambda d: float("inf") if d is None else d
+    words = [(t or "").encode().split() for _, t in docs]
+    for (d, _), w in zip(docs, words):
+        for i in range(len(w) - min_words + 1):
+            g = tuple(w[i : i + min_words])
+            least[g] = min(least.get(g, float("inf")), key(d))
+    for (d, t), w in zip(docs, words):
+        gone, seen = set(), {}
+        for i in range(len(w) - min_words + 1):
+            g = tuple(w[i : i + min_words])
+            if least[g] < key(d) or i >= seen.setdefault(g, i) + min_words:
+                gone |= set(range(i, i + min_words))
+        left = [x.decode() for i, x in enumerate(w) if i not in gone]
+        out.append((d, " ".join(left), len(w), len(gone)))
+    return Counter(out)
+
+
+def run_rows(got):
+    return Counter((r.doc_id, " ".join(x.decode() for x in (r.text or "").encode().split()), r.n_words, r.words_deleted) for r in got.collect())
+
+
+def test_line_dedup_deletes_whole_runs(spark):
+    """Runs end within a line, in lines that fill no window, or have no sentence marks."""
+    run = [f"w{i}" for i in range(60)]
+    tail = [" ".join(run[a:b]) + "." for a, b in ((0, 10), (10, 20), (20, 30), (30, 35))]
+    texts = [(1, " ".join(tail) + " Own."), (2, "Mine here. " + " ".join(tail) + " Other end."), (3, "pre " + " ".join(run[20:55]) + " post")]
+    texts += [(4, "odd start " + " ".join(run[20:55]) + " odd end"), (5, "a " * 100), (6, " ".join(run) + " " + " ".join(run)), (6, "x " + " ".join(run))]
+    for k in (1, 2, 8, 30):
+        assert run_rows(line_dedup.dedup(rows(spark, EDGE + texts), k)) == run_brute(EDGE + texts, k), k
+    got = {r.doc_id: r.text for r in line_dedup.dedup(rows(spark, texts), 30).collect()}
+    assert got[2] == "Mine here. Other end." and got[4] == "odd start odd end"
+
+
+def test_line_dedup_whole_runs_of_all(spark, sf_dir, docs):
+    assert run_rows(queries.op9_line_dedup(spark, sf_dir)) == run_brute([d[:2] for d in docs], 30)
+
+
 # personal data
 
 
