@@ -1,9 +1,8 @@
 """The corpus pipeline: each stage takes the documents that the one before kept and returns documents.
 
 1. language ID: documents without any language (null text, no letters) go.
-2. line dedup: repeated runs of 30 words or more are cut out; a document of which such runs make up
-   over half is a copy, near or exact, and goes (of pairs with 0.8 or more of their five-word
-   shingles in common, nine in ten are over half).
+2. line dedup: repeated runs of 30 words or more are cut out; a document goes only if nothing but runs
+   of earlier documents was in it.
 3. SimHash near-dedup: of the documents linked by fingerprints at 4 or fewer differing bits, the one
    with the smallest doc_id stays.
 4. benchmark decontamination: words of benchmark windows are cut out; a document of which they make
@@ -28,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup(docs)
-    return cut.where("words_deleted <= 0.5 * n_words").select(*docs.columns)
+    return cut.where("n_words = 0 or words_deleted < n_words").select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,14 @@ def test_line_stage(kept):
     assert len(want) < len(before)
 
 
+def test_line_stage_keeps_what_is_not_repeated(spark, sf_dir):
+    run, own = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(20))
+    rows = [(1, run), (2, f"{run} {own}"), (3, run), (4, " ".join([own[:2], *[f"u{i}" for i in range(40)]] * 5))]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(texts(cp.dedup_lines(spark, df, sf_dir)))
+    assert set(got) == {1, 2, 4} and got[1] == run and got[2] == own and got[4].split() == rows[3][1].split()[:41]
+
+
 def test_near_stage(kept):
     before = texts(kept[2])
     groups = component_brute([(d, print_brute(t)) for d, t in before])
