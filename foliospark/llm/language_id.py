@@ -115,7 +115,7 @@ def _em(p: np.ndarray, starts: np.ndarray, doc: np.ndarray, n: np.ndarray, share
     return share, np.add.reduceat(total, starts, dtype=np.float64)
 
 
-def mixtures(models: Models, texts: list[str | None], max_languages: int = 3, price: float = 3.0, steps: int = 8) -> np.ndarray:
+def mixtures(models: Models, texts: list[str | None], max_languages: int | None = None, price: float = 3.0, steps: int = 8) -> np.ndarray:
     """Shares of each language in each text; rows of zeros for texts without letters."""
     k = len(models.languages)
     shares = np.zeros((len(texts), k))
@@ -145,7 +145,7 @@ def mixtures(models: Models, texts: list[str | None], max_languages: int = 3, pr
     full, _ = _em(p, starts, doc, n, np.full((len(rows), k), 1 / k, np.float32), steps)
     full[every, best_one] += 1  # sets are nested around the best single language
     order = np.argsort(-full, axis=1, kind="stable")
-    for m in range(2, min(max_languages, k) + 1):
+    for m in range(2, min(max_languages or k, k) + 1):
         start = np.zeros((len(rows), k), np.float32)
         np.put_along_axis(start, order[:, :m], 1 / m, axis=1)
         share, like = _em(p, starts, doc, n, start, steps)

@@ -61,6 +61,16 @@ def test_language_id_mixture_and_edges(spark, sf_dir, docs):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_language_id_mixture_of_all_languages(spark, sf_dir, docs):
+    models = language_id.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    k = len(models.languages)
+    by = defaultdict(list)
+    for _, text, lang in docs:
+        by[lang] += re.sub(r"[^\w\s.]", "", text).split()
+    mixed = " ".join(" ".join(by[x][:300]) for x in models.languages)
+    assert k > 3 and (language_id.mixtures(models, [mixed])[0] > 0.5 / k).all()
+
+
 def test_language_models_are_distributions(spark, sf_dir):
     m = language_id.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50)
     for j in range(len(m.languages)):
