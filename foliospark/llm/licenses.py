@@ -21,6 +21,7 @@ doc_id and text have equal results; null ids are kept; columns besides doc_id an
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,9 +147,19 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, block_wor
     score is the greatest containment of a template found, 1 where a base phrase is, else 0.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vocabulary = sorted({w for _, text in templates for w in text.split()})
     base = base_phrases(docs)
-    found = similarity_join(staged(blocks(docs, vocabulary, block_words), "blocks"), templates, threshold)
+    # a template must lie in half a block; longer ones get larger blocks of their own
+    by_size: dict[int, list] = {}
+    for label, text in templates:
+        size = block_words
+        while size // 2 < len(text.split()):
+            size *= 2
+        by_size.setdefault(size, []).append((label, text))
+    parts = []
+    for size, some in (by_size or {block_words: []}).items():
+        vocabulary = sorted({w for _, text in some for w in text.split()})
+        parts.append(similarity_join(staged(blocks(docs, vocabulary, size), "blocks"), some, threshold))
+    found = reduce(DataFrame.unionByName, parts)
     hits = found.groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     b, h = base.alias("b"), hits.alias("h")
     joined = b.join(h, F.col("b.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("b.key") == F.col("h.key")), "left")

@@ -131,6 +131,16 @@ def test_license_scan_shuffles_large_template_sets(spark):
     assert sorted(a, key=str) == sorted(b, key=str) and a
 
 
+def test_license_scan_long_templates(spark):
+    """Templates longer than half a block are found wherever they stand, short ones in blocks of the usual size."""
+    long, short = [f"t{i}" for i in range(80)], [f"s{i}" for i in range(20)]
+    spread = " ".join(w + " x" * 7 for w in short)
+    texts = [(i, "x " * i + " ".join(long) + " y" * 40) for i in (0, 20, 63, 90)] + [(100, spread), (101, " ".join(short)), (102, " ".join(long[:70]))]
+    got = licenses.scan(rows(spark, texts), [("long", " ".join(long)), ("short", " ".join(short))]).collect()
+    want = {**dict.fromkeys((0, 20, 63, 90), ("long", 1.0)), 100: ("", 0.0), 101: ("short", 1.0), 102: ("", 0.0)}
+    assert {r.doc_id: (r.labels, r.score) for r in got} == want
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9, 1.0])
 def test_similarity_join_is_exact(spark, threshold):
     rng = np.random.default_rng(int(threshold * 10))
