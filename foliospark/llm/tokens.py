@@ -4,8 +4,11 @@ BPE merges never cross the borders of the pre-tokenizer's pieces, so a text's id
 concatenated ids of its pieces.  `PieceEncoder` splits a text into those pieces itself, looks each
 piece up in a bounded memo and hands only unseen pieces to the tokenizers library.  Texts with any
 character outside the well-understood Latin range below take the library's own path, so ids are
-always those of ``Tokenizer.encode(text, add_special_tokens=False)`` with special-token strings
-read as ordinary text.
+always those of ``Tokenizer.encode(text, add_special_tokens=False)`` of the file as loaded.  Texts that
+hold the string of a special token take that path too, so such a string is the special token's id.
+
+Cases: null counts as empty, and both have no ids; repeated texts have equal ids; memory is bounded by
+the memos and by one batch of texts, however long.
 """
 
 from __future__ import annotations
@@ -80,7 +83,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        #: texts that the library must read as a whole
+        self.odd = re.compile("|".join([_ODD.pattern, *map(re.escape, added)])).search
         self.lower = self.tok.normalizer is not None
         self.split = _SPLITS["word" if self.lower else "byte"].findall
         self.memo_words, self.memo_pieces, self.code = memo_words, memo_pieces, code
@@ -133,7 +138,7 @@ class PieceEncoder:
         for text in texts:
             if not text:
                 out.append([b""])
-            elif _ODD.search(text):
+            elif self.odd(text):
                 out.append([self._library(text)])
             else:
                 words = self._independent(text)

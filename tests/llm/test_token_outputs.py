@@ -12,12 +12,11 @@ from foliospark.llm import packing, queries, token_files
 from foliospark.llm.tokens import PieceEncoder
 
 DOCS = "doc_id long, text string, piece string, ids string"
-EDGE = [(5, None), (0, ""), (3, "Hello   world's\n\n end "), (3, "Hello   world's\n\n end "), (None, "İstanbul Σας \x1f 中文字 <|endoftext|>"), (9, "ab1 " * 9000)]
+EDGE = [(5, None), (0, ""), (3, "Hello   world's\n\n end "), (3, "Hello   world's\n\n end "), (None, "İstanbul Σας \x1f 中文字 <|endoftext|>"), (9, "ab1 " * 9000), (10, "hello <|endoftext|> x <|startoftext|>y <|EndOfText|>")]
 
 
 def plain(name, texts):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -31,7 +30,7 @@ def encoder(request):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from(" \n'sStT1²é…“Σ中"))), max_size=4))
+@given(st.lists(st.lists(st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from([*" \n'sStT1²é…“Σ中", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|"]))).map("".join), max_size=4))
 def test_piece_encoder_equals_library(encoder, texts):
     name, e = encoder
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == plain(name, texts)
@@ -57,7 +56,7 @@ def check_pieces(docs, got, name="word_bpe_49k.json", end=1, capacity=4096):
 
 
 def test_packing_edges(spark):
-    got = packing.pack_documents(spark.createDataFrame(EDGE, DOCS.replace(", piece string, ids string", "")), public_tokenizers.path("word_bpe_49k.json")).collect()
+    got = packing.pack_documents(spark.createDataFrame([(*r, "p", "i") for r in EDGE], DOCS), public_tokenizers.path("word_bpe_49k.json")).collect()
     check_pieces(EDGE, got)
     assert packing.pack_documents(spark.createDataFrame([], DOCS), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
@@ -132,7 +131,7 @@ def file_rows(docs):
 def test_token_files_edges(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for size in (64 << 20, 20_000):
-        got = token_files.read_token_files(*token_files.write_token_files(spark.createDataFrame(EDGE, DOCS.replace(", piece string, ids string", "")), path, file_bytes=size))
+        got = token_files.read_token_files(*token_files.write_token_files(spark.createDataFrame([(*r, "p", "i") for r in EDGE], DOCS), path, file_bytes=size))
         assert sorted(map(tuple, got.collect()), key=str) == file_rows(EDGE)
     empty = token_files.read_token_files(*token_files.write_token_files(spark.createDataFrame([], DOCS), path))
     assert empty.count() == 0
