@@ -1,10 +1,10 @@
 """Language identification by mixture inference.
 
 Every language has a letter trigram model of words, smoothed towards bigrams and unigrams.  A
-document is a mixture: expectation-maximisation over its words' likelihoods estimates the share of
-each language.  Nested language sets, by falling share, compete by penalised likelihood (half the
-log of the word count for each further language, and a fixed price), and the shares of the winning
-set are the result.
+document is a mixture: expectation-maximisation over its words' likelihoods, run until the likelihood
+is within `tolerance` of its maximum, estimates the share of each language.  Nested language sets of
+any size, by falling share, compete by penalised likelihood (half the log of the word count for each
+further language, and a fixed price), and the shares of the winning set are the result.
 
 Models are fitted on a bounded sample: about `sample_docs` labelled documents of each language,
 chosen by a hash of the id among those whose crc32 of the id is not divisible by 5.  Inference reads
@@ -12,18 +12,20 @@ whole texts of all documents and uses nothing but the text.
 
 Cases: null text and texts without letters give `und` with score 0; with no labelled document every
 text gives `und`; null ids are never trained on and count as held out; ties go to the language first
-in the alphabet; repeated rows repeat; columns besides doc_id, text and lang are ignored.
+in the alphabet; repeated rows repeat; a very long text counts by its distinct words; columns besides
+doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map
 
@@ -106,66 +108,112 @@ class Models:
         return np.add.reduceat(out, starts, axis=0)
 
 
-def _em(p: np.ndarray, starts: np.ndarray, doc: np.ndarray, n: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares (documents by languages) after EM from given shares, whose zeros stay; and the log likelihood less the words' own scale."""
-    for _ in range(steps):
-        each = p / np.einsum("ij,ij->i", p, share[doc])[:, None]
-        share = (share * np.add.reduceat(each, starts, axis=0, dtype=np.float64) / n[:, None]).astype(np.float32)
-    total = np.log(np.maximum(np.einsum("ij,ij->i", p, share[doc]), np.float32(1e-30)))
-    return share, np.add.reduceat(total, starts, dtype=np.float64)
+def _em(p: np.ndarray, count: np.ndarray, n: np.ndarray, share: np.ndarray, tolerance: float, max_steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares (documents by languages) after EM from given shares, whose zeros stay, and their log likelihoods less the words' own scale.
 
+    p and count hold the documents' distinct words one document after another, n their number in each.
+    The likelihood is concave, so a document's is within words * (largest factor - 1) of its maximum; a
+    document leaves the loop once that is under tolerance.
+    """
+    share = share.astype(np.float32)
+    left = np.arange(len(n))
+    q, c, m, own = p, count, n, share
+    for _ in range(max_steps):
+        starts = np.cumsum(m) - m
+        words = np.add.reduceat(c, starts, dtype=np.float64)
+        each = q * (c / np.einsum("ij,ij->i", q, np.repeat(own, m, axis=0)))[:, None]
+        factor = np.add.reduceat(each, starts, axis=0, dtype=np.float64) / words[:, None]
+        done = words * (np.where(own > 0, factor, 0).max(axis=1) - 1) < tolerance
+        share[left] = own = np.where(done[:, None], own, own * factor).astype(np.float32)
+        if done.all():
+            break
+        if done.mean() > 0.3:  # go on with the others
+            rows = np.repeat(~done, m)
+            left, q, c, m, own = left[~done], q[rows], c[rows], m[~done], own[~done]
+    total = np.log(np.maximum(np.einsum("ij,ij->i", p, np.repeat(share, n, axis=0)), np.float32(1e-30)))
+    return share, np.add.reduceat(total * count, np.cumsum(n) - n, dtype=np.float64)
 
-def mixtures(models: Models, texts: list[str | None], max_languages: int | None = None, price: float = 3.0, steps: int = 8) -> np.ndarray:
-    """Shares of each language in each text; rows of zeros for texts without letters."""
+
+def _worth(gain: np.ndarray, price: float, words: np.ndarray) -> np.ndarray:
+    """Whether a gain in log likelihood over one language may pay for two languages at least."""
+    return gain > price + 0.5 * np.log(words)
+
+
+def mixtures(models: Models, texts: list[str | None], price: float = 3.0, tolerance: float = 0.01, max_steps: int = 2000) -> np.ndarray:
+    """Shares of each language in each text; rows of zeros for texts without letters.
+
+    All language sets are nested by falling share under all languages, from the best single one to all.
+    A document whose likelihood cannot rise enough to pay for a second language, which the slope at the
+    single language or the likelihood under all of them tells, has that language alone.
+    """
     k = len(models.languages)
     shares = np.zeros((len(texts), k))
     memo: dict[str, int] = {}
-    ids, rows, sizes = [], [], []
+    ids, counts, rows, sizes = [], [], [], []
     for i, text in enumerate(texts):
-        words = _WORDS.findall(text.lower()) if text else []
-        if words and any(map(str.isalpha, words)):
+        words = Counter(_WORDS.findall(text.lower())) if text else {}
+        if any(c.isalpha() for w in words for c in w):
             rows.append(i)
             sizes.append(len(words))
             ids += [memo.setdefault(w, len(memo)) for w in words]
+            counts += words.values()
     if not rows or not k:
         return shares
-    n = np.array(sizes)
-    logs = models.word_logs(list(memo))[np.array(ids)]
-    doc = np.repeat(np.arange(len(rows)), n)
+    n, count = np.array(sizes), np.array(counts, np.float32)
     starts = np.cumsum(n) - n
-    scale = logs.max(axis=1, keepdims=True)
+    words = np.add.reduceat(count, starts, dtype=np.float64)
+    logs = models.word_logs(list(memo))
     # no word may rule a language out: a floor for names, code and noise
-    p = np.maximum(np.exp(logs - scale), np.float32(1e-6))
-    single = np.add.reduceat(np.log(p), starts, axis=0, dtype=np.float64)
-    best_one = single.argmax(axis=1)
+    p = np.maximum(np.exp(logs - logs.max(axis=1, keepdims=True)), np.float32(1e-6))
+    single = np.add.reduceat(np.log(p)[ids] * count[:, None], starts, axis=0, dtype=np.float64)
+    p = p[ids]
+    best = single.argmax(axis=1)
     every = np.arange(len(rows))
     chosen = np.zeros((len(rows), k), np.float32)
-    chosen[every, best_one] = 1
-    value = single[every, best_one] - price
-    full, _ = _em(p, starts, doc, n, np.full((len(rows), k), 1 / k, np.float32), steps)
-    full[every, best_one] += 1  # sets are nested around the best single language
-    order = np.argsort(-full, axis=1, kind="stable")
-    for m in range(2, min(max_languages or k, k) + 1):
-        start = np.zeros((len(rows), k), np.float32)
-        np.put_along_axis(start, order[:, :m], 1 / m, axis=1)
-        share, like = _em(p, starts, doc, n, start, steps)
-        like = like - m * price - 0.5 * (m - 1) * np.log(n)
-        better = like > value
-        chosen[better], value[better] = share[better], like[better]
+    chosen[every, best] = 1
+    value = single[every, best] - price
+    slope = np.add.reduceat(p * (count / p[np.arange(len(p)), np.repeat(best, n)])[:, None], starts, axis=0, dtype=np.float64)
+    # of a concave function: no gain is larger than the steepest slope
+    open_ = np.flatnonzero(_worth(slope.max(axis=1) - words, price, words))
+
+    def em(docs: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = np.zeros(len(rows), bool)
+        held[docs] = True
+        at = np.repeat(held, n)
+        return _em(p[at], count[at], n[docs], start, tolerance, max_steps)
+
+    if len(open_):
+        full, like = em(open_, np.full((len(open_), k), 1 / k))
+        some = _worth(like + tolerance - single[open_, best[open_]], price, words[open_])
+        open_, full = open_[some], full[some]
+    if len(open_):
+        full[np.arange(len(open_)), best[open_]] += 1  # sets are nested around the best single language
+        order = np.argsort(-full, axis=1, kind="stable")
+        for m in range(2, k + 1):
+            start = np.zeros((len(open_), k))
+            np.put_along_axis(start, order[:, :m], 1 / m, axis=1)
+            share, like = em(open_, start)
+            like = like - m * price - 0.5 * (m - 1) * np.log(words[open_])
+            better = like > value[open_]
+            chosen[open_[better]], value[open_[better]] = share[better], like[better]
     shares[rows] = chosen
     return shares
 
 
-def fit(docs: DataFrame, sample_docs: int = 2000) -> Models:
-    """Models from about sample_docs documents of each language (all, if there are fewer)."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    # one row per language
-    have = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, sample_docs: int = 2000, max_labels: int = 1000) -> Models:
+    """Models from about sample_docs documents of each language (all, if there are fewer).
+
+    Bounds of the sample: sample_docs documents a language, and the max_labels most frequent labels.
+    """
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    labelled = labelled.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels)
+    have = {r.lang: r.n for r in found.collect()}
     if not have:
         return Models({})
-    shares = F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, min(1.0, sample_docs / n))])
+    rates = F.broadcast(docs.sparkSession.createDataFrame([(lang, min(1.0, sample_docs / n)) for lang, n in have.items()], "lang string, rate double"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.where(place < shares[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
+    sample = labelled.join(rates, "lang").where(place < F.col("rate")).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         by: dict[str, list[str]] = {}
@@ -189,15 +237,19 @@ def fit(docs: DataFrame, sample_docs: int = 2000) -> Models:
 
 
 def identify(docs: DataFrame, models: Models, keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (doc_id by default) with lang_pred, score and mixture (language:share, by falling share)."""
+    """The columns in keep (doc_id by default) with lang_pred, score and mixture (language:share, by falling share).
+
+    The results replace columns of the same name; other columns may have any name.
+    """
     keep = ["doc_id"] if keep is None else [c for c in keep if c not in ("lang_pred", "score", "mixture")]
     shared = docs.sparkSession.sparkContext.broadcast(models)  # as large as the languages' trigram tables
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"))
+    added = ", lang_pred string, score double, mixture string"
+    schema = T.StructType([source.schema["row"], *T._parse_datatype_string(added[2:]).fields])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        s = mixtures(m, batch.column(len(keep)).to_pylist())
+        s = mixtures(m, batch.column(1).to_pylist())
         pred, score, mix = [], [], []
         for row in s:
             if row.any():
@@ -210,9 +262,9 @@ def identify(docs: DataFrame, models: Models, keep: list[str] | None = None) ->
                 score.append(0.0)
                 mix.append("")
         added = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())]
-        return pa.record_batch([*batch.columns[:-1], *added], [*keep, "lang_pred", "score", "mixture"])
+        return pa.record_batch([batch.column(0), *added], ["row", "lang_pred", "score", "mixture"])
 
-    return arrow_map(source, run, f"{fields}, lang_pred string, score double, mixture string", 4_000_000)
+    return arrow_map(source, run, schema, 4_000_000).select("row.*", "lang_pred", "score", "mixture")
 
 
 def predict(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
