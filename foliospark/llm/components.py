@@ -8,31 +8,31 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all links (u, v), u > v, are stars: each u has one, and no v is a u."""
+    if not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) links of long ids to (node, component): the smallest id reachable from each linked id.
 
-    Nulls and loops are ignored.  Each round pre-aggregates minima before its shuffles and joins them
-    back by sort-merge, whose hot partitions adaptive execution splits.
+    Nulls and loops are ignored; repeated links count once.  Each round combines minima before their
+    shuffle and stores them, so that the join back is one of stored tables, of which adaptive
+    execution splits the partition that holds a hub.
     """
-
-    def state(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first())
-
     edges = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
-    seen = state(edges)
     for _ in range(max_rounds):
-        if not seen[0]:
+        if _settled(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = staged(large.distinct(), "large")
+        lower = staged(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         edges = staged(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

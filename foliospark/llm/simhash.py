@@ -11,17 +11,25 @@ agree up to 1 bit in a block, the second is within 2 of the first one's home anc
 there; comparing homes with all that are present at an anchor finds every link.  (Codes on all 64
 bits at once would need over a hundred copies of each fingerprint at a useful selectivity.)
 
+Larger thresholds, such as a Jaccard similarity of shingles asks for, need longer fingerprints: further
+64-bit words come from further hashes of the same shingles.  Their blocks are seeded choices of about
+log2(n) of all bits, n being the number of distinct fingerprints, and the anchors are all words on a
+block (covering radius 0).  There are as many blocks as let two fingerprints at the threshold meet with
+probability `meeting`; nearer ones meet more surely.
+
 Only distinct fingerprints take part.  An anchor with over `cell_rows` of them is dealt into a grid
 of cells of bounded size that still confronts each home with each visitor.  A cell emits a star for
 each of its groups, never all pairs.  Components follow by large and small stars.
 
 Cases: null text counts as empty; an empty text has fingerprint zero, linked like any other;
-repeated rows share a fingerprint; a null doc_id gets its group's component and never names one; an
-empty table gives no rows.  Columns besides doc_id and text are ignored.
+repeated rows share a fingerprint; a null doc_id gets its group's component, links like others and never
+names one (a group of null doc_ids alone has a null component); an empty table gives no rows.  Very long
+texts are hashed and counted in slices.  Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -36,6 +44,8 @@ from .components import components
 
 SEED = 42
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
+#: Ids are below this; stand-ins of documents without one are not.
+NO_ID = 1 << 62
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -48,28 +58,45 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - k + 1)
 
 
-def fingerprint(text: str | None, k: int = 4) -> int:
-    """The 64-bit fingerprint as a signed integer."""
-    h = shingle_hashes(text, k)
-    n = len(h)
-    if not n:
-        return 0
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        bits = np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        m = len(bits) // 255
-        counts += bits[: m * 255].reshape(m, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        counts += bits[m * 255 :].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(counts * 2 > n).view(">i8")[0])
+def _rehashed(h: np.ndarray, j: int) -> np.ndarray:
+    """The j-th further hash of hashed shingles; h itself for 0."""
+    if j:
+        h = (h + np.uint64(j)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def fingerprint(text: str | None, k: int = 4, words: int = 1) -> list[int]:
+    """The words of the fingerprint as signed integers."""
+    hashes = shingle_hashes(text, k)
+    n, out = len(hashes), []
+    for j in range(words):
+        h, counts = _rehashed(hashes, j), np.zeros(64, np.int64)
+        for at in range(0, n, 1 << 16):
+            bits = np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            m = len(bits) // 255
+            counts += bits[: m * 255].reshape(m, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+            counts += bits[m * 255 :].sum(axis=0, dtype=np.uint8)
+        out.append(int(np.packbits(counts * 2 > n).view(">i8")[0]) if n else 0)
+    return out
+
+
+def _names(words: int) -> list[str]:
+    return [f"f{j}" for j in range(words)]
+
 
+def fingerprints(docs: DataFrame, k: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, f0, ...)."""
+    names = _names(words)
 
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = [fingerprint(t, k) for t in batch.column(1).to_pylist()]
-        return pa.record_batch([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        found = np.array([fingerprint(t, k, words) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, words)
+        return pa.record_batch([batch.column(0), *map(pa.array, found.T)], ["doc_id", *names])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(source, run, "doc_id long, fp long")
+    return arrow_map(source, run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _syndrome(block: np.ndarray) -> np.ndarray:
@@ -109,6 +136,28 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
 
+def sampled_blocks(n: int, bits: int, max_bits: int, meeting: float) -> np.ndarray:
+    """Chosen bits, one block a row, for n fingerprints of so many bits."""
+    size = min(max(8, (n - 1).bit_length()), 40, bits - max_bits)
+    agree = math.prod((bits - max_bits - i) / (bits - i) for i in range(size))
+    blocks = max(1, math.ceil(math.log(1 - meeting) / math.log1p(-agree)))
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.choice(bits, size, replace=False) for _ in range(blocks)])
+
+
+def sampled_anchors(fp: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As anchors(), of fingerprints of several words at the blocks chosen: each is at home at one anchor a block."""
+    bits = np.unpackbits(np.ascontiguousarray(fp.astype(">i8")).view(np.uint8).reshape(len(fp), -1), axis=1)
+    place = np.int64(1) << np.arange(chosen.shape[1])
+    keys = np.concatenate([(bits[:, c] * place).sum(axis=1) | (b << 40) for b, c in enumerate(chosen)])
+    return np.tile(np.arange(len(fp)), len(chosen)), keys, np.ones(len(keys), bool)
+
+
+def _near(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
+    """Whether fingerprints, one a row, differ in few enough bits."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16) <= max_bits
+
+
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links to stars: (node, smallest id that is joined to it by the links)."""
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -133,7 +182,7 @@ def _cell_links(fp: np.ndarray, doc: np.ndarray, home: np.ndarray, max_bits: int
     step = max(1, 2_000_000 // max(1, len(fp)))
     for i in range(0, len(h), step):
         part = h[i : i + step]
-        x, y = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[None, :]) <= max_bits)
+        x, y = np.nonzero(_near(fp[part][:, None], fp[None, :], max_bits))
         a, b = doc[part[x]], doc[y]
         a, b = _stars(a[a != b], b[a != b])
         out_a.append(a)
@@ -160,38 +209,39 @@ def _many_cells(cell: np.ndarray, fp: np.ndarray, doc: np.ndarray, home: np.ndar
         n = sizes[of_row[part]]
         x = np.repeat(part, n)
         y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[of_row[part]], n)
-        near = (np.bitwise_count(fp[x] ^ fp[y]) <= max_bits) & (doc[x] != doc[y])
+        near = _near(fp[x], fp[y], max_bits) & (doc[x] != doc[y])
         yield _stars(doc[x[near]], doc[y[near]])
 
 
-def links(distinct: DataFrame, max_bits: int = 4, cell_rows: int = 20_000) -> DataFrame:
-    """(fp, doc), one row per fingerprint, to links (u, v) of docs whose components are those of all pairs within max_bits."""
-    if max_bits // len(BLOCKS) > 1:
-        raise ValueError("the covering serves thresholds of 5 bits at most")
-    spark = distinct.sparkSession
-    names = ["key", "fp", "doc", "home"]
+def links(distinct: DataFrame, max_bits: int = 4, cell_rows: int = 20_000, words: int = 1, meeting: float = 0.95) -> DataFrame:
+    """(f0, ..., doc), one row per fingerprint, to links (u, v) of docs whose components are those of all pairs that meet within max_bits."""
+    exact = words == 1 and max_bits // len(BLOCKS) <= 1
+    chosen = None if exact else sampled_blocks(distinct.count(), 64 * words, max_bits, meeting)
+    prints = _names(words)
+    names = ["key", *prints, "doc", "home"]
 
     def cover(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        rows, keys, home = anchors(fp)
-        return pa.record_batch([pa.array(keys, pa.int32()), pa.array(fp[rows]), pa.array(doc[rows]), pa.array(home)], names)
+        *fp, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(words + 1))
+        rows, keys, home = anchors(fp[0]) if exact else sampled_anchors(np.stack(fp, axis=1), chosen)
+        return pa.record_batch([pa.array(keys.astype(np.int64)), *(pa.array(x[rows]) for x in fp), pa.array(doc[rows]), pa.array(home)], names)
 
-    covered = arrow_map(distinct.select("fp", "doc"), cover, "key int, fp long, doc long, home boolean", 400_000)
+    kinds = "".join(f", {c} long" for c in prints)
+    covered = arrow_map(distinct.select(*prints, "doc"), cover, f"key long{kinds}, doc long, home boolean", 400_000 // words)
     # an anchor over the limit is one of total / cell_rows at most
     heavy = covered.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
     heavy = staged(heavy.select("key", F.ceil(F.col("n") / cell_rows).cast("int").alias("side")), "heavy")
     if heavy.isEmpty():
         dealt = covered.withColumn("cell", F.lit(0))
     else:
-        own = F.pmod(F.xxhash64("fp"), F.col("side")).cast("int")
+        own = F.pmod(F.xxhash64(*prints), F.col("side")).cast("int")
         grid = F.sequence(F.lit(0), F.col("side") - 1)
         as_home = F.transform(grid, lambda j: F.struct((own * F.col("side") + j).alias("cell"), F.lit(True).alias("home")))
         as_visitor = F.transform(grid, lambda i: F.struct((i * F.col("side") + own).alias("cell"), F.lit(False).alias("home")))
         both = F.when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)
         alone = F.array(F.struct(F.lit(0).alias("cell"), F.col("home").alias("home")))
         marked = covered.join(heavy, "key", "left").withColumn("e", F.explode(F.when(F.col("side").isNull(), alone).otherwise(both)))
-        dealt = marked.select("key", "fp", "doc", F.col("e.home").alias("home"), F.col("e.cell").alias("cell"))
-    ready = dealt.select(F.xxhash64("key", "cell").alias("cell"), "fp", "doc", "home").repartition("cell").sortWithinPartitions("cell")
+        dealt = marked.select("key", *prints, "doc", F.col("e.home").alias("home"), F.col("e.cell").alias("cell"))
+    ready = dealt.select(F.xxhash64("key", "cell").alias("cell"), *prints, "doc", "home").repartition("cell").sortWithinPartitions("cell")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -203,8 +253,8 @@ def links(distinct: DataFrame, max_bits: int = 4, cell_rows: int = 20_000) -> Da
                     yield pa.record_batch([pa.array(a), pa.array(b)], ["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            held.append([cols[0], cols[1].view(np.uint64), *cols[2:]])  # bitwise_count is for unsigned values
+            cell, *fp, doc, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(words + 3))
+            held.append([cell, np.stack(fp, axis=1).view(np.uint64), doc, home])  # bitwise_count is for unsigned values
             rows += batch.num_rows
             if rows >= 200_000:
                 cols = [np.concatenate(x) for x in zip(*held)]
@@ -218,10 +268,21 @@ def links(distinct: DataFrame, max_bits: int = 4, cell_rows: int = 20_000) -> Da
     return ready.mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    prints = staged(fingerprints(docs, k), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
-    found = components(links(distinct.where("doc is not null"), max_bits))
-    named = distinct.join(found, distinct.doc == found.node, "left").select("fp", F.coalesce("component", "doc").alias("component_id"))
-    return prints.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def bits_at(similarity: float, bits: int) -> int:
+    """The differing bits to allow for a Jaccard similarity of shingles: what is expected there, and a standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, max_bits: int = 4, words: int = 1, meeting: float = 0.95) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits a word), component_id."""
+    names = _names(words)
+    prints = staged(fingerprints(docs, k, words), "fingerprints")
+    # stand-ins after all ids for fingerprints of null doc_ids alone; in one word, those that share one differ in two bits at most
+    none = F.lit(NO_ID) + (F.col("f0") if words == 1 else F.xxhash64(*names)).bitwiseAND(F.lit(NO_ID - 1))
+    distinct = staged(prints.groupBy(*names).agg(F.coalesce(F.min("doc_id"), none).alias("doc")), "distinct")
+    found = components(links(distinct, max_bits, words=words, meeting=meeting))
+    named = distinct.join(found, distinct.doc == found.node, "left").select(*names, F.coalesce("component", "doc").alias("component_id"))
+    named = named.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
+    joined = prints.join(named.hint("merge"), names)
+    return joined.select("doc_id", F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in names]).alias("fingerprint"), "component_id")

@@ -111,6 +111,28 @@ def print_brute(t, k=4):
     return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
 
 
+def wide_print(t, k=5, words=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    s = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    out = []
+    for j in range(words):
+        h = simhash._rehashed(np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in s], np.uint64), j).tolist()
+        out.append(sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h)))
+    return out
+
+
+def component_brute_wide(fps, max_bits):
+    """Of {doc: words of its fingerprint}: the smallest doc of each one's group."""
+    f = np.array(list(fps.values()), np.uint64)
+    label = np.array(list(fps))
+    near = [np.flatnonzero(np.bitwise_count(f ^ x).sum(axis=1) <= max_bits) for x in f]
+    while True:
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            return dict(zip(fps, label.tolist()))
+        label = new
+
+
 def component_brute(fps, max_bits=4):
     f = np.array([x for _, x in fps], np.uint64)
     label = np.array([d for d, _ in fps])
@@ -141,7 +163,7 @@ def test_simhash_links_are_complete(spark, cell_rows):
     for _ in range(300):
         fps.append(int(base[0]) ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
     fps = list(dict.fromkeys(fps))
-    frame = spark.createDataFrame([(x - 2**64 if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, doc long").repartition(4)
+    frame = spark.createDataFrame([(x - 2**64 if x >> 63 else x, i) for i, x in enumerate(fps)], "f0 long, doc long").repartition(4)
     found = {r.node: r.component for r in simhash.components(simhash.links(frame, 4, cell_rows)).collect()}
     want = component_brute(list(enumerate(fps)))
     assert {i: found.get(i, i) for i in want} == want
