@@ -6,21 +6,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Own confusion costs in tenths, symmetric: letters that scans mix up.
-CONFUSION_TENTHS = {
-    1: "il oö uü aä eé eè nñ cç",
-    2: "lt rn ce oe ij uv ïi eê ií oó ao",
-    3: "ft hb gq mn vy sz ki",
-    4: "bd pq xk",
-}
+CONFUSION_TENTHS = [
+    ("i", "l", 1),
+    ("o", "ö", 1),
+    ("u", "ü", 1),
+    ("a", "ä", 1),
+    ("e", "é", 1),
+    ("e", "è", 1),
+    ("n", "ñ", 1),
+    ("c", "ç", 1),
+    ("l", "t", 2),
+    ("r", "n", 2),
+    ("c", "e", 2),
+    ("o", "e", 2),
+    ("i", "j", 2),
+    ("u", "v", 2),
+    ("ï", "i", 2),
+    ("e", "ê", 2),
+    ("i", "í", 2),
+    ("o", "ó", 2),
+    ("a", "o", 2),
+    ("f", "t", 3),
+    ("h", "b", 3),
+    ("g", "q", 3),
+    ("m", "n", 3),
+    ("v", "y", 3),
+    ("s", "z", 3),
+    ("k", "i", 3),
+    ("b", "d", 4),
+    ("p", "q", 4),
+    ("x", "k", 4),
+]
 
 
 def confusion_pairs() -> list[tuple[str, str, int]]:
     """(a, b, cost in tenths) in both directions."""
-    out = []
-    for cost, pairs in CONFUSION_TENTHS.items():
-        for p in pairs.split():
-            out += [(p[0], p[1], cost), (p[1], p[0], cost)]
-    return out
+    return [row for a, b, cost in CONFUSION_TENTHS for row in ((a, b, cost), (b, a, cost))]
 
 
 def confusion_map(pairs: list[tuple[str, str, int]]) -> Column:

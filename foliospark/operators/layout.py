@@ -98,28 +98,34 @@ def band_of(cy: Column, n: int) -> Column:
 
 
 def _gutters(lines: DataFrame, keys: list[str], tuning: Tuning) -> DataFrame:
-    """(keys, gutter) of groups of lines that carry their skew; groups without a gutter are left out."""
+    """(keys, gutter) of groups of lines that carry their skew; groups without a gutter are left out.
+
+    A group's lines meet once; coverage, its limit and the longest thin run are folds of the group's array.
+    """
     bins = tuning.gutter_bins
     low, high = geo.deskewed_range(F.col("skew"))
     clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.when(c < 0, F.ceil(c * bins)).otherwise(F.floor(c * bins)))).cast("int")
     narrow = with_geometry(lines).where(F.col("width") <= tuning.gutter_max_width)
-    spans = narrow.select(*keys, clamp(low).alias("a"), clamp(high).alias("z"))
-    # coverage changes at the ends of each line's range: two rows a line, whatever its width
-    edges = spans.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("bin"), F.lit(1).alias("d")), F.struct((F.col("z") + 1).alias("bin"), F.lit(-1).alias("d")))).alias("e"))
-    changes = edges.groupBy(*keys, "e.bin").agg(F.sum("e.d").alias("d"))
-    counts = spans.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= tuning.gutter_min_lines)
-    spine = counts.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    w = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    covered = spine.join(changes, [*keys, "bin"], "left").withColumn("coverage", F.sum(F.coalesce("d", F.lit(0))).over(w))
-    middle = covered.where(F.col("bin").between(tuning.gutter_low, tuning.gutter_high))
-    group = Window.partitionBy(*keys)
-    threshold = F.greatest(F.lit(1), F.floor(F.sum("coverage").over(group) / F.lit(float(tuning.gutter_high - tuning.gutter_low + 1)) * tuning.gutter_share))
-    thin = middle.withColumn("limit", threshold).where(F.col("coverage") <= F.col("limit"))
-    runs = thin.withColumn("run", F.col("bin") - F.row_number().over(group.orderBy("bin")))
-    lengths = runs.groupBy(*keys, "run").agg(F.min("bin").alias("start"), F.count("*").alias("len"))
-    best = lengths.groupBy(*keys).agg(F.min_by(F.struct("start", "len"), F.struct(-F.col("len"), F.col("start"))).alias("b"))
-    gutter = (F.col("b.start") + F.col("b.len") / 2.0) / F.lit(float(bins))
-    return best.where(F.col("b.len") >= tuning.gutter_min_run).select(*keys, gutter.alias("gutter"))
+    spans = narrow.select(*keys, F.struct(clamp(low).alias("a"), clamp(high).alias("z")).alias("s"))
+    # as many as a group has lines
+    groups = spans.groupBy(*keys).agg(F.collect_list("s").alias("spans")).where(F.size("spans") >= tuning.gutter_min_lines)
+    middle = F.sequence(F.lit(tuning.gutter_low), F.lit(tuning.gutter_high))
+    coverage = F.transform(middle, lambda b: F.size(F.filter("spans", lambda s: (s["a"] <= b) & (s["z"] >= b))))
+    groups = groups.select(*keys, coverage.alias("coverage"))
+    total = F.aggregate("coverage", F.lit(0), lambda t, c: t + c)
+    share = total / F.lit(float(tuning.gutter_high - tuning.gutter_low + 1)) * tuning.gutter_share
+    groups = groups.withColumn("limit", F.greatest(F.lit(1), F.floor(share)))
+    zero = F.lit(0)
+    init = F.struct(F.lit(tuning.gutter_low).alias("bin"), zero.alias("len"), zero.alias("best"), zero.alias("start"))
+
+    def step(s: Column, c: Column) -> Column:
+        length = F.when(c <= F.col("limit"), s["len"] + 1).otherwise(0)
+        longer = length > s["best"]  # of equal runs the first stays
+        start = F.when(longer, s["bin"] - length + 1).otherwise(s["start"])
+        return F.struct((s["bin"] + 1).alias("bin"), length.alias("len"), F.greatest(length, s["best"]).alias("best"), start.alias("start"))
+
+    found = groups.select(*keys, F.aggregate("coverage", init, step).alias("b")).where(F.col("b.best") >= tuning.gutter_min_run)
+    return found.select(*keys, ((F.col("b.start") + F.col("b.best") / 2.0) / F.lit(float(bins))).alias("gutter"))
 
 
 def body_lines(lines: DataFrame) -> DataFrame:
@@ -133,16 +139,29 @@ def mid_skew(lines: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
     return band_skew(lines, tuning).where(F.col("band") == tuning.bands // 2).select(*PAGE, "skew")
 
 
+def _with_mid_skew(lines: DataFrame, tuning: Tuning) -> DataFrame:
+    """Adds __body (lines that count: body lines, or all of a page without any) and skew, as mid_skew over those, by windows
+    over the page alone."""
+    page = Window.partitionBy(*PAGE)
+    band = tuning.bands // 2
+    low, high = band / tuning.bands, 1.0 if band == tuning.bands - 1 else band / tuning.bands + 1.0 / tuning.bands
+    body = (F.col("role") == "body") | (F.max(F.when(F.col("role") == "body", 1).otherwise(0)).over(page) == 0)
+    cy = geo.center_y()
+    df = lines.withColumn("__body", body).withColumn("__angle", F.when(F.col("__body"), geo.rotation_angle()))
+    df = df.withColumn("__mid", F.when((cy >= low) & (cy <= high), F.col("__angle")))
+    skew = F.when(F.count("__mid").over(page) >= tuning.band_min_lines, upper_median("__mid").over(page)).otherwise(upper_median("__angle").over(page))
+    return df.withColumn("skew", skew).drop("__angle", "__mid")
+
+
 def column_gutter(lines: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
     """(page, gutter) of pages with one, from body lines under the middle band's skew."""
-    body = body_lines(lines)
-    return _gutters(body.join(mid_skew(body, tuning), PAGE), PAGE, tuning)
+    return _gutters(_with_mid_skew(lines, tuning).where("__body"), PAGE, tuning)
 
 
 def column_assign(lines: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
     """Adds side: L or R of the page's gutter under the middle band's skew; L without a gutter; and gutter."""
-    skew = mid_skew(body_lines(lines), tuning)
-    df = lines.join(skew, PAGE).join(column_gutter(lines, tuning), PAGE, "left")
+    df = _with_mid_skew(lines, tuning)
+    df = df.join(_gutters(df.where("__body"), PAGE, tuning), PAGE, "left")
     x = geo.deskewed_center(F.col("skew"))
     side = F.when(F.col("gutter").isNull() | (x < F.col("gutter")), "L").otherwise("R")
     return df.withColumn("side", side).select(*lines.columns, "gutter", "side")

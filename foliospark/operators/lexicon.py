@@ -10,9 +10,13 @@ from ..functions import strings
 
 
 def corpus_cores(docs: DataFrame) -> DataFrame:
-    """(lang, core, n): the cores of the documents' tokens with their counts."""
+    """(lang, core, n): the cores of the documents' tokens with their counts.
+
+    Equal tokens are counted first, so that patterns meet each only once.
+    """
     t = docs.select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("token"))
-    return t.select("lang", strings.core(F.col("token")).alias("core")).where("core <> ''").groupBy("lang", "core").agg(F.count("*").alias("n"))
+    t = t.groupBy("lang", "token").agg(F.count("*").alias("n"))
+    return t.select("lang", strings.core(F.col("token")).alias("core"), "n").groupBy("lang", "core").agg(F.sum("n").alias("n")).where("core <> ''")
 
 
 def lexicon(cores: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
@@ -45,11 +49,16 @@ def vectors(lex: DataFrame, embeddings: DataFrame) -> DataFrame:
     n = embeddings.count()
     words = lex.select("word_lower").distinct()
     e = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return words.join(e, F.pmod(F.xxhash64("word_lower"), F.lit(n)) == F.col("vec_id")).select(F.col("word_lower").alias("word"), "v")
+    place = F.conv(F.substring(F.md5("word_lower"), 1, 8), 16, 10).cast("long") % F.lit(n)
+    return words.join(e, place == F.col("vec_id")).select(F.col("word_lower").alias("word"), "v")
 
 
 def mean_vector(tokens: DataFrame, vecs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, v): element-wise mean of the vectors of each group's words; words without one are skipped."""
+    """(keys, v): element-wise mean of the vectors of each group's words; words without one are skipped.
+
+    A group's vectors (a few context words) meet as arrays and are added up element by element.
+    """
     joined = tokens.select(*keys, F.lower("word").alias("__w")).join(vecs, F.col("__w") == F.col("word"))
-    each = joined.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    g = joined.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    total = F.aggregate(F.slice("vs", F.lit(2), F.greatest(F.size("vs") - 1, F.lit(0))), F.get("vs", F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return g.select(*keys, F.transform(total, lambda x: x / F.size("vs")).alias("v"))

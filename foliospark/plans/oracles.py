@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.distance import confusion_pairs
 from ..functions.strings import ACCENTED, DIGIT_LETTERS, DIGITS, FOLDED
-from ..operators.correction import GRAPHEMES
+from ..operators.correction import GRAPHEMES, REPLACEMENTS
+from ..operators.raster import PHOTO_WORDS
 
 _LINES = r"""
 d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS t FROM documents),
@@ -181,10 +184,10 @@ gp AS (SELECT lang, core, ord, src, dst, string_split(lower(core), src) AS parts
 gk AS (SELECT *, unnest(range(1, len(parts))) AS k FROM gp),
 ga AS (SELECT lang, core, ord, src, dst, length(array_to_string(list_slice(parts, 1, k), '#')) + (k - 1) * (length(src) - 1) AS pos FROM gk),
 gv AS (
-  SELECT lang, core, ord, pos, substr(core, 1, pos) || CASE WHEN lower(substr(core, pos + 1, 1)) <> substr(core, pos + 1, 1) THEN upper(dst[1]) || substr(dst, 2) ELSE dst END
+  SELECT lang, core, ord, pos, substr(core, 1, pos) || CASE WHEN lower(substr(core, pos + 1, 1)) <> substr(core, pos + 1, 1) AND dst[1] <> 'ß' THEN upper(dst[1]) || substr(dst, 2) ELSE dst END
     || substr(core, pos + length(src) + 1) AS candidate FROM ga
 ),
-gr AS (SELECT lang, core, candidate, min((ord, pos)) AS o FROM gv WHERE {_valid("candidate", "gv")} GROUP BY ALL),
+gr AS (SELECT lang, core, candidate, min((ord, pos)) AS o FROM gv WHERE candidate <> core AND {_valid("candidate", "gv")} GROUP BY ALL),
 graph AS (SELECT lang, core, candidate, row_number() OVER (PARTITION BY lang, core ORDER BY o, candidate) AS rk FROM gr QUALIFY rk <= 20)"""
 _SUBS = f""",
 cp AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', {c})" for a, b, c in confusion_pairs())}) v(a, b, cost)),
@@ -206,10 +209,9 @@ pv AS (
 pr AS (SELECT lang, core, candidate, min((i, j)) AS o FROM pv WHERE {_valid("candidate", "pv")} GROUP BY ALL),
 pair AS (SELECT lang, core, candidate, row_number() OVER (PARTITION BY lang, core ORDER BY o, candidate) AS rk FROM pr QUALIFY rk <= 30)"""
 _DIA = f""",
-dia AS (
-  SELECT open.lang, core, word_lower AS candidate FROM open JOIN lex ON open.lang = lex.lang
-    AND lower(translate(core, '{ACCENTED}', '{FOLDED}')) = lower(translate(word_lower, '{ACCENTED}', '{FOLDED}')) WHERE word_lower <> core
-)"""
+folded AS MATERIALIZED (SELECT lang, core, lower(translate(core, '{ACCENTED}', '{FOLDED}')) AS f FROM open),
+listed AS MATERIALIZED (SELECT lang, word_lower, lower(translate(word_lower, '{ACCENTED}', '{FOLDED}')) AS f FROM lex),
+dia AS (SELECT o.lang, core, word_lower AS candidate FROM folded o JOIN listed l ON o.lang = l.lang AND o.f = l.f WHERE word_lower <> core)"""
 _COSTS = "MAP {" + ", ".join(f"'{a}{b}': {c}" for a, b, c in confusion_pairs()) + "}"
 
 
@@ -218,33 +220,195 @@ def _edit(source: str, unit: bool = False) -> str:
     ca, cb = "substr(lower(a), i + 1, 1)", "substr(lower(b), j[1] + 1, 1)"
     sub = f"CASE WHEN {ca} = {cb} THEN 0 ELSE {'10' if unit else f'coalesce(costs[{ca} || {cb}], 10)'} END"
     return f""",
-m AS (SELECT {_COSTS} AS costs),
+costing AS (SELECT {_COSTS} AS costs),
 tab AS (
   SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: (j * 10)::INT) AS r FROM {source}
   UNION ALL
   SELECT a, b, i + 1, list_reduce(list_transform(range(length(b)), lambda j: [j::INT]),
     lambda o, j: list_append(o, least(o[-1] + 10, r[j[1] + 2] + 10, r[j[1] + 1] + {sub})::INT), [r[1] + 10])
-  FROM tab, m WHERE i < length(a)
+  FROM tab, costing WHERE i < length(a)
 ),
 dist AS (SELECT a, b, r[-1] AS d FROM tab WHERE i = length(a))"""
 
 
-_WORD_PAIRS = _CORES + r""",
-bw AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^\pL]+')) AS a FROM benchmark),
-pairs AS (
-  SELECT a, b FROM (SELECT a FROM bw WHERE length(a) BETWEEN 4 AND 9) JOIN (SELECT DISTINCT word_lower AS b FROM lex WHERE length(word_lower) BETWEEN 4 AND 9)
-    ON substr(a, 1, 2) = substr(b, 1, 2) AND abs(length(a) - length(b)) <= 1
-)"""
+_EVERY = (
+    _CORES
+    + _OPEN
+    + _GRAPH
+    + _SUBS
+    + _PAIRS
+    + _DIA
+    + """,
+staged AS (SELECT lang, core, candidate, 0 AS st, rk FROM graph UNION ALL SELECT lang, core, candidate, 1, rk FROM single UNION ALL SELECT lang, core, candidate, 2, rk FROM pair),
+firsts AS (SELECT lang, core, candidate, min((st, rk)) AS o FROM staged GROUP BY ALL),
+optical AS (SELECT lang, core, candidate FROM firsts QUALIFY row_number() OVER (PARTITION BY lang, core ORDER BY o, candidate) <= 30),
+every AS (SELECT * FROM optical UNION SELECT * FROM dia),
+ab AS (SELECT DISTINCT core AS a, candidate AS b FROM every)"""
+)
 _AFFIX = r"'(?s)^([^\pL]*)(\pL(?:.*\pL)?)([^\pL]*)$'"
 _TOKS = """,
 split AS (SELECT doc_id, page_idx, line_no, string_split(text, ' ') AS ts FROM lines),
 tokens AS (SELECT doc_id, page_idx, line_no, (i - 1)::INT AS tok_idx, ts[i] AS token FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM split))"""
 
 
+def _merged() -> tuple[str, str]:
+    """Each letter of the confusion table beside the least one of its class."""
+    classes: list[set[str]] = []
+    for a, b, _ in confusion_pairs():
+        new = {a, b}.union(*(c for c in classes if c & {a, b}))
+        classes = [c for c in classes if not c & new] + [new]
+    return "".join(x for c in classes for x in sorted(c)), "".join(min(c) for c in classes for _ in c)
+
+
+_FROM, _TO = _merged()
+
+
 def _q(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE' if recursive else ''} {ctes.strip().lstrip(',')}\n{select}"
 
 
+def _replaced(word: str) -> str:
+    """Whole-word replacement with the capital kept."""
+    table = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in REPLACEMENTS.items()) + "}"
+    target, first = f"{table}[lower({word})]", f"{word}[1]"
+    return (
+        f"CASE WHEN {target} IS NULL THEN {word} WHEN upper({first}) = {first} AND lower({first}) <> {first} "
+        f"THEN upper({target}[1]) || substr({target}, 2) ELSE {target} END"
+    )
+
+
+def _split(source: str, p: str = "") -> str:
+    """CTEs that end in {p}parts(lang, core, parts), for the distinct cores of source."""
+    return f""",
+{p}todo AS (
+  SELECT DISTINCT t.lang, core FROM {source} t
+  WHERE length(core) BETWEEN 6 AND 24 AND NOT regexp_matches(core, '[0-9]') AND upper(core) <> core AND NOT ({_valid("core", "t")})
+),
+{p}begins AS (SELECT lang, core, unnest(range(length(core))) AS i FROM {p}todo),
+{p}seg AS (SELECT lang, core, i, n, substr(core, i + 1, n) AS part FROM {p}begins, (SELECT unnest(range(1, 13)) AS n) WHERE i + n <= length(core)),
+{p}ok AS (SELECT lang, core, list(i * 100 + n) AS ok FROM {p}seg WHERE {_valid("part", p + "seg")} GROUP BY ALL),
+{p}back AS (
+  SELECT lang, core, ok, length(core) AS i, []::VARCHAR[] AS done FROM {p}ok
+  UNION ALL
+  SELECT lang, core, ok, i - 1, list_prepend(CASE WHEN n IS NULL THEN NULL WHEN i - 1 + n = length(core) THEN substr(core, i, n) ELSE substr(core, i, n) || chr(1) || done[n] END, done)
+  FROM (SELECT *, list_max(list_filter(range(1, 13), lambda n: list_contains(ok, (i - 1) * 100 + n) AND (i - 1 + n = length(core) OR done[n] IS NOT NULL))) AS n FROM {p}back WHERE i > 0)
+),
+{p}parts AS (
+  SELECT lang, core, replace(done[1], chr(1), ' ') AS parts FROM {p}back
+  WHERE i = 0 AND contains(done[1], chr(1)) AND length(core) / len(string_split(done[1], chr(1)))::DOUBLE >= 2.5
+)"""
+
+
+_OF_NORMS = re.compile(
+    r"\b(norms|open|gl|gp|gk|ga|gv|gr|graph|cp|ch|cs|subs|sv|sr|single|pv|pr|pair|folded|listed|dia|staged|firsts|optical|every|ab|costing|tab|dist)\b"
+)
+
+
+def _corrections(source: str, p: str) -> str:
+    """CTEs that end in {p}fix(lang, core, new), for the distinct cores of source; names within begin with p."""
+    search = (_OPEN + _EVERY.removeprefix(_CORES + _OPEN) + _edit("ab")).replace("FROM cores\n", f"FROM {p}asked\n")
+    return (
+        f""",
+{p}r1 AS (SELECT *, {_replaced("core")} AS r FROM (SELECT DISTINCT lang, core FROM {source} WHERE core <> '')),
+{p}asked AS (SELECT DISTINCT lang, r AS core FROM {p}r1)"""
+        + _OF_NORMS.sub(lambda x: p + x[0], search)
+        + f""",
+{p}best AS (
+  SELECT lang, core, candidate AS best FROM {p}every JOIN {p}dist ON core = a AND candidate = b QUALIFY row_number() OVER (PARTITION BY lang, core ORDER BY d, candidate) = 1
+),
+{p}r2 AS (
+  SELECT x.lang, x.core, CASE WHEN length(norm) < 3 OR regexp_full_match(norm, '[0-9]+') OR upper(norm) = norm THEN r ELSE coalesce(best, norm) END AS r2
+  FROM (SELECT *, CASE WHEN regexp_matches(r, '[\\pNıﬁﬂ]') THEN translate(r, '{DIGITS}', '{DIGIT_LETTERS}') ELSE r END AS norm FROM {p}r1) x
+  LEFT JOIN {p}best b ON x.lang = b.lang AND norm = b.core
+),
+{p}whole AS (SELECT DISTINCT lang, r2 AS core FROM {p}r2)"""
+        + _split(f"{p}whole", p)
+        + f""",
+{p}r3 AS (SELECT x.lang, x.core, coalesce(parts, r2) AS r3 FROM {p}r2 x LEFT JOIN {p}parts s ON x.lang = s.lang AND r2 = s.core),
+{p}fix AS (SELECT lang, core, {_replaced("r3")} AS new FROM {p}r3)"""
+    )
+
+
+def _protect(source: str, p: str) -> str:
+    """CTEs that end in {p}name(doc_id, page_idx, core, name, exact): the protected name of each core, from pn(doc_id, page_idx, name)."""
+    return (
+        f""",
+{p}pc AS (SELECT DISTINCT doc_id, page_idx, core FROM {source} WHERE core <> ''),
+{p}pp AS (
+  SELECT c.doc_id, c.page_idx, core, name FROM {p}pc c JOIN pn n ON c.doc_id = n.doc_id AND c.page_idx = n.page_idx AND abs(length(core) - length(name)) <= 1
+  WHERE core = name OR levenshtein(lower(core), lower(name)) <= CASE WHEN strlen(core || name) = length(core || name) THEN 1 ELSE 4 END
+    OR translate(lower(core), '{_FROM}', '{_TO}') = translate(lower(name), '{_FROM}', '{_TO}')
+),
+{p}pab AS (SELECT DISTINCT core AS a, name AS b FROM {p}pp)"""
+        + re.sub(r"\b(costing|tab|dist|ab)\b", lambda x: f"{p}p{x[0]}", _edit("ab"))
+        + f""",
+{p}name AS (
+  SELECT doc_id, page_idx, core, name, core = name AS exact FROM {p}pp JOIN {p}pdist ON core = a AND name = b WHERE core = name OR d = 10
+  QUALIFY row_number() OVER (PARTITION BY doc_id, page_idx, core ORDER BY core <> name, name) = 1
+)"""
+    )
+
+
+def _parted(source: str, name: str) -> str:
+    """CTE name: rows of source with the parts of their token."""
+    return f""",
+{name} AS (SELECT *, regexp_extract(token, {_AFFIX}, 1) AS pre, regexp_extract(token, {_AFFIX}, 2) AS core, regexp_extract(token, {_AFFIX}, 3) AS suf FROM {source})"""
+
+
+def _fixed(source: str, p: str, name: str, names: bool = True) -> str:
+    """CTE name: rows of source (from _parted) with corrected."""
+    new = "pre || coalesce(new, t.core) || suf"
+    if not names:
+        return f""",
+{name} AS (SELECT t.*, CASE WHEN t.core = '' THEN token ELSE {new} END AS corrected FROM {source} t LEFT JOIN {p}fix f ON t.lang = f.lang AND t.core = f.core)"""
+    cased = "CASE WHEN lower(t.core[1]) <> t.core[1] THEN upper(name[1]) || lower(substr(name, 2)) ELSE lower(name) END"
+    return f""",
+{name} AS (
+  SELECT t.*, CASE WHEN t.core = '' OR exact THEN token WHEN name IS NOT NULL THEN pre || {cased} || suf ELSE {new} END AS corrected
+  FROM {source} t LEFT JOIN {p}fix f ON t.lang = f.lang AND t.core = f.core
+  LEFT JOIN {p}name n ON t.doc_id = n.doc_id AND t.page_idx = n.page_idx AND t.core = n.core
+)"""
+
+
+_CORRECTED_TOKENS = (
+    _CORES + "," + _LINES + _TOKS + """,
+ltok AS (SELECT tokens.*, lang FROM tokens JOIN documents USING (doc_id))""" + _parted("ltok", "ptok") + _corrections("ptok", "t_") + _fixed("ptok", "t_", "ctok", names=False)
+)
+# only the last line of a document can be of one token, and it is the last of its paragraph, so repairs do not follow from one another
+_HYPHENS = (
+    _CORES + "," + _LINES + _ORDER + f""",
+brk AS MATERIALIZED (
+  SELECT r.doc_id, page_idx, line_no, reading_order, place, lang, string_split(CASE WHEN place % 4 = 0 THEN r.text || '-' ELSE r.text END, ' ') AS ts
+  FROM ranked r JOIN documents USING (doc_id)
+),
+hy AS MATERIALIZED (
+  SELECT *, CASE WHEN ends_with(ts[-1], '-') THEN left(ts[-1], length(ts[-1]) - 1) || lead(ts[1]) OVER (PARTITION BY doc_id, page_idx, reading_order ORDER BY place) END AS token FROM brk
+),
+pn AS MATERIALIZED (
+  SELECT DISTINCT doc_id, page_idx, name FROM (SELECT doc_id, page_idx, regexp_extract(unnest(ts), {_AFFIX}, 2) AS name FROM brk) WHERE regexp_full_match(name, '\\p{{Lu}}\\p{{Ll}}{{2,}}')
+)""" + _parted("(SELECT * FROM hy WHERE token IS NOT NULL)", "mg") + _corrections("mg", "h_") + _protect("mg", "h_") + _fixed("mg", "h_", "mgc") + """,
+cut AS (
+  SELECT hy.*, CASE WHEN length(corrected) >= length(hy.ts[-1]) - 1 THEN left(corrected, length(hy.ts[-1]) - 1) || '-' END AS ending,
+    CASE WHEN length(corrected) >= length(hy.ts[-1]) - 1 THEN substr(corrected, length(hy.ts[-1])) END AS rest
+  FROM hy LEFT JOIN mgc USING (doc_id, page_idx, line_no)
+),
+begun AS (SELECT *, lag(rest) OVER (PARTITION BY doc_id, page_idx, reading_order ORDER BY place) AS beginning FROM cut),
+first_set AS (SELECT * REPLACE (CASE WHEN beginning IS NULL THEN ts ELSE list_concat([beginning], ts[2:]) END AS ts) FROM begun),
+repaired AS MATERIALIZED (SELECT * REPLACE (CASE WHEN ending IS NULL THEN ts ELSE list_concat(ts[:-2], [ending]) END AS ts) FROM first_set)"""
+)
+_PAGES = (
+    _HYPHENS + """,
+rtok AS (SELECT doc_id, page_idx, line_no, reading_order, place, lang, i AS tok_idx, ts[i] AS token FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM repaired))"""
+    + _parted("rtok", "rp") + _corrections("rp", "r_") + _protect("rp", "r_") + _fixed("rp", "r_", "rc")
+)
+_WORDS = (
+    _HYPHENS + """,
+pieces AS (SELECT *, list_filter(ts, lambda w: w <> '') AS ws FROM brk),
+wtok AS (SELECT doc_id, page_idx, line_no, lang, i AS tok_idx, ws[i] AS token FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM pieces WHERE len(ws) >= 2))"""
+    + _parted("wtok", "wp") + _corrections("wp", "w_") + _protect("wp", "w_") + _fixed("wp", "w_", "wc")
+)
+
+
 _RASTER = r"""
 sz AS (SELECT page_id, (4 + page_id % 7) AS edge, (74 + page_id % 9) AS mid FROM pages),
 px AS (
@@ -253,13 +417,20 @@ px AS (
 )"""
 
 
-def _crop(axis: str, size: int, across: int, first: str, last: str) -> str:
+def _crop(axis: str, size: int, first: str, last: str) -> str:
     return f""",
-w{axis} AS (SELECT page_id, {axis}, (count(*) FILTER (v > 216) > {across} * 0.75)::INT AS white FROM px GROUP BY ALL),
-t{axis} AS (SELECT page_id, {axis}, white + lead(white, 1, 0) OVER o + lead(white, 2, 0) OVER o AS s FROM w{axis} WINDOW o AS (PARTITION BY page_id ORDER BY {axis})),
+w{axis} AS (SELECT page_id, g{axis}, (count(*) FILTER (v > 216) > 150)::INT AS white FROM grid GROUP BY ALL),
+t{axis} AS (SELECT page_id, g{axis}, white + lead(white, 1, 0) OVER o + lead(white, 2, 0) OVER o AS s FROM w{axis} WINDOW o AS (PARTITION BY page_id ORDER BY g{axis})),
+e{axis} AS (SELECT page_id, min(g{axis}) FILTER (s = 3) AS a, max(g{axis}) FILTER (s = 3) AS z FROM t{axis} GROUP BY page_id),
 c{axis} AS (
-  SELECT page_id, greatest(min({axis}) - ceil({size} * 0.01), 0)::BIGINT AS "{first}", least(max({axis}) + 2 + ceil({size} * 0.01), {size - 1})::BIGINT AS "{last}"
-  FROM t{axis} WHERE s = 3 GROUP BY page_id HAVING max({axis}) + 2 - min({axis}) > {size} / 5
+  SELECT page_id, greatest(a / 200.0::DOUBLE * {size} - {size} * 0.01::DOUBLE, 0.0) AS "{first}", least(z / 200.0::DOUBLE * {size} + {size} * 0.01::DOUBLE, {size}.0) AS "{last}"
+  FROM (SELECT page_id, CASE WHEN a < 197 THEN a ELSE 0 END AS a, coalesce(z + 2, 199) AS z FROM e{axis}) WHERE z - a > 40
+)"""
+
+
+_GRID = """,
+grid AS (
+  SELECT page_id, gx, gy, v FROM px, (SELECT unnest(range(200)) AS gx), (SELECT unnest(range(200)) AS gy) WHERE x = gx * 160 // 200 AND y = gy * 60 // 200
 )"""
 
 
@@ -369,8 +540,8 @@ WHERE regexp_full_match(core, '\p{{Lu}}\p{{Ll}}{{2,}}') GROUP BY core""",
     ),
     "lexicon": _q(_CORES, "SELECT * FROM lex"),
     "valid_words": _q(_CORES, f"SELECT lang, core FROM cores WHERE {_valid('core', 'cores')}"),
-    "edit_distance": _q(_WORD_PAIRS + _edit("pairs", unit=True), "SELECT a, b, (d // 10)::INT AS distance FROM dist", True),
-    "weighted_edit": _q(_WORD_PAIRS + _edit("pairs"), "SELECT a, b, d AS tenths FROM dist", True),
+    "edit_distance": _q(_EVERY + _edit("ab", unit=True), "SELECT a, b, (d // 10)::INT AS distance FROM dist", True),
+    "weighted_edit": _q(_EVERY + _edit("ab"), "SELECT a, b, d AS tenths FROM dist", True),
     "cosine_pairs": """
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT label, arg_min(v, vec_id) AS f FROM e GROUP BY label)
 SELECT vec_id, label, round(list_cosine_similarity(v, f), 6) AS cosine FROM e JOIN f USING (label)""",
@@ -379,8 +550,11 @@ SELECT vec_id, label, round(list_cosine_similarity(v, f), 6) AS cosine FROM e JO
         + _TOKS
         + rf""",
 pc AS (SELECT DISTINCT doc_id, page_idx, regexp_extract(token, {_AFFIX}, 2) AS core FROM tokens WHERE regexp_matches(token, '\pL')),
-pn AS (SELECT doc_id, page_idx, core AS name FROM pc WHERE regexp_full_match(core, '\p{{Lu}}\p{{Ll}}{{2,}}') AND length(core) >= 14),
-pp AS (SELECT c.doc_id, c.page_idx, core, name FROM pc c JOIN pn n ON c.doc_id = n.doc_id AND c.page_idx = n.page_idx AND abs(length(core) - length(name)) <= 1),
+pn AS (SELECT doc_id, page_idx, core AS name FROM pc WHERE regexp_full_match(core, '\p{{Lu}}\p{{Ll}}{{2,}}')),
+pp AS (
+  SELECT c.doc_id, c.page_idx, core, name FROM pc c JOIN pn n ON c.doc_id = n.doc_id AND c.page_idx = n.page_idx AND abs(length(core) - length(name)) <= 1
+  WHERE core = name OR levenshtein(lower(core), lower(name)) <= CASE WHEN strlen(core || name) = length(core || name) THEN 1 ELSE 4 END OR translate(lower(core), '{_FROM}', '{_TO}') = translate(lower(name), '{_FROM}', '{_TO}')
+),
 ab AS (SELECT DISTINCT core AS a, name AS b FROM pp)"""
         + _edit("ab"),
         """SELECT doc_id, page_idx, core, name, core = name AS exact FROM pp JOIN dist ON core = a AND name = b WHERE core = name OR d = 10
@@ -392,23 +566,52 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, page_idx, core ORDER BY core <>
     "pair_candidates": _q(_CORES + _OPEN + _SUBS + _PAIRS, "SELECT lang, core, candidate FROM pair"),
     "diacritic_matches": _q(_CORES + _OPEN + _DIA, "SELECT * FROM dia"),
     "best_candidate": _q(
-        _CORES
-        + _OPEN
-        + _GRAPH
-        + _SUBS
-        + _PAIRS
-        + _DIA
-        + """,
-staged AS (SELECT lang, core, candidate, 0 AS st, rk FROM graph UNION ALL SELECT lang, core, candidate, 1, rk FROM single UNION ALL SELECT lang, core, candidate, 2, rk FROM pair),
-firsts AS (SELECT lang, core, candidate, min((st, rk)) AS o FROM staged GROUP BY ALL),
-optical AS (SELECT lang, core, candidate FROM firsts QUALIFY row_number() OVER (PARTITION BY lang, core ORDER BY o, candidate) <= 30),
-every AS (SELECT * FROM optical UNION SELECT * FROM dia),
-ab AS (SELECT DISTINCT core AS a, candidate AS b FROM every)"""
-        + _edit("ab"),
+        _EVERY + _edit("ab"),
         """SELECT lang, core, candidate AS best FROM every JOIN dist ON core = a AND candidate = b
 QUALIFY row_number() OVER (PARTITION BY lang, core ORDER BY d, candidate) = 1""",
         True,
     ),
+    "split_merged": _q(_CORES + _split("cores"), "SELECT * FROM parts", True),
+    "corrected_tokens": _q(_CORRECTED_TOKENS, "SELECT doc_id, page_idx, line_no, tok_idx, token, corrected FROM ctok", True),
+    "hyphen_repair": _q(_HYPHENS, "SELECT doc_id, page_idx, reading_order, place, array_to_string(ts, ' ') AS text FROM repaired", True),
+    "corrected_pages": _q(
+        _PAGES
+        + """,
+done AS (SELECT doc_id, page_idx, reading_order, place, string_agg(corrected, ' ' ORDER BY tok_idx) AS text FROM rc GROUP BY ALL)""",
+        "SELECT doc_id, page_idx, string_agg(text, ' ' ORDER BY reading_order, place) AS text FROM done GROUP BY ALL",
+        True,
+    ),
+    "corrected_words": _q(_WORDS, "SELECT doc_id, page_idx, line_no, string_agg(corrected, ' ' ORDER BY tok_idx) AS words FROM wc GROUP BY ALL", True),
+    "context_candidate": _q(
+        _EVERY
+        + _edit("ab")
+        + ","
+        + _LINES
+        + _TOKS
+        + f""",
+near AS (SELECT lang, core, candidate FROM every JOIN dist ON core = a AND candidate = b QUALIFY d = min(d) OVER (PARTITION BY lang, core)),
+ltok AS (SELECT tokens.*, lang FROM tokens JOIN documents USING (doc_id)),
+use AS (
+  SELECT lang, regexp_extract(token, {_AFFIX}, 2) AS core, (doc_id, page_idx, line_no, tok_idx) AS spot,
+    list_concat(list(token) OVER (l ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), list(token) OVER (l ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) AS around
+  FROM ltok WINDOW l AS (PARTITION BY doc_id, page_idx, line_no ORDER BY tok_idx)
+),
+asked AS (SELECT *, {_replaced("core")} AS r FROM use WHERE core <> ''),
+spelt AS (SELECT *, CASE WHEN regexp_matches(r, '[\\pNıﬁﬂ]') THEN translate(r, '{DIGITS}', '{DIGIT_LETTERS}') ELSE r END AS word FROM asked),
+first_use AS (SELECT lang, core, unnest(around) AS beside FROM (SELECT lang, word AS core, arg_min(around, spot) AS around FROM spelt GROUP BY ALL)),
+words AS (SELECT DISTINCT word_lower AS w FROM lex),
+vecs AS (
+  SELECT w, embedding::DOUBLE[] AS v FROM words JOIN embeddings ON vec_id = ('0x' || substr(md5(w), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)
+),
+elem AS (SELECT lang, core, unnest(v) AS x, unnest(range(len(v))) AS i FROM first_use JOIN vecs ON lower(beside) = w),
+means AS (SELECT lang, core, list(x ORDER BY i) AS mean FROM (SELECT lang, core, i, avg(x) AS x FROM elem GROUP BY ALL) GROUP BY ALL),
+scored AS (
+  SELECT near.lang, near.core, candidate, coalesce(CASE WHEN v IS NULL THEN NULL WHEN mean IS NULL THEN 0.0 ELSE -round(list_cosine_similarity(mean, v), 9) END, 9.0) AS score
+  FROM near LEFT JOIN means USING (lang, core) LEFT JOIN vecs ON lower(candidate) = w
+)""",
+        "SELECT lang, core, arg_min(candidate, (score, candidate)) AS best FROM scored GROUP BY ALL",
+        True,
+    ),
     "ink_gutter": _q(
         _RASTER
         + """,
@@ -416,14 +619,17 @@ ink AS (SELECT page_id, x, sum(255 - v) AS ink FROM px GROUP BY ALL),
 ma AS (SELECT page_id, x, sum(ink) OVER w // count(*) OVER w AS m FROM ink WINDOW w AS (PARTITION BY page_id ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))""",
         "SELECT page_id, x AS gutter FROM ma WHERE x BETWEEN 72 AND 88 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY m, x) = 1",
     ),
-    "crop_box": _q(_RASTER + _crop("x", 160, 60, "left", "right") + _crop("y", 60, 160, "top", "bottom"), 'SELECT page_id, "left", "right", top, bottom FROM cx JOIN cy USING (page_id)'),
+    "crop_box": _q(
+        _RASTER + _GRID + _crop("x", 160, "left", "right") + _crop("y", 60, "top", "bottom"),
+        'SELECT page_id, round("left", 6) AS "left", round("right", 6) AS "right", round(top, 6) AS top, round(bottom, 6) AS bottom FROM cx JOIN cy USING (page_id)',
+    ),
     "crop_decision": """
 SELECT page_id, CASE WHEN cw < 0.02 AND ch < 0.02 THEN 'too little' WHEN cw > 0.5 OR ch > 0.45 THEN 'too much'
     WHEN abs((w / h) / (595.0::DOUBLE / 842.0::DOUBLE) - 1) > 0.4 THEN 'aspect' ELSE 'accepted' END AS decision,
   CASE WHEN -(page_id % 5) / 10.0::DOUBLE < -0.2::DOUBLE THEN 1.4::DOUBLE ELSE 1.0::DOUBLE END AS upscale
 FROM (SELECT page_id, 595.0::DOUBLE - (page_id % 40) * 10 AS w, 842.0::DOUBLE - (page_id % 60) * 9 AS h FROM pages), LATERAL (SELECT 1 - w / 595.0::DOUBLE AS cw, 1 - h / 842.0::DOUBLE AS ch)""",
-    "top_labels": """
+    "top_labels": f"""
 WITH l AS (SELECT user_id AS page_id, event_type AS label, max(value) AS confidence FROM events GROUP BY ALL)
 SELECT page_id, label, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, label) AS rank,
-  confidence >= 0.35::FLOAT AND regexp_matches(lower(label), 'photo|illustration|drawing|painting|portrait|art|poster') AS photo FROM l QUALIFY rank <= 3""",
+  confidence >= 0.35::FLOAT AND regexp_matches(lower(label), '{"|".join(PHOTO_WORDS)}') AS photo FROM l QUALIFY rank <= 10""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance, strings
@@ -12,6 +12,7 @@ from ..operators import layout, raster
 from ..operators import lexicon as lx
 from ..operators import text as tx
 from ..sources import lines as src
+from ..sources.storage import staged
 from .oracles import ORACLES
 
 PAGE = layout.PAGE
@@ -37,7 +38,7 @@ def ocr_lines(spark, sf_dir):
 def line_geometry(spark, sf_dir):
     """Angle, width, height, centre and deskewed extent of each line under its page's skew."""
     lines = src.document_lines(spark, sf_dir)
-    df = layout.with_geometry(lines).join(layout.page_skew(lines), PAGE)
+    df = layout.with_geometry(lines).withColumn("skew", layout.upper_median("angle").over(Window.partitionBy(*PAGE)))
     low, high = geo.deskewed_range(F.col("skew"))
     return df.select(*PAGE, "line_no", *map(_r, ("angle", "width", "height", "cy")), _r(low).alias("x_min"), _r(high).alias("x_max"), _r(geo.deskewed_center(F.col("skew"))).alias("x_center"))
 
@@ -202,8 +203,9 @@ def lexicon(spark, sf_dir):
 
 
 def _cores(spark, sf_dir):
-    cores = lx.corpus_cores(_table(spark, sf_dir, "documents"))
-    return cores, lx.lexicon(cores)
+    """Cores and lexicon, each computed once and stored."""
+    cores = staged(lx.corpus_cores(_table(spark, sf_dir, "documents")), "cores")
+    return cores, staged(lx.lexicon(cores), "lexicon")
 
 
 def valid_words(spark, sf_dir):
@@ -211,15 +213,19 @@ def valid_words(spark, sf_dir):
     return lx.valid(cores, lex, "core").select("lang", "core")
 
 
+def _candidates(spark, sf_dir):
+    """Every open core with each of its candidates, stored, and the lexicon."""
+    todo, lex = _open_cores(spark, sf_dir)
+    return staged(co.optical_candidates(todo, lex).unionByName(co.diacritic_matches(todo, lex)).distinct(), "candidates"), lex
+
+
 def _word_pairs(spark, sf_dir):
-    """Words of benchmark items beside words of the lexicon with the same first two letters and about the same length."""
-    b = _table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("a")).where(F.length("a").between(4, 9)).distinct()
-    lex = lexicon(spark, sf_dir).select(F.col("word_lower").alias("b")).where(F.length("b").between(4, 9)).distinct()
-    return b.join(lex, (F.substring("a", 1, 2) == F.substring("b", 1, 2)) & (F.abs(F.length("a") - F.length("b")) <= 1))
+    found, _ = _candidates(spark, sf_dir)
+    return found.select(F.col("core").alias("a"), F.col("candidate").alias("b")).distinct()
 
 
 def edit_distance(spark, sf_dir):
-    return _word_pairs(spark, sf_dir).select("a", "b", F.levenshtein("a", "b").alias("distance"))
+    return _word_pairs(spark, sf_dir).select("a", "b", F.levenshtein(F.lower("a"), F.lower("b")).alias("distance"))
 
 
 def weighted_edit(spark, sf_dir):
@@ -235,17 +241,16 @@ def cosine_pairs(spark, sf_dir):
 
 
 def protected_match(spark, sf_dir):
-    """Words of a page against its long capitalised words."""
+    """Words of a page against its capitalised words."""
     lines = src.document_lines(spark, sf_dir)
     cores = tx.token_affixes(lines).where("core <> ''").select(*PAGE, "core")
-    names = tx.capitalised(lines).where(F.length("name") >= 14)
-    return co.protected_match(cores, names)
+    return co.protected_match(cores, tx.capitalised(lines))
 
 
 def _open_cores(spark, sf_dir):
     cores, lex = _cores(spark, sf_dir)
     norm = co.normalised(cores.select("lang", "core"), lex)
-    return norm.where("state = 'open'").select("lang", F.col("norm").alias("core")).distinct(), lex
+    return staged(norm.where("state = 'open'").select("lang", F.col("norm").alias("core")).distinct(), "open"), lex
 
 
 def grapheme_candidates(spark, sf_dir):
@@ -269,8 +274,7 @@ def diacritic_matches(spark, sf_dir):
 
 
 def best_candidate(spark, sf_dir):
-    todo, lex = _open_cores(spark, sf_dir)
-    return co.best_candidate(co.optical_candidates(todo, lex).unionByName(co.diacritic_matches(todo, lex)))
+    return co.best_candidate(_candidates(spark, sf_dir)[0])
 
 
 def split_merged(spark, sf_dir):
@@ -289,31 +293,46 @@ def corrected_tokens(spark, sf_dir):
 
 
 def context_candidate(spark, sf_dir):
-    """Choice between equally near candidates by the vectors of the words around the first occurrence."""
-    todo, lex = _open_cores(spark, sf_dir)
+    """Choice between equally near candidates by the vectors of the words around the first use."""
+    found, lex = _candidates(spark, sf_dir)
     vecs = lx.vectors(lex, _table(spark, sf_dir, "embeddings"))
-    found = _lang_tokens(spark, sf_dir).withColumn("core", strings.core(F.col("token")))
-    contexts = co.first_contexts(found.join(todo, ["lang", "core"], "left_semi"))
-    return co.best_candidate(co.optical_candidates(todo, lex).unionByName(co.diacritic_matches(todo, lex)), contexts, vecs)
+    uses = co.token_uses(_lang_tokens(spark, sf_dir), ["line_no"])
+    return co.best_candidate(found, co.first_contexts(uses), vecs)
 
 
-def hyphen_repair(spark, sf_dir):
-    """Paragraph lines of which every fourth ends with a broken word."""
-    ordered = _ordered(spark, sf_dir).select(*PAGE, "reading_order", "place", "text")
+def _broken_lines(spark, sf_dir):
+    """Lines in reading order of which every fourth of a paragraph ends with a broken word, and the pages' capitalised words as names."""
+    ordered = staged(_ordered(spark, sf_dir).select(*PAGE, "line_no", "reading_order", "place", "text"), "ordered")
     broken = ordered.withColumn("text", F.when(F.col("place") % 4 == 0, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
+    langs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
+    lines = staged(broken.join(langs, "doc_id"), "broken_lines")
+    return lines, tx.protected_words(tx.page_text(lines), tx.capitalised(lines))
+
+
+def hyphen_repair(spark, sf_dir):
+    """Broken words of a paragraph corrected as one and cut again."""
+    _, lex = _cores(spark, sf_dir)
+    lines, names = _broken_lines(spark, sf_dir)
     keys = [*PAGE, "reading_order"]
-    fixes = co.hyphen_words(broken, keys).withColumn("fixed", F.lower("merged"))
-    out = co.hyphen_repair(broken, keys, fixes)
+    words = co.hyphen_words(lines, ["lang", *keys]).withColumnRenamed("merged", "token")
+    fixes = co.correct_tokens(words, lex, names).select(*keys, F.col("token").alias("merged"), F.col("corrected").alias("fixed"))
+    out = co.hyphen_repair(lines, keys, fixes)
     return out.select(*PAGE, F.col("reading_order").cast("long").alias("reading_order"), F.col("place").cast("long").alias("place"), "text")
 
 
 def corrected_pages(spark, sf_dir):
-    """Page text after correction of every token."""
-    t = corrected_tokens(spark, sf_dir)
-    line = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "corrected"))), lambda s: s["corrected"])
-    lines = t.groupBy(*PAGE, "line_no").agg(F.array_join(line, " ").alias("text"))
-    order = _ordered(spark, sf_dir).select(*PAGE, "line_no", "reading_order", "place")
-    return tx.page_text(order.join(lines, [*PAGE, "line_no"]))
+    """Page text after correction of broken words and of every token, with protected names."""
+    _, lex = _cores(spark, sf_dir)
+    lines, names = _broken_lines(spark, sf_dir)
+    return tx.page_text(co.correct_pages(lines, lex, names))
+
+
+def corrected_words(spark, sf_dir):
+    """The words of each line, corrected apart."""
+    _, lex = _cores(spark, sf_dir)
+    lines, names = _broken_lines(spark, sf_dir)
+    out = co.correct_pages(lines, lex, names).where(F.size("words") > 0)
+    return out.select(*PAGE, "line_no", F.array_join("words", " ").alias("words"))
 
 
 def _rasters(spark, sf_dir):
@@ -333,12 +352,11 @@ def _rasters(spark, sf_dir):
 
 
 def ink_gutter(spark, sf_dir):
-    return raster.ink_gutter(_rasters(spark, sf_dir)).select("page_id", F.col("gutter").cast("long").alias("gutter"))
+    return raster.ink_gutter(_rasters(spark, sf_dir))
 
 
 def crop_box(spark, sf_dir):
-    box = raster.crop_box(_rasters(spark, sf_dir))
-    return box.select("page_id", *[F.col(c).cast("long").alias(c) for c in ("left", "right", "top", "bottom")])
+    return raster.crop_box(_rasters(spark, sf_dir)).select("page_id", *map(_r, ("left", "right", "top", "bottom")))
 
 
 def crop_decision(spark, sf_dir):
@@ -353,7 +371,7 @@ def top_labels(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     labels = e.groupBy("user_id", "event_type").agg(F.max("value").alias("confidence"))
     labels = labels.select(F.col("user_id").alias("page_id"), F.col("event_type").alias("label"), "confidence")
-    top = raster.top_labels(labels, 3)
+    top = raster.top_labels(labels)
     return top.select("page_id", "label", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"), raster.is_photographic(F.col("label"), F.col("confidence")).alias("photo"))
 
 
@@ -364,7 +382,7 @@ QUERIES = {
         band_columns, paragraphs, reading_order, paragraph_text, sidecar_text, page_text, merge_passes, line_iou, searchability, letterbox,
         split_pages, draw_list, tokens, token_affixes, line_words, digit_fix, citations, name_index, lexicon, valid_words, edit_distance,
         weighted_edit, cosine_pairs, protected_match, grapheme_candidates, subst_candidates, pair_candidates, diacritic_matches,
-        best_candidate, context_candidate, split_merged, corrected_tokens, hyphen_repair, corrected_pages, ink_gutter, crop_box,
+        best_candidate, context_candidate, split_merged, corrected_tokens, hyphen_repair, corrected_pages, corrected_words, ink_gutter, crop_box,
         crop_decision, top_labels,
     )
 }
