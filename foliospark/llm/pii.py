@@ -6,14 +6,17 @@ from; the same detectors read the rewritten text, and their spans are mapped bac
 counts unless it lies within a base span of its kind; one that reaches beyond stands beside it.
 
 Cases: null text counts as empty; empty tables give no rows; a row's result depends on its text
-alone, so repeated rows repeat; columns besides doc_id and text are ignored.  All scans are linear
-in the text for any content, so very long texts are safe.
+alone, so repeated rows repeat; columns besides doc_id and text are ignored, whatever their names.  All
+scans are linear in the text for any content, spans are compared by binary search, and what is kept of
+a rewritten text grows with its disguises, so very long texts are safe.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,26 +108,46 @@ _SIGNS = {"at": "@", "dot": "."}
 
 
 class Rewritten:
-    """A text with, for each character, the source range it stands for."""
+    """A text with, for each character, the source range it stands for.
+
+    Every round of edits is kept as the places it changed, so memory grows with the disguises, not
+    with the text; a place is mapped back through the rounds by binary search.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.start: list[int] | range = range(len(text))
-        self.end: list[int] | range = range(1, len(text) + 1)
+        #: per round: starts and ends of edits in the new text, and in the text before
+        self.rounds: list[tuple[array, array, array, array]] = []
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Applies (start, end, new text) edits, in order and apart; new characters stand for the whole edit."""
         if not edits:
             return
-        text, start, end, at = [], [], [], 0
+        text, at, size = [], 0, 0
+        new_a, new_b, old_a, old_b = kept = tuple(array("q") for _ in range(4))
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            start += [*self.start[at:a], *[self.start[a]] * len(new)]
-            end += [*self.end[at:a], *[self.end[b - 1]] * len(new)]
+            size += a - at
+            new_a.append(size)
+            size += len(new)
+            new_b.append(size)
+            old_a.append(a)
+            old_b.append(b)
             at = b
         self.text = "".join([*text, self.text[at:]])
-        self.start = [*start, *self.start[at:]]
-        self.end = [*end, *self.end[at:]]
+        self.rounds.append(kept)
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The source range of the characters [a, b)."""
+        last = b - 1
+        for new_a, new_b, old_a, old_b in reversed(self.rounds):
+            i = bisect_right(new_a, a) - 1
+            if i >= 0:
+                a = old_a[i] if a < new_b[i] else old_b[i] + a - new_b[i]
+            i = bisect_right(new_a, last) - 1
+            if i >= 0:
+                last = old_b[i] - 1 if last < new_b[i] else old_b[i] + last - new_b[i]
+        return a, last + 1
 
 
 def _local_start(text: str, end: int, least: int) -> int:
@@ -177,10 +200,17 @@ def find(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     plain = deobfuscate(text)
     if plain is None:
         return base, base
+    starts: dict[str, list[int]] = {k: [] for k in KINDS}
+    ends: dict[str, list[int]] = {k: [] for k in KINDS}
+    for a, kind, b in base:
+        starts[kind].append(a)
+        ends[kind].append(b)
     more = []
     for a, kind, b in detect(plain.text):
-        a, b = plain.start[a], plain.end[b - 1]
-        if not any(k == kind and x <= a and b <= y for x, k, y in base):
+        a, b = plain.source(a, b)
+        # base spans of a kind lie apart, so only the last that starts no later can hold this one
+        i = bisect_right(starts[kind], a) - 1
+        if i < 0 or ends[kind][i] < b:
             more.append((a, kind, b))
     return base, sorted({*base, *more}, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
