@@ -7,16 +7,20 @@ item.  Words outside the benchmark's vocabulary reset the automaton, so only str
 words are walked.
 
 Benchmark items are indexed in blocks of at most `block_words` words (by item_id); each block is
-one pass over the documents, so neither the driver nor an executor holds more than a block.
+one pass over the documents, so neither the driver nor an executor holds more than a block, about a
+hundred megabytes for as many words as the default.
 
 Cases: null or empty texts and items have no words; an item without words has no window; an empty
 benchmark hits nothing; repeated items and item_ids count once by item_id; a null item_id reads as
-the empty string.  Result columns replace document columns of the same name.
+the empty string; repeated documents repeat; a very long text is streamed like any other.  Result
+columns replace document columns of the same name.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from itertools import repeat
 
 import numpy as np
@@ -35,34 +39,44 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class ItemAutomaton:
-    """Generalised suffix automaton over the word sequences of items, with the items of each window."""
+    """Generalised suffix automaton over the word sequences of items, with the items of each window.
+
+    States are places in flat arrays, with their first transition; only states with more have a table of
+    their own.  So a word of an item takes some tens of bytes.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        known = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for name, words in items if words]
+        self.word, self.to, self.link, self.length = (array("i") for _ in range(4))
+        self.more: dict[int, dict[int, int]] = {}
+        self._state(-1, 0)
+        self.names = sorted({name for name, words in items if words})
+        number = {name: i for i, name in enumerate(self.names)}
+        known = [(number[name], array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])) for name, words in items if words]
         for _, ids in known:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        #: by state of exactly window length: names of items with that window
-        self.window_state = [self._ancestor(s, window) for s in range(len(self.next))]
-        self.window_items: dict[int, set[str]] = {}
-        #: by state: (words, name) of short items that end wherever this state's strings end
-        ends: dict[int, list[tuple[int, str]]] = {}
-        for name, ids in known:
+        #: by state: its suffix of exactly window length
+        self.window_state = array("i", [self._ancestor(s, window) for s in range(len(self.to))])
+        #: states of exactly window length in order, and beside each the number of an item with that window
+        windows: set[tuple[int, int]] = set()
+        #: by state: (words, number) of short items that end wherever this state's strings end
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for item, ids in known:
             state = 0
             for i, c in enumerate(ids, 1):
-                state = self.next[state][c]
+                state = self._next(state, c)
                 if i >= window:
-                    self.window_items.setdefault(self._ancestor(state, window), set()).add(name)
+                    windows.add((self._ancestor(state, window), item))
             if len(ids) < window:
-                ends.setdefault(self._ancestor(state, len(ids)), []).append((len(ids), name))
-        self.short: dict[int, list[tuple[int, str]]] = {}
+                ends.setdefault(self._ancestor(state, len(ids)), []).append((len(ids), item))
+        ordered = sorted(windows)
+        self.window_states, self.window_items = array("i", [s for s, _ in ordered]), array("i", [i for _, i in ordered])
+        self.short: dict[int, list[tuple[int, int]]] = {}
         if ends:
-            for s in range(len(self.next)):
+            for s in range(len(self.to)):
                 at, found = s, []
                 while at > 0:
                     found += ends.get(at, [])
@@ -71,6 +85,22 @@ class ItemAutomaton:
                     self.short[s] = found
         self.least = min([min(len(ids), window) for _, ids in known], default=0)
 
+    def _state(self, link: int, length: int) -> int:
+        for kept, value in ((self.word, -1), (self.to, -1), (self.link, link), (self.length, length)):
+            kept.append(value)
+        return len(self.to) - 1
+
+    def _next(self, state: int, c: int) -> int:
+        if self.word[state] == c:
+            return self.to[state]
+        return self.more.get(state, {}).get(c, -1)
+
+    def _set(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
     def _ancestor(self, state: int, length: int) -> int:
         """The state on the suffix path that holds the suffix of this length, or -1 if all are shorter."""
         if self.length[state] < length:
@@ -81,30 +111,27 @@ class ItemAutomaton:
 
     def _copy(self, p: int, c: int, q: int) -> int:
         """Splits q so that strings up to length[p] + 1 have a state of their own."""
-        new = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
+        new = self._state(self.link[q], self.length[p] + 1)
+        self.word[new], self.to[new] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[new] = dict(self.more[q])
         self.link[q] = new
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = new
+        while p >= 0 and self._next(p, c) == q:
+            self._set(p, c, new)
             p = self.link[p]
         return new
 
     def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
-        if q is not None:
+        q = self._next(last, c)
+        if q >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._copy(last, c, q)
-        new = len(self.next)
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(self.length[last] + 1)
+        new = self._state(0, self.length[last] + 1)
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        while p >= 0 and self._next(p, c) < 0:
+            self._set(p, c, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
+            q = self._next(p, c)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._copy(p, c, q)
         return new
 
@@ -119,36 +146,40 @@ class ItemAutomaton:
         long = ends - starts >= self.least
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
-        names: set[str] = set()
-        next_, link, length, short, window, at_window = self.next, self.link, self.length, self.short, self.window, self.window_state
+        items: set[int] = set()
+        word, to, more, link, length, short, window = self.word, self.to, self.more, self.link, self.length, self.short, self.window
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
             state = matched = 0
             for i, c in enumerate(ids[a:b].tolist(), a + 1):
-                to = next_[state].get(c)
-                while to is None and state:
+                while True:
+                    if word[state] == c:
+                        goes = to[state]
+                    else:
+                        goes = more[state].get(c, -1) if state in more else -1
+                    if goes >= 0 or not state:
+                        break
                     state = link[state]
                     matched = length[state]
-                    to = next_[state].get(c)
-                if to is None:
+                if goes < 0:
                     continue
-                state, matched = to, matched + 1
+                state, matched = goes, matched + 1
                 reach = 0
                 if matched >= window:
                     reach = window
                     found.add(state)
                 if short and state in short:
-                    for k, name in short[state]:
+                    for k, item in short[state]:
                         if k <= matched:
-                            names.add(name)
+                            items.add(item)
                             reach = max(reach, k)
                 if reach:
                     start = i - reach
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
                     spans.append((start, i))
-        for state in found:
-            names |= self.window_items.get(at_window[state], set())
-        return spans, names
+        for state in {self.window_state[s] for s in found}:
+            items.update(self.window_items[bisect_left(self.window_states, state) : bisect_right(self.window_states, state)])
+        return spans, {self.names[i] for i in items}
 
 
 def _blocks(benchmark: DataFrame, window: int, block_words: int):
@@ -173,7 +204,7 @@ def _without(text: str, words: list[bytes], spans: list[tuple[int, int]]) -> str
     return b"".join(out).decode()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, clean: bool = False, block_words: int = 2_000_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, clean: bool = False, block_words: int = 500_000) -> DataFrame:
     """The documents' columns with n_words, spans (list of start and end, in words) and item_ids (sorted).
 
     With clean, clean_text is the text without the hit spans.
@@ -188,6 +219,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, clean: bool =
     for automaton in _blocks(benchmark, window, block_words):
         if not first:
             df = staged(df, "decontamination")
+            shared.unpersist()
         shared = df.sparkSession.sparkContext.broadcast(automaton)  # of block_words words at most
 
         def run(batch: pa.RecordBatch, shared=shared, first=first) -> pa.RecordBatch:
