@@ -49,14 +49,13 @@ def dedup(docs: DataFrame, min_chars: int = 1000, max_chars: int = 4000) -> Data
         ),
         "recipes",
     )
-    if unverified.isEmpty():
-        named = recipes.withColumn("exact", F.lit(None).cast("string"))
-    else:
-        # rare: documents with such a chunk are compared by their text
-        bad = recipes.select("ids").distinct().select("ids", F.explode("ids").alias("id"))
-        bad = bad.join(unverified, "id", "left_semi").select("ids").distinct().withColumn("hit", F.lit(True))
-        texts = cut.select("doc_id", "norm", F.transform("chunks", lambda c: F.xxhash64(c)).alias("ids"), F.sha2("norm", 256).alias("text_sha256"))
-        named = texts.join(bad, "ids", "left").select("doc_id", "ids", "text_sha256", F.when(F.col("hit"), F.col("norm")).alias("exact"))
+    named = recipes.withColumn("exact", F.lit(None).cast("string"))
+    if not unverified.isEmpty():
+        # rare: only the recipes with such a chunk, and the texts of their documents, go on to be compared by text
+        bad = recipes.select("ids").distinct().select("ids", F.explode("ids").alias("id")).join(unverified, "id", "left_semi")
+        bad = staged(bad.select("ids").distinct(), "bad")
+        texts = cut.select("doc_id", F.transform("chunks", lambda c: F.xxhash64(c)).alias("ids"), F.sha2("norm", 256).alias("text_sha256"), F.col("norm").alias("exact"))
+        named = named.join(bad, "ids", "left_anti").unionByName(texts.join(bad, "ids", "left_semi"))
     groups = named.groupBy("ids", "exact").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     a, g = named.alias("a"), groups.alias("g")
     # a sort-merge join: adaptive execution splits the partition of a hot group
