@@ -1,6 +1,8 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-Text blocks are windows of `block_words` words that overlap by half.  A block matches a template if it holds at least `threshold` of the template's distinct words.
+Text blocks are windows of `block_words` words that overlap by half; templates of over half as many words
+have blocks eight times as large, and so on, so any passage as long as a template lies in one block.  A
+block matches a template if it holds at least `threshold` of the template's distinct words.
 Words stand in one global order, rarest first by the number of blocks they are in.  The join finds
 every match without comparing all pairs:
 
@@ -9,18 +11,21 @@ every match without comparing all pairs:
 * length: a block needs a words at least (words outside all templates cannot count and are left out);
 * position: words after the meeting word in both orders must suffice to reach a.
 
-Candidates are then verified on the whole sets.  The index is a broadcast of the templates' words,
-whose number is checked; beyond `broadcast_words` the join shuffles by word instead.
+Candidates are then verified on the whole sets.  Templates are taken in groups of at most
+`group_words` distinct words, one pass over the documents each, so the words in a plan and the index
+that is broadcast are bounded however many templates there are.
 
 Base phrases are runs of consecutive words, counted at every place.
 
 Cases: null text counts as empty; empty texts and tables give no labels and no rows; rows equal in
-doc_id and text have equal results; null ids are kept; columns besides doc_id and text are ignored.
+doc_id and text have equal results; null ids are kept; words of equal frequency rank by the alphabet; a
+very long text gives as many blocks as it takes; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +35,53 @@ from .common import SEPARATORS, staged
 
 #: Fixed values of the contract: base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Characteristic sentences of public licenses, as (label, words).
+#: Whole texts of public licenses.
+FULL_TEXTS = (
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "bsd-2",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "apache-2",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+limitations under the License.""",
+    ),
+)
+#: Characteristic sentences of public licenses and the whole texts, as (label, words).
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "released under the mit license"),
@@ -47,6 +98,7 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc"),
     ("cc0", "dedicated to the public domain under creative commons zero"),
     ("all-rights-reserved", "all rights reserved"),
+    *((label, " ".join(re.findall("[0-9a-z]+", text.lower()))) for label, text in FULL_TEXTS),
 )
 
 
@@ -141,22 +193,34 @@ def similarity_join(found: DataFrame, templates, threshold: float, broadcast_wor
     return verified.select("doc_id", "key", "label", (F.col("o") / F.col("n")).alias("containment"))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, block_words: int = 64) -> DataFrame:
+def block_size(template: str, block_words: int = 64) -> int:
+    """Words of the blocks in which a template is looked for; it is no longer than half of one."""
+    size = block_words
+    while size // 2 < len(template.split()):
+        size *= 8
+    return size
+
+
+def groups(templates, block_words: int = 64, group_words: int = 5000) -> list[tuple[int, list]]:
+    """(block size, templates) of templates with one size and at most group_words distinct words (or a single template)."""
+    out: dict[int, list[list]] = {}
+    for label, text in templates:
+        mine = out.setdefault(block_size(text, block_words), [[]])
+        if mine[-1] and len({w for _, t in [*mine[-1], (label, text)] for w in t.split()}) > group_words:
+            mine.append([])
+        mine[-1].append((label, text))
+    return [(size, some) for size, each in (out or {block_words: [[]]}).items() for some in each]
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, block_words: int = 64, group_words: int = 5000) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is the greatest containment of a template found, 1 where a base phrase is, else 0.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base_phrases(docs)
-    # a template must lie in half a block; longer ones get larger blocks of their own
-    by_size: dict[int, list] = {}
-    for label, text in templates:
-        size = block_words
-        while size // 2 < len(text.split()):
-            size *= 2
-        by_size.setdefault(size, []).append((label, text))
     parts = []
-    for size, some in (by_size or {block_words: []}).items():
+    for size, some in groups(templates, block_words, group_words):
         vocabulary = sorted({w for _, text in some for w in text.split()})
         parts.append(similarity_join(staged(blocks(docs, vocabulary, size), "blocks"), some, threshold))
     found = reduce(DataFrame.unionByName, parts)

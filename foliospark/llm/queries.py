@@ -25,10 +25,8 @@ def op5_best_fit_packing(spark, sf_dir):
 
 
 def op6_token_files(spark, sf_dir):
-    segments, by_rank = token_files.write_token_files(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
-    )
-    return token_files.read_token_files(segments, by_rank)
+    path = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, path)
 
 
 def op1_language_id(spark, sf_dir):
@@ -57,7 +55,7 @@ QUERIES = {k: f for k, f in sorted(globals().items()) if k.startswith("op") and
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PHRASES = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())
-_TEMPLATES = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for label, t in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(f"({sorted(set(t.split()))!r}, '{label}', {licenses.block_size(t)})" for label, t in licenses.TEMPLATES)
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -87,16 +85,18 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
     "op7_license_scan": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 phrases AS (SELECT * FROM (VALUES {_PHRASES}) v(p, label)),
-templates AS (SELECT * FROM (VALUES {_TEMPLATES}) v(t, label)),
+templates AS (SELECT * FROM (VALUES {_TEMPLATES}) v(t, label, size)),
 spots AS (SELECT doc_id, p, label, w, unnest(range(greatest(len(w) - len(p) + 1, 0))) AS i FROM d, phrases WHERE list_has_all(w, p)),
 places AS (SELECT doc_id, label, i FROM spots WHERE list_slice(w, i + 1, i + len(p)) = p),
 base AS (
   SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id
 ),
-blocks AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 33, 0) + 1, 32)) AS s FROM d WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM templates),
+starts AS (SELECT doc_id, w, size, unnest(range(0, greatest(len(w) - 1 - size // 2, 0) + 1, size // 2)) AS s FROM d, sizes WHERE len(w) > 0),
+blocks AS (SELECT doc_id, size, list_distinct(list_slice(w, s + 1, s + size)) AS b FROM starts),
 found AS (
-  SELECT doc_id, label, len(list_intersect(list_slice(w, s + 1, s + 64), t)) / len(t)::DOUBLE AS c
-  FROM blocks, templates WHERE len(list_intersect(list_slice(w, s + 1, s + 64), t)) >= ceil(0.9 * len(t))
+  SELECT doc_id, label, len(list_intersect(b, t)) / len(t)::DOUBLE AS c
+  FROM blocks JOIN templates USING (size) WHERE len(list_intersect(b, t)) >= ceil(0.9 * len(t))
 ),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM found GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
