@@ -11,6 +11,7 @@ concern images, which enter here only as tables; they are accepted and kept in t
 from __future__ import annotations
 
 import argparse
+import warnings
 from dataclasses import dataclass, field
 
 
@@ -58,20 +59,22 @@ def run(spark, config: Config) -> None:
     """Writes the page summary to output; sidecar text and the name index if asked for."""
     from pyspark.sql import functions as F
 
+    from .functions import strings
     from .operators import correction, layout, lexicon, text
     from .sources import lines as src
+    from .sources import storage
 
     table = spark.read.parquet(config.input)
     lines = src.recognised(table if config.lines else src.laid_out(table))
-    lang = config.languages[0].split("-")[0]
+    lang = strings.language_base(F.lit(config.languages[0]))
+    work = f"{config.output}.work"
 
     def stored(df, name):
         """Later steps read a table, not the whole plan behind it, many times over."""
-        path = f"{config.output}.work/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
 
-    ordered = stored(layout.reading_order(layout.line_roles(lines)), "ordered")
+    ordered = stored(layout.process_pages(lines).withColumn("lang", lang), "ordered")
     names = None
     if config.custom_words or config.names or config.fix_diacritics or config.split_merged_words:
         custom = []
@@ -84,17 +87,17 @@ def run(spark, config: Config) -> None:
             custom = [w.strip() for w in config.custom_words.split(",") if w.strip()]
         names = stored(text.protected_words(text.page_text(ordered), custom=custom), "names")
     if config.fix_diacritics or config.split_merged_words:
-        tokens = text.tokens(ordered).withColumn("lang", F.lit(lang))
-        lex = stored(lexicon.lexicon(lexicon.corpus_cores(ordered.select(F.lit(lang).alias("lang"), "text"))), "lexicon")
-        fixed = stored(correction.correct_tokens(tokens, lex, names, config.fix_diacritics, config.split_merged_words), "tokens")
-        line = F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "corrected"))), lambda s: s["corrected"])
-        new = fixed.groupBy(*layout.PAGE, "line_no").agg(F.array_join(line, " ").alias("text"))
-        ordered = stored(ordered.drop("text").join(new, [*layout.PAGE, "line_no"]), "corrected")
+        lex = stored(lexicon.lexicon(lexicon.corpus_cores(ordered.select("lang", "text"))), "lexicon")
+        for row in lexicon.available(lex, config.languages[:1]).where("n_words = 0").collect():
+            warnings.warn(f"no words of language {row.lang} to correct by")
+        fixed = stored(correction.correct_pages(ordered, lex, names, config.fix_diacritics, config.split_merged_words), "corrected")
+        ordered = ordered.drop("text").join(fixed.select(*layout.PAGE, "line_no", "text"), [*layout.PAGE, "line_no"])
     layout.page_summary(ordered).write.mode("overwrite").parquet(config.output)
     if config.sidecar:
         text.write_sidecar(text.sidecar_text(text.paragraph_text(ordered)), config.sidecar)
     if config.names and names is not None:
         text.name_index(names).orderBy("name").select("name").write.mode("overwrite").text(config.names)
+    storage.delete(spark, work)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -46,7 +46,6 @@ class Tuning:
     split_max_length: int = 24
     split_max_segment: int = 12
     split_min_mean: float = 2.5
-    tie_tenths: float = 0.1
     lexicon_min_count: int = 5
     # crops and images
     crop_brightness: float = 0.85

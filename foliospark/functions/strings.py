@@ -128,3 +128,31 @@ def custom_words(text: Column) -> Column:
 def metadata_keys(meta: Column) -> Column:
     """The five document properties a sink keeps."""
     return F.map_filter(meta, lambda k, v: k.isin("Title", "Author", "Subject", "Keywords", "Creator"))
+
+
+#: Frequent short words, by which a language is told.
+STOP_WORDS = {
+    "de": ["der", "die", "und", "den", "das", "ist", "mit", "ein"],
+    "en": ["the", "and", "of", "to", "in", "is", "that", "for"],
+    "es": ["el", "los", "y", "del", "las", "con", "por", "una"],
+    "fr": ["le", "les", "et", "des", "du", "est", "dans", "une"],
+    "pl": ["i", "w", "nie", "na", "z", "do", "jest", "to"],
+}
+
+
+def detect_language(text: Column, default: str = "pl", stop_words: dict[str, list[str]] | None = None) -> Column:
+    """The language most of whose stop words occur in the text, counted each time; the first by code of equals, the default without any."""
+    found = F.split(F.lower(text), r"[^\p{L}]+")
+
+    def vote(code: str, ws: list[str]) -> Column:
+        return F.struct((-F.size(F.filter(found, lambda w: w.isin(*ws)))).alias("n"), F.lit(code).alias("code"))
+
+    votes = [vote(code, ws) for code, ws in sorted((stop_words or STOP_WORDS).items())]
+    best = F.array_min(F.array(*votes))
+    return F.when(best["n"] < 0, best["code"]).otherwise(F.lit(default))
+
+
+def metadata(**properties: Column) -> Column:
+    """Document properties as a map of strings, those without a value left out."""
+    pairs = F.map_from_arrays(F.array(*map(F.lit, properties)), F.array(*[c.cast("string") for c in properties.values()]))
+    return F.map_filter(pairs, lambda k, v: v.isNotNull())

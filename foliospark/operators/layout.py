@@ -111,21 +111,22 @@ def _gutters(lines: DataFrame, keys: list[str], tuning: Tuning) -> DataFrame:
     groups = spans.groupBy(*keys).agg(F.collect_list("s").alias("spans")).where(F.size("spans") >= tuning.gutter_min_lines)
     middle = F.sequence(F.lit(tuning.gutter_low), F.lit(tuning.gutter_high))
     coverage = F.transform(middle, lambda b: F.size(F.filter("spans", lambda s: (s["a"] <= b) & (s["z"] >= b))))
-    groups = groups.select(*keys, coverage.alias("coverage"))
-    total = F.aggregate("coverage", F.lit(0), lambda t, c: t + c)
+    total = F.aggregate(coverage, F.lit(0), lambda t, c: t + c)
     share = total / F.lit(float(tuning.gutter_high - tuning.gutter_low + 1)) * tuning.gutter_share
-    groups = groups.withColumn("limit", F.greatest(F.lit(1), F.floor(share)))
+    limit = F.greatest(F.lit(1), F.floor(share)).cast("int")
     zero = F.lit(0)
-    init = F.struct(F.lit(tuning.gutter_low).alias("bin"), zero.alias("len"), zero.alias("best"), zero.alias("start"))
+    # the limit stands in the fold's state, so that it is worked out once
+    init = F.struct(limit.alias("limit"), F.lit(tuning.gutter_low).alias("bin"), zero.alias("len"), zero.alias("best"), zero.alias("start"))
 
     def step(s: Column, c: Column) -> Column:
-        length = F.when(c <= F.col("limit"), s["len"] + 1).otherwise(0)
+        length = F.when(c <= s["limit"], s["len"] + 1).otherwise(0)
         longer = length > s["best"]  # of equal runs the first stays
         start = F.when(longer, s["bin"] - length + 1).otherwise(s["start"])
-        return F.struct((s["bin"] + 1).alias("bin"), length.alias("len"), F.greatest(length, s["best"]).alias("best"), start.alias("start"))
+        return F.struct(s["limit"].alias("limit"), (s["bin"] + 1).alias("bin"), length.alias("len"), F.greatest(length, s["best"]).alias("best"), start.alias("start"))
 
-    found = groups.select(*keys, F.aggregate("coverage", init, step).alias("b")).where(F.col("b.best") >= tuning.gutter_min_run)
-    return found.select(*keys, ((F.col("b.start") + F.col("b.best") / 2.0) / F.lit(float(bins))).alias("gutter"))
+    done = lambda s: F.when(s["best"] >= tuning.gutter_min_run, (s["start"] + s["best"] / 2.0) / F.lit(float(bins)))
+    # exploded rather than filtered, which would work the fold out twice
+    return groups.select(*keys, F.explode(F.array_compact(F.array(F.aggregate(coverage, init, step, done)))).alias("gutter"))
 
 
 def body_lines(lines: DataFrame) -> DataFrame:
@@ -239,18 +240,39 @@ def reading_order(lines: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
     placed = paragraphs(column_assign(lines, tuning), GROUP, tuning)
     rank = F.when(F.col("role") == "body", 0).when(F.col("role") == "footnote", 1).otherwise(2)
     by = Window.partitionBy(*PAGE).orderBy("side", rank, "para")
-    return placed.withColumn("reading_order", F.dense_rank().over(by) - 1).select(*lines.columns, "side", "reading_order", "place")
+    return placed.withColumn("reading_order", F.dense_rank().over(by) - 1).select(*lines.columns, "side", "para", "reading_order", "place")
 
 
-def page_summary(lines: DataFrame) -> DataFrame:
-    """Per page: lines, body, footnotes, marginals and mean confidence."""
-    return lines.groupBy(*PAGE).agg(
-        F.count("*").alias("n_lines"),
-        F.count_if(F.col("role") == "body").alias("n_body"),
-        F.count_if(F.col("role") == "footnote").alias("n_footnote"),
-        F.count_if(F.col("role") == "marginal").alias("n_marginal"),
-        F.coalesce(F.avg(F.col("confidence").cast("double")), F.lit(0.0)).alias("mean_confidence"),
-    )
+def process_pages(lines: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
+    """Recognised lines to laid-out ones: role, side, para, reading_order, place and the page's text skew.
+
+    The whole way of a page from its lines to reading order; all steps share one exchange by page.
+    """
+    skew = upper_median("__angle").over(Window.partitionBy(*PAGE))
+    limit = F.radians(F.lit(tuning.max_skew_degrees))
+    df = lines.withColumn("__angle", geo.rotation_angle()).withColumn("text_skew", skew).drop("__angle")
+    df = df.withColumn("text_skew", F.when(F.abs("text_skew") > limit, 0.0).otherwise(F.col("text_skew")))
+    return reading_order(line_roles(df, tuning), tuning)
+
+
+def page_summary(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Per page: lines, body, footnotes, marginals, paragraphs (where lines have a reading order) and mean confidence.
+
+    pages: all pages; those without lines have zeros.
+    """
+    paras = F.count_distinct("reading_order") if "reading_order" in lines.columns else F.lit(0).cast("long")
+    counts = {
+        "n_lines": F.count("*"),
+        "n_body": F.count_if(F.col("role") == "body"),
+        "n_footnote": F.count_if(F.col("role") == "footnote"),
+        "n_marginal": F.count_if(F.col("role") == "marginal"),
+        "n_paragraphs": paras,
+        "mean_confidence": F.avg(F.col("confidence").cast("double")),
+    }
+    out = lines.groupBy(*PAGE).agg(*[c.alias(name) for name, c in counts.items()])
+    if pages is not None:
+        out = pages.select(*PAGE).distinct().join(out, PAGE, "left")
+    return out.select(*PAGE, *[F.coalesce(name, F.lit(0.0 if name == "mean_confidence" else 0)).alias(name) for name in counts])
 
 
 def merge_passes(primary: DataFrame, secondary: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
@@ -268,8 +290,17 @@ def page_numbers(parts: DataFrame) -> DataFrame:
 
 
 def split_pages(pages: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
-    """(doc_id, original_idx, width, height) to parts: landscape pages give L and R, others P."""
-    wide = F.col("width") > F.col("height") * tuning.landscape
-    parts = F.when(wide, F.array(F.lit("L"), F.lit("R"))).otherwise(F.array(F.lit("P")))
-    half = F.when(F.col("part") == "P", F.col("width")).otherwise(F.col("width") / 2)
-    return page_numbers(pages.withColumn("part", F.explode(parts)).withColumn("width", half))
+    """(doc_id, original_idx, width, height, px_w, px_h, turn, gutter) to parts with width in pixels: spreads give L and R, others P.
+
+    A page is a spread if it lies landscape and so does its picture (px_w by px_h) once it is upright: a
+    picture that stands while its page lies is turned by a quarter, others by turn (degrees).  A spread
+    is cut at its gutter, a column of the upright picture.
+    """
+    landscape = F.col("width") > F.col("height") * tuning.landscape
+    swapped = (landscape & (F.col("px_w") < F.col("px_h"))) | F.abs("turn").isin(90, 270)
+    upright_w, upright_h = F.when(swapped, F.col("px_h")).otherwise(F.col("px_w")), F.when(swapped, F.col("px_w")).otherwise(F.col("px_h"))
+    spread = landscape & (upright_w > upright_h * tuning.landscape)
+    parts = F.when(spread, F.array(F.lit("L"), F.lit("R"))).otherwise(F.array(F.lit("P")))
+    df = pages.withColumn("__w", upright_w).withColumn("part", F.explode(parts))
+    part_width = F.when(F.col("part") == "L", F.col("gutter")).when(F.col("part") == "R", F.col("__w") - F.col("gutter")).otherwise(F.col("__w"))
+    return page_numbers(df.withColumn("part_width", part_width).drop("__w"))

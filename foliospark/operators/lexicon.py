@@ -26,6 +26,14 @@ def lexicon(cores: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
     return g.where(F.col("freq") >= tuning.lexicon_min_count)
 
 
+def available(lex: DataFrame, languages: list[str]) -> DataFrame:
+    """(lang, n_words): how many words the list has for each language asked for, by its base code; none tells that correction
+    has nothing to go by."""
+    asked = lex.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(languages)], "code string").withColumn("lang", strings.language_base(F.col("code"))).select("lang").distinct()
+    words = lex.groupBy("lang").agg(F.count("*").alias("n_words"))
+    return asked.join(words, "lang", "left").select("lang", F.coalesce("n_words", F.lit(0)).alias("n_words"))
+
+
 def shape_ok(word: Column, lang: Column) -> Column:
     """What can be told without a word list: no numbers among letters; words of one letter by language."""
     return ~strings.is_mixed(word) & ((F.length(word) > 1) | strings.single_letter_ok(word, lang))

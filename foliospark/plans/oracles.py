@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.distance import confusion_pairs
-from ..functions.strings import ACCENTED, DIGIT_LETTERS, DIGITS, FOLDED
+from ..functions.strings import ACCENTED, DIGIT_LETTERS, DIGITS, FOLDED, STOP_WORDS
 from ..operators.correction import GRAPHEMES, REPLACEMENTS
 from ..operators.raster import PHOTO_WORDS
 
@@ -137,8 +137,26 @@ page_texts AS (SELECT doc_id, page_idx, string_agg(text, ' ' ORDER BY reading_or
 )
 _SIZES = r""",
 sizes AS (
-  SELECT DISTINCT doc_id, page_idx AS original_idx, CASE WHEN (doc_id + page_idx) % 3 = 0 THEN 842.0::DOUBLE ELSE 595.0::DOUBLE END AS width,
-    CASE WHEN (doc_id + page_idx) % 3 = 0 THEN 595.0::DOUBLE ELSE 842.0::DOUBLE END AS height FROM lines
+  SELECT *, CASE WHEN doc_id % 4 = 0 THEN 1100 WHEN wide AND doc_id % 4 <> 1 THEN 1700 ELSE 1200 END AS px_w,
+    CASE WHEN doc_id % 4 = 0 THEN 1080 WHEN wide AND doc_id % 4 <> 1 THEN 1200 ELSE 1700 END AS px_h, 800 + original_idx % 90 AS gutter
+  FROM (
+    SELECT DISTINCT doc_id, page_idx AS original_idx, (doc_id + page_idx) % 3 = 0 AS wide, CASE WHEN (doc_id + page_idx) % 3 = 0 THEN 842.0::DOUBLE ELSE 595.0::DOUBLE END AS width,
+      CASE WHEN (doc_id + page_idx) % 3 = 0 THEN 595.0::DOUBLE ELSE 842.0::DOUBLE END AS height FROM lines
+  )
+)"""
+_SPINE = """,
+spine AS (
+  SELECT DISTINCT doc_id, page_idx FROM lines UNION ALL SELECT doc_id, max(page_idx) + 1 FROM lines WHERE doc_id % 10 = 0 GROUP BY doc_id
+)"""
+_SUMMARY = """,
+counted AS (
+  SELECT doc_id, page_idx, count(*) AS n_lines, count(*) FILTER (f.role = 'body') AS n_body, count(*) FILTER (f.role = 'footnote') AS n_footnote,
+    count(*) FILTER (f.role = 'marginal') AS n_marginal, count(DISTINCT reading_order) AS n_paragraphs, avg(confidence::DOUBLE) AS mean_confidence
+  FROM ranked f JOIN lines USING (doc_id, page_idx, line_no) GROUP BY ALL
+),
+summary AS (
+  SELECT doc_id, page_idx, coalesce(n_lines, 0) AS n_lines, coalesce(n_body, 0) AS n_body, coalesce(n_footnote, 0) AS n_footnote, coalesce(n_marginal, 0) AS n_marginal,
+    coalesce(n_paragraphs, 0) AS n_paragraphs, round(coalesce(mean_confidence, 0.0), 6) AS mean_confidence FROM spine LEFT JOIN counted USING (doc_id, page_idx)
 )"""
 _SECOND = """,
 shifted AS (
@@ -442,10 +460,17 @@ ORACLES: dict[str, str] = {
   round(least({", ".join(_XS)}), 6) AS x_min, round(greatest({", ".join(_XS)}), 6) AS x_max, round({_CENTER}, 6) AS x_center FROM geo JOIN skews USING (doc_id, page_idx)""",
     ),
     "line_roles": _q(_LINES + _ROLES, "SELECT doc_id, page_idx, line_no, role FROM roles"),
-    "page_summary": _q(
-        _LINES + _ROLES,
-        """SELECT doc_id, page_idx, count(*) AS n_lines, count(*) FILTER (role = 'body') AS n_body, count(*) FILTER (role = 'footnote') AS n_footnote,
-  count(*) FILTER (role = 'marginal') AS n_marginal, round(avg(confidence::DOUBLE), 6) AS mean_confidence FROM roles GROUP BY ALL""",
+    "page_summary": _q(_LINES + _ORDER + _SPINE + _SUMMARY, "SELECT * FROM summary", True),
+    "page_log": _q(
+        _LINES + _ORDER + _SPINE + _SUMMARY,
+        """SELECT doc_id, page_idx, format('page {}: {} paragraphs (footnotes: {}, marginals: {}), mean confidence {:.2f}', page_idx + 1, n_paragraphs, n_footnote, n_marginal, round(mean_confidence::DECIMAL(18, 6), 2)::DOUBLE) AS line FROM summary""",
+        True,
+    ),
+    "process_pages": _q(
+        _LINES + _ORDER,
+        """SELECT doc_id, page_idx, line_no, role, side, para, reading_order, place, round(CASE WHEN abs(skew) > radians(10) THEN 0 ELSE skew END, 6) AS text_skew
+FROM ranked JOIN skews USING (doc_id, page_idx)""",
+        True,
     ),
     "page_skew": _q(_LINES, "SELECT doc_id, page_idx, round(skew, 6) AS skew FROM skews"),
     "text_skew": _q(_LINES, "SELECT doc_id, page_idx, round(CASE WHEN abs(skew) > radians(10) THEN 0 ELSE skew END, 6) AS skew FROM skews"),
@@ -479,15 +504,20 @@ FROM banded JOIN bands USING (doc_id, page_idx, band) LEFT JOIN gb USING (doc_id
     "paragraph_text": _q(_LINES + _ORDER, "SELECT * FROM para_text", True),
     "sidecar_text": _q(
         _LINES + _ORDER,
-        """SELECT doc_id, page_idx, concat_ws(chr(10) || chr(10), '--- page ' || (page_idx + 1) || ' ---', string_agg(text, chr(10) || chr(10) ORDER BY reading_order) FILTER (role = 'body'),
+        """SELECT doc_id, page_idx, concat_ws(chr(10) || chr(10), '--- page ' || (page_idx + 1) || ' (source page ' || (page_idx + 1) || ') ---', string_agg(text, chr(10) || chr(10) ORDER BY reading_order) FILTER (role = 'body'),
   '[footnotes]' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY reading_order) FILTER (role = 'footnote')) AS text FROM para_text GROUP BY doc_id, page_idx""",
         True,
     ),
     "page_text": _q(_LINES + _ORDER, "SELECT * FROM page_texts", True),
     "searchability": _q(
-        _LINES + _ORDER,
-        """SELECT doc_id, count(*) AS n_pages, count(*) FILTER (trim(text) <> '') AS n_text_pages, sum(length(text))::BIGINT AS n_chars,
-  round(count(*) FILTER (trim(text) <> '') / count(*)::DOUBLE, 6) AS ratio FROM page_texts GROUP BY doc_id""",
+        _LINES
+        + _ORDER
+        + _SPINE
+        + """,
+marked AS (SELECT doc_id, doc_id % 7 <> 0 AND regexp_matches(text, '[^\\s]') AS has, length(text) AS n FROM page_texts),
+wanted AS (SELECT doc_id, count(*) AS w FROM spine GROUP BY doc_id)""",
+        """SELECT doc_id, count(*) AS n_pages, count(*) FILTER (has) AS n_text_pages, coalesce(sum(n) FILTER (has), 0)::BIGINT AS n_chars,
+  round(count(*) FILTER (has) / count(*)::DOUBLE, 6) AS ratio, count(*) = any_value(w) AS complete FROM marked JOIN wanted USING (doc_id) GROUP BY doc_id""",
         True,
     ),
     "merge_passes": _q(
@@ -504,22 +534,61 @@ UNION ALL SELECT doc_id, page_idx, line_no, 2::INT, round(tl_x, 6), round(tl_y,
 FROM sizes, LATERAL (SELECT 300::DOUBLE / 72 AS s), LATERAL (SELECT (1000 + doc_id % 900) / s AS iw, (1400 + original_idx * 10) / s AS ih), LATERAL (SELECT least(width / iw, height / ih) AS f)""",
     ),
     "split_pages": _q(
-        _LINES + _SIZES + ", parts AS (SELECT *, unnest(CASE WHEN width > height * 1.05 THEN ['L', 'R'] ELSE ['P'] END) AS part FROM sizes)",
-        "SELECT doc_id, original_idx, part, CASE WHEN part = 'P' THEN width ELSE width / 2 END AS width, row_number() OVER (PARTITION BY doc_id ORDER BY original_idx, part) - 1 AS logical_idx FROM parts",
+        _LINES
+        + _SIZES
+        + """,
+up AS (
+  SELECT *, CASE WHEN width > height * 1.05 AND px_w < px_h THEN px_h ELSE px_w END AS uw, CASE WHEN width > height * 1.05 AND px_w < px_h THEN px_w ELSE px_h END AS uh FROM sizes
+),
+parts AS (SELECT *, unnest(CASE WHEN width > height * 1.05 AND uw > uh * 1.05 THEN ['L', 'R'] ELSE ['P'] END) AS part FROM up)""",
+        """SELECT doc_id, original_idx, part, (CASE part WHEN 'L' THEN gutter WHEN 'R' THEN uw - gutter ELSE uw END)::INT AS part_width,
+  row_number() OVER (PARTITION BY doc_id ORDER BY original_idx, part) - 1 AS logical_idx FROM parts""",
+    ),
+    "page_canvas": _q(
+        _LINES + _SIZES,
+        """SELECT doc_id, original_idx, CASE WHEN wider THEN 842.0::DOUBLE ELSE 595.0::DOUBLE END AS canvas_w, CASE WHEN wider THEN 595.0::DOUBLE ELSE 842.0::DOUBLE END AS canvas_h, doc_id % 5 > 2 AS turns
+FROM (SELECT *, CASE WHEN doc_id % 2 = 1 THEN height > width * 1.05 ELSE width > height * 1.05 END AS wider FROM sizes)""",
     ),
     "draw_list": _q(
         _LINES
         + _ORDER
         + """,
 mp AS (
-  SELECT doc_id, page_idx, reading_order, place, text, bl_x * 595 AS x, bl_y * 842 AS y, atan2((tr_y - tl_y) * 842, (tr_x - tl_x) * 595) AS angle,
-    sqrt(((tr_x - tl_x) * 595) ** 2 + ((tr_y - tl_y) * 842) ** 2) AS width, sqrt(((tl_x - bl_x) * 595) ** 2 + ((tl_y - bl_y) * 842) ** 2) AS hh FROM ranked
+  SELECT doc_id, page_idx, line_no, reading_order, place, text, sqrt(((tl_x - bl_x) * 595) ** 2 + ((tl_y - bl_y) * 842) ** 2) AS hh, tl_x, tl_y, tr_x, tr_y, bl_x, bl_y FROM ranked
+),
+fs AS (SELECT doc_id, page_idx, reading_order, greatest(4.0::DOUBLE, least(72.0::DOUBLE, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY hh DESC) * 2) / 2)) AS font_size FROM mp GROUP BY ALL),
+ws AS (SELECT *, string_split(text, ' ') AS t FROM mp JOIN fs USING (doc_id, page_idx, reading_order)),
+wr AS (
+  SELECT *, unnest(CASE WHEN doc_id % 13 = 0 OR len(t) < 2 THEN [0] ELSE range(1, len(t) + 1) END) AS i FROM ws
+),
+fr AS (
+  SELECT *, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE (length(array_to_string(t[:i], ' ')) - length(t[i])) / length(text)::DOUBLE END AS a,
+    CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE length(array_to_string(t[:i], ' ')) / length(text)::DOUBLE END AS z,
+    CASE WHEN i = 0 THEN text WHEN i < len(t) THEN t[i] || ' ' ELSE t[i] END AS run_text
+  FROM wr
 ),
-fs AS (SELECT doc_id, page_idx, reading_order, greatest(4.0, least(72.0, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY hh DESC) * 2) / 2)) AS font_size FROM mp GROUP BY ALL)""",
-        """SELECT doc_id, page_idx, reading_order, place, text, round(x, 6) AS x, round(y, 6) AS y, round(angle, 6) AS angle, round(width, 6) AS width, round(font_size, 6) AS font_size
-FROM mp JOIN fs USING (doc_id, page_idx, reading_order)""",
+br AS (SELECT doc_id, page_idx, line_no, br_x, br_y FROM lines),
+rn AS (
+  SELECT f.*, CASE WHEN i = 0 THEN tr_x ELSE tl_x + (tr_x - tl_x) * z END * 595 - (tl_x + (tr_x - tl_x) * a) * 595 AS dx,
+    CASE WHEN i = 0 THEN tr_y ELSE tl_y + (tr_y - tl_y) * z END * 842 - (tl_y + (tr_y - tl_y) * a) * 842 AS dy,
+    (bl_x + (br_x - bl_x) * a) * 595 AS x, (bl_y + (br_y - bl_y) * a) * 842 AS y FROM fr f JOIN br USING (doc_id, page_idx, line_no)
+)""",
+        """SELECT doc_id, page_idx, reading_order, place, (i - 1)::BIGINT AS run, run_text AS text, round(x + 1e-9, 6) AS x, round(y + 1e-9, 6) AS y, round(atan2(dy, dx) + 1e-9, 6) AS angle,
+  round(sqrt(dx ** 2 + dy ** 2) + 1e-9, 6) AS width, round(font_size + 1e-9, 6) AS font_size, round(sqrt(dx ** 2 + dy ** 2) / (length(run_text) * font_size * 0.5::DOUBLE) + 1e-9, 6) AS scale FROM rn""",
         True,
     ),
+    "detect_language": f"""
+WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^\\pL]+') AS ws FROM documents),
+v AS (SELECT * FROM (VALUES {", ".join(f"('{code}', {words!r})" for code, words in STOP_WORDS.items())}) t(code, stops)),
+n AS (SELECT doc_id, code, len(list_filter(ws, lambda x: list_contains(stops, x))) AS n FROM w, v),
+best AS (SELECT doc_id, arg_min(code, (-n, code)) AS code, max(n) AS n FROM n GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n > 0 THEN code ELSE 'pl' END AS lang_found FROM best""",
+    "metadata": """
+SELECT doc_id, concat_ws(';', CASE WHEN doc_id % 2 = 0 AND lang IS NOT NULL THEN 'Author=' || lang END, 'Title=' || source) AS properties FROM documents""",
+    "available": _q(
+        _CORES,
+        "SELECT l AS lang, count(word_lower) AS n_words FROM (SELECT unnest(['pl', 'en', 'de', 'fr', 'es']) AS l) LEFT JOIN lex ON lang = l GROUP BY l",
+    ),
     "tokens": _q(_LINES + _TOKS, "SELECT * FROM tokens"),
     "token_affixes": _q(
         _LINES + _TOKS,

@@ -47,8 +47,27 @@ def line_roles(spark, sf_dir):
     return _roles(spark, sf_dir).select(*PAGE, "line_no", "role")
 
 
+def _spine(spark, sf_dir):
+    """All pages: those with lines, and an empty one after the last of every tenth document."""
+    pages = src.document_lines(spark, sf_dir).select(*PAGE).distinct()
+    blank = pages.where(F.col("doc_id") % 10 == 0).groupBy("doc_id").agg((F.max("page_idx") + 1).alias("page_idx"))
+    return pages.unionByName(blank)
+
+
 def page_summary(spark, sf_dir):
-    return layout.page_summary(_roles(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 6))
+    lines = staged(layout.process_pages(src.document_lines(spark, sf_dir)), "pages")
+    return layout.page_summary(lines, _spine(spark, sf_dir)).withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+def page_log(spark, sf_dir):
+    return tx.log_line(page_summary(spark, sf_dir))
+
+
+def process_pages(spark, sf_dir):
+    """Lines from recognition to reading order in one go."""
+    df = layout.process_pages(src.document_lines(spark, sf_dir))
+    whole = [F.col(c).cast("long").alias(c) for c in ("para", "reading_order", "place")]
+    return df.select(*PAGE, "line_no", "role", "side", *whole, _r("text_skew"))
 
 
 def page_skew(spark, sf_dir):
@@ -135,11 +154,14 @@ def page_text(spark, sf_dir):
 
 
 def searchability(spark, sf_dir):
-    return tx.searchability(tx.page_text(_ordered(spark, sf_dir))).withColumn("ratio", F.round("ratio", 6))
+    pages = tx.page_text(_ordered(spark, sf_dir))
+    blank = F.when(F.col("doc_id") % 7 == 0, F.lit("\u2003 \u00a0")).otherwise(F.col("text"))
+    expected = _spine(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    return tx.searchability(pages.withColumn("text", blank), expected).withColumn("ratio", F.round("ratio", 6))
 
 
 def _page_sizes(spark, sf_dir):
-    """Physical pages with a size from their id: a third lie landscape."""
+    """Physical pages with a size from their id: a third lie landscape; pictures, some standing, some nearly square, and a gutter."""
     pages = src.document_lines(spark, sf_dir).select(*PAGE).distinct()
     wide = (F.col("doc_id") + F.col("page_idx")) % 3 == 0
     return pages.select(
@@ -147,6 +169,10 @@ def _page_sizes(spark, sf_dir):
         F.col("page_idx").alias("original_idx"),
         F.when(wide, 842.0).otherwise(595.0).alias("width"),
         F.when(wide, 595.0).otherwise(842.0).alias("height"),
+        F.when(F.col("doc_id") % 4 == 0, 1100).when(wide & (F.col("doc_id") % 4 != 1), 1700).otherwise(1200).alias("px_w"),
+        F.when(F.col("doc_id") % 4 == 0, 1080).when(wide & (F.col("doc_id") % 4 != 1), 1200).otherwise(1700).alias("px_h"),
+        F.when(F.col("doc_id") % 11 == 0, 180).otherwise(0).alias("turn"),
+        (800 + F.col("page_idx") % 90).cast("int").alias("gutter"),
     )
 
 
@@ -157,13 +183,24 @@ def letterbox(spark, sf_dir):
 
 
 def split_pages(spark, sf_dir):
-    return layout.split_pages(_page_sizes(spark, sf_dir)).select("doc_id", "original_idx", "part", "width", F.col("logical_idx").cast("long").alias("logical_idx"))
+    return layout.split_pages(_page_sizes(spark, sf_dir)).select("doc_id", "original_idx", "part", "part_width", F.col("logical_idx").cast("long").alias("logical_idx"))
+
+
+def page_canvas(spark, sf_dir):
+    """Canvas of unsplit pages turned by their id, and whether a small turn is carried out."""
+    p = _page_sizes(spark, sf_dir).withColumn("c", geo.canvas(F.col("width"), F.col("height"), (F.col("doc_id") % 4) * 90))
+    turns = geo.needs_turn((F.col("doc_id") % 5) / 1000.0).alias("turns")
+    return p.select("doc_id", "original_idx", "c.canvas_w", "c.canvas_h", turns)
 
 
 def draw_list(spark, sf_dir):
+    """Word runs of the text layer; lines of every thirteenth document have no boxes."""
     g = geo.identity(F.lit(595.0), F.lit(842.0), F.lit(1.0))
-    df = tx.draw_list(_ordered(spark, sf_dir), g)
-    return df.select(*PAGE, F.col("reading_order").cast("long").alias("reading_order"), F.col("place").cast("long").alias("place"), "text", *map(_r, ("x", "y", "angle", "width", "font_size")))
+    lines = tx.word_boxes(_ordered(spark, sf_dir))
+    lines = lines.withColumn("boxes", F.when(F.col("doc_id") % 13 != 0, F.col("boxes")).otherwise(F.filter("boxes", lambda b: F.lit(False))))
+    whole = [F.col(c).cast("long").alias(c) for c in ("reading_order", "place", "run")]
+    # characters divide lines evenly, so that places lie halfway between two roundings; a little more decides
+    return tx.draw_list(lines, g).select(*PAGE, *whole, "text", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("x", "y", "angle", "width", "font_size", "scale")])
 
 
 def tokens(spark, sf_dir):
@@ -181,6 +218,21 @@ def line_words(spark, sf_dir):
     return w.select(*PAGE, "line_no", "word_idx", "w.word", "w.start")
 
 
+def detect_language(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", strings.detect_language(F.col("text")).alias("lang_found"))
+
+
+def metadata(spark, sf_dir):
+    """Properties that a sink keeps, in order of their names."""
+    found = strings.metadata(Title=F.col("source"), Author=F.when(F.col("doc_id") % 2 == 0, F.col("lang")), Pages=F.col("n_chars"))
+    kept = F.array_sort(F.transform(F.map_entries(strings.metadata_keys(found)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(kept, ";").alias("properties"))
+
+
+def available(spark, sf_dir):
+    return lx.available(_cores(spark, sf_dir)[1], ["pl-PL", "en-GB", "de-DE", "de-AT", "fr-FR", "es-ES"])
+
+
 def digit_fix(spark, sf_dir):
     cores = lx.corpus_cores(_table(spark, sf_dir, "documents")).select("core").distinct()
     return cores.where(strings.is_suspicious(F.col("core"))).select("core", strings.digits_to_letters(F.col("core")).alias("fixed"))
@@ -306,7 +358,7 @@ def _broken_lines(spark, sf_dir):
     broken = ordered.withColumn("text", F.when(F.col("place") % 4 == 0, F.concat("text", F.lit("-"))).otherwise(F.col("text")))
     langs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
     lines = staged(broken.join(langs, "doc_id"), "broken_lines")
-    return lines, tx.protected_words(tx.page_text(lines), tx.capitalised(lines))
+    return lines, staged(tx.protected_words(tx.page_text(lines), tx.capitalised(lines)), "names")
 
 
 def hyphen_repair(spark, sf_dir):
@@ -380,7 +432,7 @@ QUERIES = {
     for f in (
         ocr_lines, line_geometry, line_roles, page_summary, page_skew, text_skew, page_orientation, band_skew, column_gutter, column_assign,
         band_columns, paragraphs, reading_order, paragraph_text, sidecar_text, page_text, merge_passes, line_iou, searchability, letterbox,
-        split_pages, draw_list, tokens, token_affixes, line_words, digit_fix, citations, name_index, lexicon, valid_words, edit_distance,
+        split_pages, page_canvas, process_pages, page_log, draw_list, detect_language, metadata, available, tokens, token_affixes, line_words, digit_fix, citations, name_index, lexicon, valid_words, edit_distance,
         weighted_edit, cosine_pairs, protected_match, grapheme_candidates, subst_candidates, pair_candidates, diacritic_matches,
         best_candidate, context_candidate, split_merged, corrected_tokens, hyphen_repair, corrected_pages, corrected_words, ink_gutter, crop_box,
         crop_decision, top_labels,

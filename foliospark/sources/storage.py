@@ -31,20 +31,20 @@ def _root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def remove_staged(spark: SparkSession) -> None:
     """Deletes all tables that staged() wrote in this application.  Call it when no result that reads them is needed any more."""
-    _delete(spark, _root(spark))
+    delete(spark, _root(spark))
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that only other staged tables were made from."""
     for df in tables:
-        _delete(df.sparkSession, df.staged_at)
+        delete(df.sparkSession, df.staged_at)
 
 
 def staged_path(spark: SparkSession, tag: str) -> str:

@@ -14,7 +14,8 @@ def test_run(spark, tmp_path):
     cli.run(spark, cli.parse([f"{tmp_path}/docs", f"{tmp_path}/out", "--lang", "en", "--sidecar", f"{tmp_path}/text", "--customwords", "book, Moss", "--names", f"{tmp_path}/names", "--fix-diacritics", "--split-merged-words"]))
     assert spark.read.parquet(f"{tmp_path}/out").count() >= 2
     assert {r.value for r in spark.read.text(f"{tmp_path}/names").collect()} == {"Kant", "Moss", "book"}
-    assert "--- page 1 ---" in {r.value for r in spark.read.text(f"{tmp_path}/text").collect()}
+    assert not (tmp_path / "out.work").exists()
+    assert "--- page 1 (source page 1) ---" in {r.value for r in spark.read.text(f"{tmp_path}/text").collect()}
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):

@@ -210,6 +210,104 @@ def test_cosine_guards(spark):
     assert got == (0, 0, pytest.approx(1), 0)
 
 
+def scaled_brute(a, n):
+    """Rows of a brought to n, one value after another."""
+    size = len(a)
+    if n > size:
+        return [a[i * size // n] for i in range(n)]
+    edges = [i * size // n for i in range(n)] + [size]
+    return [[sum(a[y][x] for y in range(p, q)) // (q - p) for x in range(len(a[0]))] for p, q in zip(edges, edges[1:])]
+
+
+def turned(a):
+    return [list(r) for r in zip(*a)]
+
+
+def gutter_of_brute(a):
+    scale = min(1.0, 600 / len(a[0]))
+    a = turned(scaled_brute(turned(scaled_brute(a, max(1, int(len(a) * scale)))), max(1, int(len(a[0]) * scale))))
+    n = len(a[0])
+    ink = [sum(255 - r[x] for r in a) for x in range(n)]
+    smooth = []
+    for x in range(n):
+        near = ink[max(0, x - max(2, n // 80)) : x + max(2, n // 80) + 1]
+        smooth.append(sum(near) // len(near))
+    lo, hi = int(n * 0.45), min(int(n * 0.55), n - 1)
+    best = min(range(lo, hi + 1), key=lambda x: (smooth[x], x))
+    return int(best / scale + 0.5)
+
+
+def box_brute(a):
+    h, w = len(a), len(a[0])
+    g = turned(scaled_brute(turned(scaled_brute(a, 200)), 200))
+    out = []
+    for size, lines_ in ((w, turned(g)), (h, g)):
+        white = [sum(v > 216 for v in line_) > 150 for line_ in lines_]
+        first = next((x for x in range(197) if all(white[x : x + 3])), 0)
+        last = next((x for x in range(199, 1, -1) if all(white[x - 2 : x + 1])), 199)
+        if last - first <= 40:
+            return None
+        out += [max(0.0, first / 200 * size - size * 0.01), min(size, last / 200 * size + size * 0.01)]
+    return out
+
+
+def test_rasters_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i, (w, h) in enumerate([(40, 30), (160, 60), (1300, 24), (210, 220), (30, 700), (7, 5)]):
+        edge, ink = rng.randint(0, w // 6), rng.randint(int(w * 0.46), int(w * 0.5))
+        a = [[40 if x < edge else 255 if abs(x - ink) < 2 else rng.choice([230, 250, 250, 250, 90 if i % 2 else 250]) for x in range(w)] for _ in range(h)]
+        rows.append((i, w, h, [v for r in a for v in r]))
+        want[i] = (gutter_of_brute(a), gutter_of_brute(turned(a)), box_brute(a))
+    rows += [(90, 2, 2, [1, 2, 3]), (91, None, 2, None), (92, 0, 0, [])]
+    df = spark.createDataFrame(rows, "page_id long, w int, h int, px array<int>")
+    assert {r.page_id: r.gutter for r in raster.ink_gutter(df).collect()} == {i: x[0] for i, x in want.items()}
+    assert {r.page_id: r.gutter for r in raster.ink_gutter(df, vertical=False).collect()} == {i: x[1] for i, x in want.items()}
+    boxes = {r.page_id: [r.left, r.right, r.top, r.bottom] for r in raster.crop_box(df).collect()}
+    assert boxes == {i: pytest.approx(x[2]) for i, x in want.items() if x[2]} and boxes
+
+
+def test_protected_match_equals_brute_force(spark):
+    rng = random.Random(8)
+    costs = {a + b: c for a, b, c in distance.confusion_pairs()}
+    word = lambda: "".join(rng.choice("ilrntmoaeöK") for _ in range(rng.randint(1, 6)))
+    cores, names = {word() for _ in range(150)}, {word().capitalize() for _ in range(60)} | {"Kilntri", "Kltiroe"}
+    cores |= {n[1:] for n in names} | set(list(names)[:5]) | {"Kiintnl", "kllintei"}
+    page = "doc_id long, page_idx int, "
+    got = co.protected_match(spark.createDataFrame([(0, 0, c) for c in cores] + [(0, 1, "Kant")], page + "core string"), spark.createDataFrame([(0, 0, n) for n in names], page + "name string"))
+    want = {}
+    for c in cores:
+        near = sorted((c != n, n) for n in names if abs(len(c) - len(n)) <= 1 and (c == n or edit_brute(c, n, costs) == 10))
+        # a distance of one between words that differ by two letters in length is impossible
+        if near:
+            want[c] = (near[0][1], not near[0][0])
+    assert {r.core: (r.name, r.exact) for r in got.collect()} == want and sum(not e for _, e in want.values()) > 20
+
+
+def test_split_at_the_gutter(spark):
+    rows = [(0, 0, 800.0, 600.0, 900, 1400, 0, 640), (0, 1, 800.0, 600.0, 1400, 900, 0, 640), (0, 2, 800.0, 600.0, 1000, 990, 0, 500), (0, 3, 600.0, 800.0, 900, 1400, 0, 400), (0, 4, 800.0, 600.0, 1400, 900, 90, 640)]
+    df = spark.createDataFrame(rows, "doc_id long, original_idx int, width double, height double, px_w int, px_h int, turn int, gutter int")
+    got = [(r.original_idx, r.part, r.part_width, r.logical_idx) for r in layout.split_pages(df).orderBy("logical_idx").collect()]
+    assert got == [(0, "L", 640, 0), (0, "R", 760, 1), (1, "L", 640, 2), (1, "R", 760, 3), (2, "P", 1000, 4), (3, "P", 900, 5), (4, "P", 900, 6)]
+
+
+def test_language_metadata_and_log(spark):
+    found = [strings.detect_language(F.lit(x)) for x in ("The end of the day", "der Hund und die Katze", "", "xyz")]
+    assert value(spark, *found) == ("en", "de", "pl", "pl")
+    kept = strings.metadata_keys(strings.metadata(Title=F.lit("t"), Author=F.lit(None), Pages=F.lit(3)))
+    assert value(spark, kept) == ({"Title": "t"},)
+    row = spark.createDataFrame([(0, 1, 5, 2, 1, 0.756)], "doc_id long, page_idx int, n_paragraphs int, n_footnote int, n_marginal int, mean_confidence double")
+    assert tx.log_line(row).first().line == "page 2: 5 paragraphs (footnotes: 2, marginals: 1), mean confidence 0.76"
+    assert value(spark, geo.needs_turn(F.lit(-0.003)), geo.needs_turn(F.lit(0.002)), strings.language_base(F.lit("pl-PL"))) == (True, False, "pl")
+
+
+def test_empty_pages_in_the_summary(spark):
+    pages = spark.createDataFrame([(0, 0), (0, 1)], "doc_id long, page_idx int")
+    one = layout.process_pages(lines(spark, [line(0, 0.1, 0.9, 0.9), line(1, 0.1, 0.9, 0.5)]))
+    got = {r.page_idx: tuple(r[2:]) for r in layout.page_summary(one, pages).collect()}
+    assert got == {0: (2, 2, 0, 0, 2, pytest.approx(0.9)), 1: (0, 0, 0, 0, 0, 0.0)}
+
+
 def test_crop_decisions(spark):
     d = lambda cw, ch: raster.crop_decision(F.lit(100.0), F.lit(100.0), F.lit(cw), F.lit(ch))
     assert value(spark, d(49.0, 90.0), d(99.0, 99.0), d(55.0, 99.0), d(90.0, 90.0)) == ("too much", "too little", "aspect", "accepted")
@@ -275,6 +373,42 @@ def test_context_breaks_ties(spark):
         co.distance.confusion_pairs = costs
 
 
+def test_capital_of_sharp_s(spark):
+    lex = spark.createDataFrame([("de", "ßge", 9), ("de", "ssge", 9)], "lang string, word_lower string, freq long")
+    got = co.grapheme_candidates(spark.createDataFrame([("de", "SSge"), ("de", "ßge")], "lang string, core string"), lex)
+    assert {(r.core, r.candidate) for r in got.collect()} == {("SSge", "ßge"), ("ßge", "ssge")}
+
+
+def test_graphemes_are_no_patterns(spark):
+    lex = spark.createDataFrame([("en", "axb", 9)], "lang string, word_lower string, freq long")
+    cores = spark.createDataFrame([("en", "a.b"), ("en", "acb")], "lang string, core string")
+    assert [(r.core, r.candidate) for r in co.grapheme_candidates(cores, lex, [(".", "x")]).collect()] == [("a.b", "axb")]
+
+
+def test_correct_pages(spark):
+    """Broken words first and as one, then tokens by their first context, names kept, words apart."""
+    words = "cat cut meat wool kind modern a the".split()
+    lex = spark.createDataFrame([("en", w, 9) for w in words], "lang string, word_lower string, freq long")
+    vecs = spark.createDataFrame([("cat", [0.0, 1.0]), ("cut", [1.0, 0.0]), ("meat", [0.1, 1.0]), ("wool", [1.0, 0.1])], "word string, v array<double>")
+    rows = [
+        (0, 0, 5, 0, 0, "the mod-"),
+        (0, 0, 2, 0, 1, "em wool cxt"),
+        (0, 0, 1, 1, 0, "meat cxt Kind"),
+        (0, 1, 0, 0, 0, "k1nd"),
+    ]
+    df = spark.createDataFrame([("en", *r) for r in rows], "lang string, doc_id long, page_idx int, line_no int, reading_order int, place int, text string")
+    names = spark.createDataFrame([(0, 0, "Kind")], "doc_id long, page_idx int, name string")
+    costs = co.distance.confusion_pairs
+    co.distance.confusion_pairs = lambda: [("x", "a", 3), ("x", "u", 3), ("m", "n", 3)]
+    try:
+        got = {(r.page_idx, r.line_no): (r.text, r.words) for r in co.correct_pages(df, lex, names, vecs=vecs).collect()}
+    finally:
+        co.distance.confusion_pairs = costs
+    assert got[0, 5] == ("the mod-", ["the", "mod-"]) and got[0, 2][0] == "ern wool cut"
+    assert got[0, 1] == ("meat cut Kind", ["meat", "cut", "Kind"])
+    assert got[1, 0] == ("kind", [])
+
+
 def test_hyphen_repair(spark):
     rows = [(0, 0, "czytam ksią-"), (0, 1, "zka to"), (1, 0, "a one-"), (1, 1, "two-"), (1, 2, "three end"), (2, 0, "x-")]
     df = spark.createDataFrame(rows, "para int, place int, text string")
@@ -298,8 +432,12 @@ def test_sources(spark, tmp_path):
 def test_sidecar_and_validation(spark, tmp_path):
     paras = spark.createDataFrame([(0, 0, 0, "body", "one"), (0, 0, 1, "body", "two"), (0, 0, 2, "footnote", "note"), (0, 0, 3, "marginal", "skip")], "doc_id long, page_idx int, reading_order int, role string, text string")
     block = tx.sidecar_text(paras)
-    assert block.first().text == "--- page 1 ---\n\none\n\ntwo\n\n[footnotes]\n\nnote"
+    assert block.first().text == "--- page 1 (source page 1) ---\n\none\n\ntwo\n\n[footnotes]\n\nnote"
     tx.write_sidecar(block, str(tmp_path / "out"))
     assert "two" in spark.read.text(str(tmp_path / "out"), wholetext=True).agg(F.concat_ws("", F.collect_list("value"))).first()[0]
-    pages = spark.createDataFrame([(0, 0, " "), (0, 1, "ab")], "doc_id long, page_idx int, text string")
-    assert tuple(tx.searchability(pages).first()) == (0, 2, 1, 3, 0.5)
+    moved = spark.createDataFrame([(0, 0, 4)], "doc_id long, page_idx int, original_idx int")
+    assert tx.sidecar_text(paras, moved).first().text.startswith("--- page 1 (source page 5) ---")
+    pages = spark.createDataFrame([(0, 0, " \u2003"), (0, 1, "ab")], "doc_id long, page_idx int, text string")
+    assert tuple(tx.searchability(pages).first()) == (0, 2, 1, 2, 0.5)
+    expected = spark.createDataFrame([(0, 3)], "doc_id long, n_pages long")
+    assert not tx.searchability(pages, expected).first().complete
