@@ -2,12 +2,19 @@
 
 1. language ID: documents without any language (null text, no letters) go.
 2. line dedup: repeated runs of 30 words or more are cut out; a document goes only if nothing but runs
-   of earlier documents was in it.
-3. SimHash near-dedup: of the documents linked by fingerprints at 4 or fewer differing bits, the one
-   with the smallest doc_id stays.
+   that stood earlier was in it.
+3. SimHash near-dedup: fingerprints of 256 bits over shingles of five words link documents whose Jaccard
+   similarity is 0.8 or more, as far as fingerprints tell; of linked documents the one with the smallest
+   doc_id stays.
 4. benchmark decontamination: words of benchmark windows are cut out; a document of which they make
    up over half goes.
 5. best-fit packing: one row per piece with its sequence and place.
+
+Cases, in every stage: a null text counts as empty; language ID drops both, and other stages keep them.
+Texts are taken whole, however long; documents equal in all columns are treated alike.  Documents without
+an id come after all others in line dedup and always stay in near-dedup.  Ties between documents go to the
+smaller doc_id.  An empty table gives no rows.  Further columns are passed on, also with names that an
+operator gives to its results, up to the last stage, which returns its own columns alone.
 """
 
 from __future__ import annotations
@@ -21,22 +28,31 @@ from foliospark.llm.common import staged, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = language_id.identify(docs, language_id.fit(docs), [*docs.columns])
-    return named.where("lang_pred <> 'und'").select(*docs.columns)
+    models = language_id.fit(docs)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return language_id.identify(row, models, ["doc"]).where("lang_pred <> 'und'").select("doc.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup(docs)
-    return cut.where("n_words = 0 or words_deleted < n_words").select(*docs.columns)
+    # other columns in one, so that they may have the names of results
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = line_dedup.dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in rest]).alias("rest")))
+    kept = cut.where("n_words = 0 or words_deleted < n_words")
+    return kept.select(*[F.col(c) if c not in rest else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(groups.withColumnRenamed("doc_id", "__stays"), F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi").select(*docs.columns)
+    groups = simhash.near_duplicates(docs, k=5, max_bits=simhash.bits_at(0.8, 256), words=4)
+    stays = groups.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    d, s = docs.alias("d"), stays.alias("s")
+    return d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    rest = [c for c in docs.columns if c != "text"]
+    row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    kept = decontamination.decontaminate(row, table(spark, sf_dir, "benchmark"))
+    return kept.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
