@@ -1,17 +1,17 @@
-"""Shared helpers of the training-data operators: table access, shared storage, Arrow row streams."""
+"""Shared helpers of the training-data operators: table access, Arrow row streams; shared storage is the library's."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import discard, remove_staged, shared_dir, staged, staged_path, written  # noqa: F401
+
 #: Upper-case ASCII to lower case, every other ASCII character but digits and letters to a space.
 #: Bytes from 0x80 up pass, so UTF-8 text splits into words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`.
 WORD_BYTES = bytes(
@@ -34,64 +34,11 @@ def ascii_lower(col):
     return F.when(~col.rlike(r"[^\x00-\x7F]"), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir.
-
-    A local session without that setting gets a temporary folder, which goes with the process; on a
-    cluster the setting is required, since other machines do not see this one's folders.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
-        got = tempfile.mkdtemp(prefix="foliospark-")
-        atexit.register(shutil.rmtree, got, True)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(got)
-    return got.rstrip("/")
-
-
-def _stage_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def remove_staged(spark: SparkSession) -> None:
-    """Deletes all tables that staged() wrote in this application.  Call it when no result that reads them is needed any more."""
-    _delete(spark, _stage_root(spark))
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that only other staged tables were made from."""
-    for df in tables:
-        _delete(df.sparkSession, df.staged_at)
-
-
-def staged_path(spark: SparkSession, tag: str) -> str:
-    return f"{_stage_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str, compression: str = "zstd", row_group_bytes: int | None = None) -> None:
-    writer = df.write.option("compression", compression)
-    if row_group_bytes:  # for rows so large that a reader should hold few of them
-        writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.size.row.check.min", 8)
-    writer.parquet(path)
-
-
-def staged(df: DataFrame, tag: str, compression: str = "zstd", row_group_bytes: int | None = None) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends, lost executors lose nothing.
-
-    The tables stay until remove_staged(), since results are read from them lazily.
-    """
-    path = staged_path(df.sparkSession, tag)
-    written(df, path, compression, row_group_bytes)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
+def release_memory() -> None:
+    """Gives memory that the process no longer uses back to the system; Python workers stay and serve other operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def arrow_map(df: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str, max_chars: int = 8_000_000) -> DataFrame:
@@ -100,6 +47,7 @@ def arrow_map(df: DataFrame, fn: Callable[..., pa.RecordBatch], schema: str, max
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from map(fn, slices(batch, max_chars))
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

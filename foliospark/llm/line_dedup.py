@@ -43,14 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, slices, staged
+from .common import discard, release_memory, slices, staged
 
 _FACTOR = 0x9E3779B97F4A7C15
 #: Ids of documents without one start here.
 _AFTER = 1 << 62
-_BLOCK_BYTES = 6_000_000
+_BLOCK_BYTES = 3_000_000
 #: Rows of a block at most, and blocks of a partition at most; a row's key is partition, block, row.
-_ROWS = 1 << 20
+_ROW_BITS = 20
+_ROWS = 1 << _ROW_BITS
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MARK = np.isin(np.arange(256), list(b".!?"))
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
@@ -208,6 +209,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                         out.write_batch(some)
                     yield pa.record_batch([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
                     block += 1
+        release_memory()
 
     return staged(source.mapInArrow(run, "block long, body binary"), "texts", "none", 16_000_000)
 
@@ -252,6 +254,7 @@ def prints(stored: DataFrame, k: int, min_words: int) -> DataFrame:
         for batch in batches:
             for block, body in zip(*batch.columns):
                 yield each(block.as_py(), body.as_py())
+        release_memory()
 
     schema = "fp long, doc long, key long, first int, before int, after int, sides long"
     return stored.select("block", "body").mapInArrow(run, schema)
@@ -299,9 +302,10 @@ def extensions(stored: DataFrame, found: DataFrame, min_words: int) -> DataFrame
             doc, at = doc[live], at[live]
             x, first = s.of(at, at + min_words), at - s.starts[doc]
             cols = [x.view(np.int64), ids[doc], key[doc], first, _own_repeats(doc, first, x, min_words)]
+        release_memory()
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], ["x", "doc", "key", "first", "own"])
 
-    looks = found.where("look").select(F.floor(F.col("key") / _ROWS).alias("block"), "key", "a", "b")
+    looks = found.where("look").select(F.shiftright("key", _ROW_BITS).alias("block"), "key", "a", "b")
     every = staged(stored.groupBy("block").cogroup(looks.groupBy("block")).applyInArrow(run, "x long, doc long, key long, first int, own boolean"), "stretches")
     firsts = every.groupBy("x").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     firsts = staged(firsts.where("least < most").drop("most"), "firsts")
@@ -348,13 +352,14 @@ def dedup(docs: DataFrame, min_words: int = 30) -> DataFrame:
     stored = blocks(docs)
     found = spots(staged(prints(stored, k, min_words), "prints"), k, min_words)
     marks = found.where("not look").select("key", "a", "b").unionByName(extensions(stored, found, min_words))
-    marks = marks.select(F.floor(F.col("key") / _ROWS).alias("block"), "key", "a", "b")
+    marks = marks.select(F.shiftright("key", _ROW_BITS).alias("block"), "key", "a", "b")
     kinds = [T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name != "text"])), T.StructField("text", T.StringType())]
     kinds += [T.StructField(c, T.LongType()) for c in own]
 
     def run(block: pa.Table, ranges: pa.Table) -> pa.Table:
         _, _, texts, row = _opened(*(block.column(c)[0].as_py() for c in ("block", "body")))
         texts, counts = _cut(texts, ranges)
+        release_memory()
         return pa.table([row, texts, *(pa.array(c, pa.int64()) for c in counts)], ["row", "text", *own])
 
     cut = stored.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, T.StructType(kinds))
