@@ -264,7 +264,7 @@ def identify(docs: DataFrame, models: Models, keep: list[str] | None = None) ->
         added = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())]
         return pa.record_batch([batch.column(0), *added], ["row", "lang_pred", "score", "mixture"])
 
-    return arrow_map(source, run, schema, 4_000_000).select("row.*", "lang_pred", "score", "mixture")
+    return arrow_map(source, run, schema, 1_000_000).select("row.*", "lang_pred", "score", "mixture")
 
 
 def predict(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
