@@ -129,12 +129,6 @@ def _gutters(lines: DataFrame, keys: list[str], tuning: Tuning) -> DataFrame:
     return groups.select(*keys, F.explode(F.array_compact(F.array(F.aggregate(coverage, init, step, done)))).alias("gutter"))
 
 
-def body_lines(lines: DataFrame) -> DataFrame:
-    """The body lines of each page, or all its lines where it has no body."""
-    any_body = F.max(F.when(F.col("role") == "body", 1).otherwise(0)).over(Window.partitionBy(*PAGE))
-    return lines.withColumn("__any", any_body).where((F.col("__any") == 0) | (F.col("role") == "body")).drop("__any")
-
-
 def mid_skew(lines: DataFrame, tuning: Tuning = TUNING) -> DataFrame:
     """(page, skew) of the middle band over the lines given."""
     return band_skew(lines, tuning).where(F.col("band") == tuning.bands // 2).select(*PAGE, "skew")
