@@ -3,12 +3,13 @@
 Ids are replaced by their rank in the corpus (most frequent first), so most take one byte.  File
 format, all little-endian: magic ``FTOK1``; then blocks, one per document: uint32 n (ids),
 ceil(n / 4) control bytes with two bits per id (its bytes minus one, lowest bits first), then the
-data bytes.  A side table ``ranks`` (id by rank) belongs to the files, as does the list of files
-with their document ids, ids in front and block offsets.  A numpy table from control byte to lengths
-decodes whole blocks at once.
+data bytes.  The table of ranks (id by rank) and the list of files are stored beside the files.  A numpy
+table from control byte to lengths decodes whole blocks at once.
 
 Cases: null text counts as empty (a block holding the end id alone); an empty table gives no rows;
-repeated doc_ids keep one block each; null doc_ids come first.  Extra columns are ignored.
+repeated doc_ids keep one block each, in the order of their ids' crc, and may stand in several files;
+null doc_ids come first; ties in frequency go by id; a very long text is one block in one segment.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, staged
+from .common import arrow_map, slices, staged, staged_path, written
 from .tokens import encoder
 
 MAGIC = b"FTOK1"
@@ -126,29 +127,36 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     return total
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, file_bytes: int = 32 << 20) -> tuple[DataFrame, np.ndarray]:
-    """Writes the corpus in ascending doc_id order; returns the stored segments and the ids by rank.
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 0, file_bytes: int = 32 << 20) -> str:
+    """Writes the corpus in ascending doc_id order; returns the folder (path, or one of the staged tables).
 
-    A segment row (file_no, seq, inner, doc_ids, n_tokens, body) holds one stretch of a file in the
-    format above with the ids of its documents and the file's tokens in front of it; (file_no, seq)
-    follows doc_id order.  Segments are binary values of a table because Spark's writers reach any
-    store and commit atomically when executors are lost.  A file takes about file_bytes of plain ids.
+    The folder holds three tables, and is all that reading needs:
+    segments (file_no, seq, inner, doc_ids, n_tokens, body), one stretch of a file in the format above
+    with the ids of its documents and the file's tokens in front of it, in doc_id order by (file_no, seq);
+    files (file_no, n_tokens, front), with the tokens of all files in front; ranks (rank, id).
+    Segments are binary values of a table because Spark's writers reach any store and commit atomically
+    when executors are lost.  A file takes about file_bytes of plain ids.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    path = path or staged_path(spark, "token-files")
     vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size()
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    tokens = staged(tokenised(docs, tokenizer_path, end_id, vocabulary, kind), "tokens", "lz4")
+    tokens = staged(tokenised(docs, tokenizer_path, end_id, vocabulary, kind), "tokens")
     counts = id_counts(tokens, vocabulary)
     by_rank = np.lexsort((np.arange(vocabulary), -counts)).astype(np.uint32)  # ties by id
     rank_of = np.empty(len(by_rank), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)  # as long as the vocabulary
+    ranks = spark.createDataFrame(pa.table([pa.array(np.arange(vocabulary)), pa.array(by_rank.astype(np.int64))], ["rank", "id"]))
+    ranks.coalesce(1).write.parquet(f"{path}/ranks")
 
     files = max(1, -(-int(counts.sum()) * np.dtype(kind).itemsize // file_bytes))
-    key = F.col("doc_id").asc_nulls_first()
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(files, key).sortWithinPartitions(key, F.crc32("ids"))
+    # the last key parts rows of one doc_id (or without any) that are equal
+    key = [F.col("doc_id").asc_nulls_first(), F.crc32("ids"), F.col("place")]
+    ordered = tokens.select("doc_id", "ids", F.xxhash64(F.monotonically_increasing_id()).alias("place"))
+    ordered = ordered.repartitionByRange(files, *key).sortWithinPartitions(*key).select("doc_id", "ids")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -162,19 +170,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fil
                 yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, _SEGMENT_ARROW)], _SEGMENT_ARROW)
                 seq, inner = seq + 1, inner + len(ids)
 
-    return staged(ordered.mapInArrow(encode, _SEGMENT), "token-files", "lz4", 8 << 20), by_rank
+    written(ordered.mapInArrow(encode, _SEGMENT), f"{path}/segments", "lz4", 8 << 20)
+    # a row for each file, so one task orders them
+    sizes = spark.read.parquet(f"{path}/segments").groupBy("file_no").agg(F.sum("n_tokens").alias("n_tokens"))
+    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    sizes.withColumn("front", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/files")
+    return path
 
 
-def read_token_files(segments: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """Decodes the files: doc_id, start (ids before the document), n_tokens, ids_crc32."""
-    spark = segments.sparkSession
-    # one row per file, that is the corpus over file_bytes
-    totals = sorted((r.file_no, r.n) for r in segments.groupBy("file_no").agg(F.sum("n_tokens").alias("n")).collect())
-    before, fronts = 0, []
-    for file_no, n in totals:
-        fronts.append((file_no, before))
-        before += n
-    front = spark.createDataFrame(fronts, "file_no int, front long")
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """Decodes the files in a folder: doc_id, start (ids before the document), n_tokens, ids_crc32."""
+    ranks = spark.read.parquet(f"{path}/ranks").toArrow()  # as long as the vocabulary
+    by_rank = np.empty(ranks.num_rows, np.uint32)
+    by_rank[ranks.column("rank").to_numpy()] = ranks.column("id").to_numpy()
     table = spark.sparkContext.broadcast(by_rank)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,5 +198,6 @@ def read_token_files(segments: DataFrame, by_rank: np.ndarray) -> DataFrame:
                 cols = [docs.values, pa.array(start + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())]
                 yield pa.record_batch(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = segments.join(F.broadcast(front), "file_no").select("doc_ids", "body", (F.col("front") + F.col("inner")).alias("at"))
+    segments, files = spark.read.schema(_SEGMENT).parquet(f"{path}/segments"), spark.read.parquet(f"{path}/files").select("file_no", "front")
+    joined = segments.join(files, "file_no").select("doc_ids", "body", (F.col("front") + F.col("inner")).alias("at"))
     return joined.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")

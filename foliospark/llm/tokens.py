@@ -76,16 +76,16 @@ class PieceEncoder:
     and results never change.
     """
 
-    def __init__(self, path: str, memo_words: int = 800_000, memo_pieces: int = 300_000, code: str = "I"):
+    def __init__(self, path: str, memo_words: int = 1_200_000, memo_pieces: int = 300_000, code: str = "I"):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        #: texts that the library must read as a whole
-        self.odd = re.compile("|".join([_ODD.pattern, *map(re.escape, added)])).search
+        #: each id as bytes
+        self.known = [_bytes([i], code) for i in range(self.tok.get_vocab_size())]
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.lower = self.tok.normalizer is not None
         self.split = _SPLITS["word" if self.lower else "byte"].findall
         self.memo_words, self.memo_pieces, self.code = memo_words, memo_pieces, code
@@ -111,13 +111,18 @@ class PieceEncoder:
 
     def _unseen(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not in the memo."""
-        cut = {w: self._cut(w) for w in words}
-        pieces = self.pieces
-        todo = [p for p in {p for ps in cut.values() for p in ps} if p not in pieces]
         # a piece is what the pre-tokenizer hands to the model, but for its spelling of bytes
-        model = self.tok.model.tokenize
-        fresh = {p: _bytes([t.id for t in model(_spelled(p))], self.code) for p in todo}
-        found = {w: b"".join([pieces[p] if p in pieces else fresh[p] for p in ps]) for w, ps in cut.items()}
+        model, known, pieces = self.tok.model.tokenize, self.known, self.pieces
+        space, mark = ("", "") if self.lower else (" ", chr(_BYTE_LETTERS[32]))
+        found, cut = {}, {}
+        for w in words:
+            if w.isalpha():  # a piece of its own
+                found[w] = b"".join([known[t.id] for t in model(mark + w if w.isascii() else _spelled(space + w))])
+            else:
+                cut[w] = self._cut(w)
+        fresh = {p: b"".join([known[t.id] for t in model(_spelled(p))]) for p in {p for ps in cut.values() for p in ps}.difference(pieces)}
+        for w, ps in cut.items():
+            found[w] = b"".join([pieces[p] if p in pieces else fresh[p] for p in ps])
         pieces.update(islice(fresh.items(), max(0, self.memo_pieces - len(pieces))))
         self.words.update(islice(found.items(), max(0, self.memo_words - len(self.words))))
         return found
@@ -138,7 +143,7 @@ class PieceEncoder:
         for text in texts:
             if not text:
                 out.append([b""])
-            elif self.odd(text):
+            elif _ODD.search(text) or any(map(text.__contains__, self.added)):  # the library must read it as a whole
                 out.append([self._library(text)])
             else:
                 words = self._independent(text)
@@ -158,9 +163,9 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, code: str = "I", memo_words: int = 800_000) -> PieceEncoder:
+def encoder(path: str, code: str = "I", memo_words: int = 1_200_000) -> PieceEncoder:
     """The process's encoder of a vocabulary: Python workers serve many tasks, and load and learn once.
 
     The memo stays in the worker, beside what other operators load there.
     """
-    return PieceEncoder(path, memo_words, memo_words * 3 // 8, code)
+    return PieceEncoder(path, memo_words, memo_words // 4, code)
