@@ -3,12 +3,14 @@
 Documents become pieces of at most `capacity` tokens.  Pieces are dealt to partitions of a fixed
 expected size; each packs its own by best-fit decreasing and certifies the bin count with lower
 bounds from dual-feasible functions.  Partitions whose count exceeds their bound exchange what lies
-in their bins that are not full, in pairs, and rerun best-fit decreasing; a result is taken only
-where it needs fewer bins.
+in their bins that are not full, in pairs, and rerun best-fit decreasing, which certifies them anew; a
+result is taken only where it needs fewer bins.  After `rounds` exchanges a gap may remain; it shows as
+n_bins > bound in the rows of the group.
 
 Cases: null text is an empty document (one piece holding only the end id); an empty table gives no
-rows; repeated rows are packed each on its own; rows whose id is null are packed like others.
-Extra columns are ignored.
+rows; repeated rows are packed each on its own; rows whose id is null are packed like others; ties in
+size go by doc_id, start and crc; a very long text is cut into pieces of one sequence each.  Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,12 +76,13 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets, used
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, memo_words: int) -> DataFrame:
     """Tokenises (doc_id, text) and cuts documents longer than capacity; one row per piece."""
+
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
-        for d, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path, memo_words=240_000).encode(batch.column(1).to_pylist())):
+        for d, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path, memo_words=memo_words).encode(batch.column(1).to_pylist())):
             ids += end
             for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
@@ -106,16 +109,22 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = 100_000,
     """Adds sequence_id and offset, with n_bins and bound of the group that packed the piece last.
 
     `pieces` is read several times, so pass a stored table.  A partition holds about per_partition
-    pieces whatever the input, so memory per task is bounded.
+    pieces whatever the input and however many rows are equal, so memory per task is bounded.
+
+    Full bins leave their group when it is taken up in an exchange; what lies in its other bins is
+    packed with that of another group and certified anew.  Rows with n_bins > bound after the last
+    round are of groups whose gap remains: their packing is not proved to be the best.
     """
     n = pieces.count()
     parts = max(1, -(-n // per_partition))
     names = PIECES.replace(",", "").split()[::2]
+    state_names = [x.split()[0] for x in _STATE.split(", ")]
 
     def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
         return _packed(frame[names], int(key[0]), capacity)
 
-    dealt = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(parts)).alias("part"))
+    # dealt by place in the stored table, so equal rows do not meet in one partition
+    dealt = pieces.select(*names, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("part"))
     state = staged(dealt.groupBy("part").applyInPandas(pack, _STATE), "packing")
 
     for r in range(1, rounds + 1):
@@ -123,24 +132,32 @@ def pack_pieces(pieces: DataFrame, capacity: int, per_partition: int = 100_000,
         gaps = [x.part for x in state.where("n_bins > bound").select("part").distinct().orderBy("part").collect()]
         if len(gaps) < 2:
             break
-        base = r << 40
-        pair = pieces.sparkSession.createDataFrame([(g, base + i // 2) for i, g in enumerate(gaps)], "part long, pair long")
-        fill = state.groupBy("part", "bin").agg(F.sum("length").alias("fill"))
-        open_bins = fill.where(F.col("fill") < capacity).join(pair, "part").select("part", "bin", "pair")
-        moving = state.join(open_bins, ["part", "bin"])
-        staying = state.join(open_bins, ["part", "bin"], "left_anti")
+        gaps = gaps[r % 2 :] + gaps[: r % 2]  # groups that gained nothing meet others in the next round
+        pair = pieces.sparkSession.createDataFrame([(g, (r << 40) + i // 2) for i, g in enumerate(gaps)], "part long, pair long")
+        open_ = state.where("n_bins > bound").join(pair, "part")
+        fill = open_.groupBy("part", "bin").agg(F.sum("length").alias("fill"))
+        marked = open_.join(fill, ["part", "bin"])
+        closed = state.where("n_bins <= bound").unionByName(
+            marked.where(F.col("fill") >= capacity).select(*state_names[:-2], F.lit(1).cast("long").alias("n_bins"), F.lit(1).cast("long").alias("bound"))
+        )
 
         def exchange(key, frame: pd.DataFrame) -> pd.DataFrame:
             before = len(frame[["part", "bin"]].drop_duplicates())
             new = _packed(frame[names], int(key[0]), capacity)
             kept = new if int(new["n_bins"].iloc[0]) < before else frame
-            return kept[[x.split()[0] for x in _STATE.split(", ")]]
+            return kept.assign(n_bins=min(before, int(new["n_bins"].iloc[0])), bound=int(new["bound"].iloc[0]))[state_names]
 
-        state = staged(staying.unionByName(moving.groupBy("pair").applyInPandas(exchange, _STATE)), "packing")
+        moved = marked.where(F.col("fill") < capacity).groupBy("pair").applyInPandas(exchange, _STATE)
+        state = staged(closed.select(*state_names).unionByName(moved), "packing")
     return state.select(*names, (F.col("part") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset", "n_bins", "bound")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, per_partition: int = 100_000) -> DataFrame:
-    """Tokenises, cuts and packs (doc_id, text): one row per piece with its sequence and place there."""
-    pieces = staged(token_pieces(docs, tokenizer_path, end_id, capacity), "pieces")
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, per_partition: int = 100_000, memo_words: int = 1_000_000
+) -> DataFrame:
+    """Tokenises, cuts and packs (doc_id, text): one row per piece with its sequence and place there.
+
+    memo_words bounds the words whose ids a Python worker remembers; it changes time and memory, never results.
+    """
+    pieces = staged(token_pieces(docs, tokenizer_path, end_id, capacity, memo_words), "pieces")
     return pack_pieces(pieces, capacity, per_partition)
