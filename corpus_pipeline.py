@@ -56,7 +56,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers that served the other stages have less room for a memo
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo_words=240_000)
 
 
 STAGES = [
