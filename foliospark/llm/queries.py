@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from . import decontamination, exact_dedup, language_id, licenses, line_dedup, lm_scoring, packing, pii, simhash, token_files
 from .common import table
@@ -39,7 +40,8 @@ def op7_license_scan(spark, sf_dir):
 
 def op8_lm_scoring(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return lm_scoring.score(table(spark, sf_dir, "documents"), good)
+    got = lm_scoring.score(table(spark, sf_dir, "documents"), good)
+    return got.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op9_line_dedup(spark, sf_dir):
@@ -104,5 +106,51 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a:
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
   greatest(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, coalesce(best, 0.0::DOUBLE)) AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+""",
+    "op8_lm_scoring": f"""
+WITH d AS (
+  SELECT doc_id, list_concat({_WORDS.format("text")}, [chr(10)]) AS seq, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS good FROM documents
+),
+places AS (SELECT *, unnest(range(1, len(seq) + 1)) AS i FROM d),
+pairs AS (SELECT doc_id, good, CASE WHEN i = 1 THEN chr(10) ELSE seq[i - 1] END AS v, seq[i] AS w FROM places),
+uni AS (SELECT w, count(*) AS b, count(*) FILTER (good) AS t FROM pairs GROUP BY w),
+bi AS (SELECT v, w, count(*) AS b, count(*) FILTER (good) AS t FROM pairs GROUP BY v, w),
+n AS (SELECT count(*) AS b, count(*) FILTER (good) AS t, count(DISTINCT w) + 1 AS size FROM pairs),
+loss AS (
+  SELECT bi.v, bi.w, -ln((bi.t + 200.0::DOUBLE * (x.t + 1) / (n.t + n.size)) / (y.t + 200.0::DOUBLE)) AS lt, -ln((bi.b + 200.0::DOUBLE * (x.b + 1) / (n.b + n.size)) / (y.b + 200.0::DOUBLE)) AS lb
+  FROM bi JOIN uni x ON x.w = bi.w JOIN uni y ON y.w = bi.v, n
+)
+SELECT doc_id, count(*) AS n_tokens, round(avg(lt), 6) AS target_loss, round(avg(lb), 6) AS background_loss, round(avg(lt) - avg(lb), 6) AS score
+FROM pairs JOIN loss USING (v, w) GROUP BY doc_id
+""",
+    "op9_line_dedup": r"""
+WITH t AS (
+  SELECT doc_id, text, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS lead,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ps FROM documents
+),
+places AS (SELECT doc_id, lead, unnest(range(len(ps))) AS k, ps FROM t),
+toks AS (
+  SELECT doc_id, k, ps[k + 1] AS p, regexp_extract(ps[k + 1], '^[^\x20\x09-\x0D]+') AS w,
+    CASE WHEN k = 0 THEN contains(lead, chr(10)) ELSE contains(ps[k], chr(10)) OR regexp_matches(ps[k], '[.!?][\x20\x09-\x0D]+$') END AS opens FROM places
+),
+ws AS (SELECT doc_id, list(w ORDER BY k) AS ws FROM toks GROUP BY doc_id),
+spots AS (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 29, 0))) AS i FROM ws),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i + 1, i + 30), ' ') AS g FROM spots),
+firsts AS (SELECT g, min(doc_id) AS least FROM win GROUP BY g),
+own AS (SELECT doc_id, g, min(i) AS i0 FROM win GROUP BY doc_id, g),
+dead AS (SELECT win.doc_id, win.i FROM win JOIN firsts USING (g) JOIN own USING (doc_id, g) WHERE win.doc_id > least OR win.i >= i0 + 30),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 30)) AS k FROM dead),
+marked AS (
+  SELECT toks.*, g.k IS NOT NULL AS gone, sum(opens::INT) OVER (PARTITION BY toks.doc_id ORDER BY toks.k) AS line FROM toks LEFT JOIN gone g ON toks.doc_id = g.doc_id AND toks.k = g.k
+),
+lines AS (SELECT doc_id, line, bool_and(gone) AS whole FROM marked GROUP BY ALL),
+lost AS (SELECT doc_id, count(*) FILTER (whole) AS n_deleted FROM lines GROUP BY doc_id),
+docs AS (
+  SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE p END, '' ORDER BY k) AS rest, count(*) AS n_words, count(*) FILTER (gone) AS words_deleted, count(*) FILTER (opens) AS n_open
+  FROM marked GROUP BY doc_id
+)
+SELECT t.doc_id, CASE WHEN text IS NOT NULL THEN lead || coalesce(rest, '') END AS text, (length(coalesce(text, '')) > 0)::BIGINT + coalesce(n_open, 0) AS n_lines,
+  coalesce(n_deleted, 0) AS n_deleted, coalesce(n_words, 0) AS n_words, coalesce(words_deleted, 0) AS words_deleted
+FROM t LEFT JOIN docs USING (doc_id) LEFT JOIN lost USING (doc_id)
 """,
 }

@@ -176,3 +176,39 @@ def test_simhash_edges(spark):
     by = {r.doc_id: r.component_id for r in got}
     assert by[0] == by[1] == by[2] == 0 and by[5] == by[6] == 5 and by[None] == 3
     assert simhash.near_duplicates(rows(spark, [])).count() == 0
+
+
+def test_simhash_links_through_a_document_without_an_id(spark, monkeypatch):
+    """A chain whose middle has no id joins its ends; a group without any id has no component."""
+    frame = spark.createDataFrame([(5, 0), (None, 0b1111), (9, 0b11111111), (None, 1 << 40 | 0xFFFF0000), (None, 1 << 41 | 0xFFFF0000)], "doc_id long, f0 long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: frame)
+    got = {(r.doc_id, r.fingerprint[-4:]): r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert got == {(5, "0000"): 5, (None, "000f"): 5, (9, "00ff"): 5, (None, "0000"): None}
+
+
+def test_components_of_hubs_and_chains(spark):
+    links = [(i, 7) for i in range(1000, 4000)] + [(i, i + 1) for i in range(5000, 5150)] + [(5075, 2000), (9000, 9001), (9000, 9001), (4, 4), (None, 3)]
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(links, "u long, v long").repartition(8)).collect()}
+    want = dict.fromkeys([7, *range(1000, 4000), *range(5000, 5151)], 7) | {9000: 9000, 9001: 9000}
+    assert got == want
+
+
+def test_wide_fingerprints(spark):
+    docs = [(0, "a b c d e f g h"), (1, ""), (None, "a b"), (2, "a b c d e f g h")]
+    got = simhash.near_duplicates(rows(spark, docs), k=5, max_bits=simhash.bits_at(0.8, 256), words=4).collect()
+    assert {(r.doc_id, r.fingerprint) for r in got} == {(d, "".join(f"{x:016x}" for x in wide_print(t))) for d, t in docs}
+    by = {r.doc_id: r.component_id for r in got}
+    assert by[0] == by[2] == 0 and by[1] == 1 and by[None] is None
+
+
+def test_automaton_is_small():
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(str(i), [b"w%d" % rng.randint(0, 20_000) for _ in range(100)]) for i in range(1000)]
+    tracemalloc.start()
+    index = decontamination.ItemAutomaton(items, 10)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(index.to) > 100_000 and size < 300 * 100_000

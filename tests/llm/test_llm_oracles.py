@@ -9,7 +9,7 @@ from foliospark.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df, got = QUERIES[name](spark, sf_dir), c.execute(ORACLES[name])
     names = [d[0] for d in got.description]

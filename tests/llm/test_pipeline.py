@@ -4,13 +4,15 @@ import os
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_dedup_decontamination import component_brute, contamination_brute, print_brute
-from test_scans import line_brute
+from test_dedup_decontamination import component_brute_wide, contamination_brute, wide_print
+from test_scans import run_brute
 from test_token_outputs import check_pieces
 
 import corpus_pipeline as cp
+from foliospark.llm import simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,12 +45,8 @@ def test_language_stage(kept):
 
 def test_line_stage(kept):
     before = texts(kept[1])
-    want = {}
-    for d, text, n_lines, n_deleted in line_brute(before, 30):
-        words = len(dict(before)[d].split())
-        if words - len(text.split()) <= 0.5 * words:
-            want[d] = text
-    assert dict(texts(kept[2])) == want
+    want = {d: text for d, text, n, gone, *_ in run_brute(before, 30) if not n or gone < n}
+    assert {d: " ".join(t.split()) for d, t in texts(kept[2])} == want
     assert len(want) < len(before)
 
 
@@ -62,8 +60,36 @@ def test_line_stage_keeps_what_is_not_repeated(spark, sf_dir):
 
 def test_near_stage(kept):
     before = texts(kept[2])
-    groups = component_brute([(d, print_brute(t)) for d, t in before])
-    assert dict(texts(kept[3])) == {d: t for d, t in before if groups[d] == d}
+    limit = simhash.bits_at(0.8, 256)
+    fps = {d: wide_print(t) for d, t in before}
+    groups = component_brute_wide(fps, limit)
+    after = dict(texts(kept[3]))
+    assert after == {d: t for d, t in before if d in after}
+    # whoever goes has a near copy before it, and nearly all who have one go
+    assert all(d in after for d in fps if groups[d] == d)
+    rest = [d for d in fps if groups[d] != d]
+    assert sum(d not in after for d in rest) >= 0.95 * len(rest)
+
+
+def test_near_stage_takes_what_is_similar(spark, sf_dir):
+    """Documents with some words changed, at known five-word Jaccard similarities."""
+    rng = np.random.default_rng(3)
+    rows, similar = [], {}
+    for g in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        rows.append((1000 * g, " ".join(words)))
+        for i, changes in enumerate((1, 4, 6, 60), 1):
+            w = list(words)
+            for at in rng.choice(400, changes, replace=False):
+                w[at] = f"v{rng.integers(0, 5000)}"
+            rows.append((1000 * g + i, " ".join(w)))
+            a, b = ({tuple(x[j : j + 5]) for j in range(396)} for x in (words, w))
+            similar[1000 * g + i] = len(a & b) / len(a | b)
+    df = spark.createDataFrame([(d, t, "en", "s", len(t), "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    got = dict(texts(cp.dedup_near(spark, df, sf_dir)))
+    close, far = [d for d, j in similar.items() if j >= 0.85], [d for d, j in similar.items() if j < 0.5]
+    assert len(close) > 80 and sum(d not in got for d in close) >= 0.97 * len(close)
+    assert len(far) == 60 and all(d in got for d in far) and all(1000 * g in got for g in range(60))
 
 
 def test_decontamination_stage(spark, sf_dir, kept):
@@ -99,6 +125,29 @@ def test_stages_on_edges(spark, sf_dir, tmp_path):
         assert df.where(F.col("offset") < 0).count() == 0
 
 
+def test_stages_with_clashing_columns(spark, sf_dir):
+    """Columns with the names of an operator's results pass all stages but the last unchanged."""
+    names = ["lang_pred", "score", "n_words", "words_deleted", "spans", "item_ids", "row", "rest", "component_id", "key"]
+    rows = [(i, f"Some words of text number {i} stand here. " * (1 + i % 3), "en", *[f"{c}{i}" for c in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in names))
+    for _, stage in cp.STAGES[:-1]:
+        df = stage(spark, df, sf_dir)
+        assert df.columns == ["doc_id", "text", "lang", *names]
+        got = df.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+    assert cp.STAGES[-1][1](spark, df, sf_dir).count() == len(got)
+
+
+def test_library_works_with_a_broken_subpackage(tmp_path):
+    """A leftover folder, or a package that a dependency of the subpackage is missing from, does not take the library along."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
+    for name, spoil in (("empty", "rm -r foliospark/llm && mkdir foliospark/llm"), ("missing", "echo raise ImportError > xxhash.py")):
+        os.mkdir(tmp_path / name)
+        subprocess.run(f"cp -r {root}/foliospark {root}/__spark_entry__.py {root}/corpus_pipeline.py . && {spoil}", shell=True, check=True, cwd=tmp_path / name)
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / name, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
 def test_library_works_without_the_subpackage(tmp_path):
     """The entry module imports and lists the library's queries where the subpackage is gone."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliospark.llm import language_id, licenses, line_dedup, lm_scoring, pii, queries
 
@@ -71,6 +72,54 @@ def test_language_id_mixture_of_all_languages(spark, sf_dir, docs):
     assert k > 3 and (language_id.mixtures(models, [mixed])[0] > 0.5 / k).all()
 
 
+def mixture_brute(models, text, price=3.0, steps=4000):
+    """Shares of the best of the nested language sets by plain EM in double precision, and the margin it wins by."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    k = len(models.languages)
+    if not any(c.isalpha() for w in words for c in w):
+        return np.zeros(k), 1e9
+    logs = np.concatenate([models.word_logs([w]) for w in words]).astype(float)
+    p = np.maximum(np.exp(logs - logs.max(axis=1, keepdims=True)), 1e-6)
+
+    def em(share):
+        for _ in range(steps):
+            each = p * share
+            share = (each / each.sum(axis=1, keepdims=True)).mean(axis=0)
+        return share, np.log((p * share).sum(axis=1)).sum()
+
+    single = np.log(p).sum(axis=0)
+    best = int(single.argmax())
+    found = [(single[best] - price, np.eye(k)[best])]
+    full, _ = em(np.full(k, 1 / k))
+    full[best] += 1
+    order = np.argsort(-full, kind="stable")
+    for m in range(2, k + 1):
+        start = np.zeros(k)
+        start[order[:m]] = 1 / m
+        share, like = em(start)
+        found.append((like - m * price - 0.5 * (m - 1) * math.log(len(words)), share))
+    found.sort(key=lambda x: -x[0])
+    return found[0][1], found[0][0] - found[1][0]
+
+
+def test_language_mixtures_equal_brute_force(spark, sf_dir, docs):
+    models = language_id.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    texts = [t for _, t, _ in docs[:60] if len(t) < 4000]
+    texts += [" ".join(a.split()[:30] + b.split()[:20]) for a, b in zip(texts, texts[7:])] + ["5 m²", "1½x", "½ ²", None, "", "12 !"]
+    got = language_id.mixtures(models, texts)
+    for text, shares in zip(texts, got):
+        want, margin = mixture_brute(models, text)
+        if margin > 0.1:  # nearer sets may be told apart either way
+            assert np.abs(shares - want).max() < 0.03, text
+    assert got[-6].any() and got[-5].any() and not got[-4:].any()
+
+
+def test_language_id_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "abc def", "x", 0.5, "m", "t")], "doc_id long, text string, lang_pred string, score double, row string, __text string")
+    got = language_id.identify(df, language_id.Models({}), df.columns).first()
+    assert (got.lang_pred, got.score, got.row, got["__text"], got.text) == ("und", 0.0, "m", "t", "abc def")
+
+
 def test_language_models_are_distributions(spark, sf_dir):
     m = language_id.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50)
     for j in range(len(m.languages)):
@@ -87,7 +136,7 @@ def word_list(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
 
 
-def license_brute(text, threshold=0.9, size=64):
+def license_brute(text, threshold=0.9):
     w = word_list(text)
     starts, base = [], set()
     for phrase, label in licenses.PHRASES.items():
@@ -97,10 +146,10 @@ def license_brute(text, threshold=0.9, size=64):
         base |= {label} if at else set()
     labels, best = set(base), 1.0 if starts else 0.0
     if w:
-        for s in range(0, max(len(w) - 1 - size // 2, 0) + 1, size // 2):
-            block = set(w[s : s + size])
-            for label, t in licenses.TEMPLATES:
-                t = set(t.split())
+        for label, t in licenses.TEMPLATES:
+            size, t = licenses.block_size(t), set(t.split())
+            for s in range(0, max(len(w) - 1 - size // 2, 0) + 1, size // 2):
+                block = set(w[s : s + size])
                 if len(t & block) >= math.ceil(threshold * len(t) - 1e-9):
                     labels.add(label)
                     best = max(best, len(t & block) / len(t))
@@ -115,6 +164,7 @@ LICENSED = [
     (14, "aunder the mit license under the mit licensed"),
     (15, "under the mit license"),
     (15, "under the mit license"),
+    *[(16 + i, "x " * (200 * i + 7) + text.replace("SOFTWARE", "PROGRAM") + " y" * 300) for i, (_, text) in enumerate(licenses.FULL_TEXTS)],
 ]
 
 
@@ -231,52 +281,6 @@ def test_lm_scoring_prefers_target_text(spark, sf_dir):
 # line dedup
 
 
-def line_brute(docs, min_words):
-    """All windows of all documents, compared by content."""
-    lines, first = {}, {}
-    for n, (d, t) in enumerate(docs):
-        raw = (t or "").encode()
-        cuts = [0, *(m.end() for m in re.finditer(rb"[.!?]+\s+|\n\s*", raw))]
-        parts = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
-        lines[n] = [p for p in parts if p]
-    spans = defaultdict(list)
-    for n, (d, _) in enumerate(docs):
-        key = float("inf") if d is None else d
-        words = [tuple(p.split()) for p in lines[n]]
-        seen = {}
-        for i in range(len(words)):
-            j, total = i, 0
-            while j < len(words) and total < min_words:
-                total += len(words[j])
-                j += 1
-            if total >= min_words:
-                w = tuple(words[i:j])
-                spans[n].append((i, j, w, w in seen))
-                seen.setdefault(w, i)
-                first[w] = min(first.get(w, float("inf")), key)
-    out = []
-    for n, (d, t) in enumerate(docs):
-        key = float("inf") if d is None else d
-        gone = {k for i, j, w, own in spans[n] if own or first[w] < key for k in range(i, j)}
-        out.append((d, None if t is None else b"".join(p for k, p in enumerate(lines[n]) if k not in gone).decode(), len(lines[n]), len(gone)))
-    return Counter(out)
-
-
-def test_line_dedup_edges(spark):
-    long = "One two three four. Five six seven eight nine! Ten eleven\ntwelve thirteen? "
-    texts = EDGE + [(7, "Own start here. " + long + "Own end."), (5, long), (6, "Five six  seven eight nine! Ten eleven\n twelve thirteen? And so."), (9, long + long + "x y z."), (None, long), (8, "Five six seven eight nine! Ten eleven")]
-    for k in (1, 3, 8, 12):
-        got = line_dedup.dedup(rows(spark, texts), k)
-        assert Counter((r.doc_id, r.text, r.n_lines, r.n_deleted) for r in got.collect()) == line_brute(texts, k), k
-    assert line_dedup.dedup(rows(spark, [])).count() == 0
-
-
-def test_line_dedup_whole(spark, sf_dir, docs):
-    got = queries.op9_line_dedup(spark, sf_dir).collect()
-    assert Counter((r.doc_id, r.text, r.n_lines, r.n_deleted) for r in got) == line_brute([d[:2] for d in docs], 30)
-    assert any(r.n_deleted for r in got)
-
-
 def run_brute(docs, min_words):
     """Every run of words that an earlier document has, or that stood before in its own, by content."""
     least, out = {}, []
@@ -293,12 +297,18 @@ def run_brute(docs, min_words):
             if least[g] < key(d) or i >= seen.setdefault(g, i) + min_words:
                 gone |= set(range(i, i + min_words))
         left = [x.decode() for i, x in enumerate(w) if i not in gone]
-        out.append((d, " ".join(left), len(w), len(gone)))
+        raw, at, deleted = (t or "").encode(), 0, 0
+        cuts = [0, *(m.end() for m in re.finditer(rb"[.!?]+\s+|\n\s*", raw))]
+        lines = [p.split() for p in (raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])) if p]
+        for p in lines:
+            deleted += bool(p) and gone.issuperset(range(at, at + len(p)))
+            at += len(p)
+        out.append((d, " ".join(left), len(w), len(gone), len(lines), deleted))
     return Counter(out)
 
 
 def run_rows(got):
-    return Counter((r.doc_id, " ".join(x.decode() for x in (r.text or "").encode().split()), r.n_words, r.words_deleted) for r in got.collect())
+    return Counter((r.doc_id, " ".join(x.decode() for x in (r.text or "").encode().split()), r.n_words, r.words_deleted, r.n_lines, r.n_deleted) for r in got.collect())
 
 
 def test_line_dedup_deletes_whole_runs(spark):
@@ -313,6 +323,25 @@ def test_line_dedup_deletes_whole_runs(spark):
     assert got[2] == "Mine here. Other end." and got[4] == "odd start odd end"
 
 
+def test_line_dedup_without_ids_and_with_clashes(spark):
+    """Copies without an id: one stays.  Columns keep their values whatever their names."""
+    run = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(None, run, "a", 1), (None, run, "b", 2), (7, "own words " + run, "c", 3), (8, None, "d", 4)], "doc_id long, text string, row string, key long")
+    got = sorted(((r.row, r.key, r.text, r.words_deleted) for r in line_dedup.dedup(df).collect()), key=str)
+    assert [(r, k) for r, k, _, _ in got] == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+    assert [t for *_, t, _ in got[:2]] == ["", ""] and got[2][2] == "own words " + run and got[3][2] is None
+    alone = line_dedup.dedup(df.where("doc_id is null")).collect()
+    assert sorted(r.text for r in alone) == ["", run]
+
+
+def test_line_dedup_common_line(spark):
+    """A passage that all documents share stays in the first alone."""
+    common = " ".join(f"c{i}" for i in range(45))
+    rows_ = [(i, f"start{i} here. {common} end{i}") for i in range(3000)]
+    got = line_dedup.dedup(spark.createDataFrame(rows_, "doc_id long, text string").repartition(16))
+    assert got.agg(F.sum("words_deleted"), F.min("words_deleted")).first() == (2999 * 45, 0)
+
+
 def test_line_dedup_whole_runs_of_all(spark, sf_dir, docs):
     assert run_rows(queries.op9_line_dedup(spark, sf_dir)) == run_brute([d[:2] for d in docs], 30)
 
@@ -388,6 +417,68 @@ def test_pii_disguised_spans_are_whole(text, sources):
     assert [text[a:b] for a, k, b in pii.find(text)[1] if k == "email"] == sources
 
 
+class EachCharacter:
+    """As Rewritten, with the source range of every single character."""
+
+    def __init__(self, text):
+        self.text, self.of = text, [(i, i + 1) for i in range(len(text))]
+
+    def replace(self, edits):
+        text, of, at = [], [], 0
+        for a, b, new in edits:
+            text += [*self.text[at:a], *new]
+            of += self.of[at:a] + [(self.of[a][0], self.of[b - 1][1])] * len(new)
+            at = b
+        self.text, self.of = "".join([*text, *self.text[at:]]), of + self.of[at:]
+
+    def source(self, a, b):
+        return self.of[a][0], self.of[b - 1][1]
+
+
+def spans_brute(text):
+    base = pii.detect(text or "")
+    real, pii.Rewritten = pii.Rewritten, EachCharacter
+    try:
+        plain = pii.deobfuscate(text or "")
+    finally:
+        pii.Rewritten = real
+    found = [] if plain is None else [(*plain.source(a, b), k) for a, k, b in pii.detect(plain.text)]
+    more = {(a, k, b) for a, b, k in found if not any(x <= a and b <= y and j == k for x, j, y in base)}
+    return sorted({*base, *more}, key=lambda s: (s[0], pii.KINDS.index(s[1]), s[2]))
+
+
+PIECES = ["jane", "doe", " at ", " dot ", "[at]", "(dot)", "@", ".", "example", "org", " ", "one ", "two ", "four ", "plus ", "4111", "1111", "‑", "а", "＠", "\u200b", "10", "192", "+49", "x"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join))
+def test_pii_spans_equal_brute_force(text):
+    assert pii.find(text)[1] == spans_brute(text)
+
+
+def test_pii_spans_whole(spark, sf_dir, docs):
+    got = {r.doc_id: r.spans for r in queries.op10_pii(spark, sf_dir).collect()}
+    assert got == {d: pii._joined(spans_brute(t)) for d, t, _ in docs}
+
+
+def test_pii_is_linear():
+    import time
+
+    def took(n):
+        text = "  ".join(f"joe{i}@example{i}.com" for i in range(n)) + " jаne"
+        began = time.process_time()
+        assert len(pii.find(text)[1]) == n
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 40 * max(took(2000), 0.005)
+
+
+def test_pii_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.co", 9, "x")], "doc_id long, text string, n_email long, spans string")
+    assert tuple(pii.scan(df).select("n_email", "spans").first()) == (1, "email:0:6")
+
+
 def test_pii_edges(spark):
     texts = EDGE + [(20, "a.b@c-d.com and +49 (170) 1234567, 1.2.3.4, 300.1.1.1, 4111 1111 1111 1111"), (21, "9" * 30_000 + "." + "0" * 5000 + "1.1.1"), (22, "one " * 20_000)]
     got = pii.scan(rows(spark, texts)).collect()

@@ -131,12 +131,36 @@ def file_rows(docs):
 def test_token_files_edges(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for size in (64 << 20, 20_000):
-        got = token_files.read_token_files(*token_files.write_token_files(spark.createDataFrame([(*r, "p", "i") for r in EDGE], DOCS), path, file_bytes=size))
+        got = token_files.read_token_files(spark, token_files.write_token_files(spark.createDataFrame([(*r, "p", "i") for r in EDGE], DOCS), path, file_bytes=size))
         assert sorted(map(tuple, got.collect()), key=str) == file_rows(EDGE)
-    empty = token_files.read_token_files(*token_files.write_token_files(spark.createDataFrame([], DOCS), path))
+    empty = token_files.read_token_files(spark, token_files.write_token_files(spark.createDataFrame([], DOCS), path))
     assert empty.count() == 0
 
 
 def test_token_files_whole(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op6_token_files(spark, sf_dir).collect()), key=str) == file_rows(docs)
+
+
+def test_token_files_of_one_id(spark):
+    """Equal rows of one doc_id spread over files; each keeps a place of its own."""
+    df = spark.createDataFrame([(7, "some words of a text")] * 400 + [(None, "x")] * 50 + [(1, "y")], "doc_id long, text string").repartition(4)
+    path = token_files.write_token_files(df, public_tokenizers.path("byte_bpe_50k.json"), file_bytes=500)
+    files = spark.read.parquet(f"{path}/segments").select("file_no").distinct().count()
+    got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert files > 4 and [r.doc_id for r in got] == [None] * 50 + [1] + [7] * 400
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_packing_of_equal_rows_and_gaps(spark):
+    """Equal rows spread over partitions, and rows of groups that meet their bound say so."""
+    rows = [(1, 0, 0, 2000, 5)] * 4000 + [(2, 0, 0, 96, 6)] * 2000
+    got = packing.pack_pieces(spark.createDataFrame(rows, packing.PIECES), 4096, per_partition=600).collect()
+    assert len(got) == 6000 and len({r.sequence_id >> 20 for r in got}) >= 10
+    fill = defaultdict(int)
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 4096 and len(fill) <= 2000 * 1.05 and all(r.n_bins >= r.bound for r in got)
