@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged
+from .common import arrow_map, release_memory, staged
 from .components import components
 
 SEED = 42
@@ -179,7 +179,7 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _cell_links(fp: np.ndarray, doc: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Stars over the links between the homes of a cell and all that are in it."""
     h, out_a, out_b = np.flatnonzero(home), [], []
-    step = max(1, 2_000_000 // max(1, len(fp)))
+    step = max(1, 2_000_000 // max(1, fp.size))
     for i in range(0, len(h), step):
         part = h[i : i + step]
         x, y = np.nonzero(_near(fp[part][:, None], fp[None, :], max_bits))
@@ -195,7 +195,7 @@ def _many_cells(cell: np.ndarray, fp: np.ndarray, doc: np.ndarray, home: np.ndar
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(cell)])))
     n_home = np.add.reduceat(home.astype(np.int64), starts)
-    big = sizes * n_home > 1_000_000
+    big = sizes * n_home > 1_000_000 // fp.shape[1]
     for s, n in zip(starts[big], sizes[big]):
         yield _cell_links(fp[s : s + n], doc[s : s + n], home[s : s + n], max_bits)
     of_row = np.repeat(np.arange(len(starts)), sizes)
@@ -203,7 +203,8 @@ def _many_cells(cell: np.ndarray, fp: np.ndarray, doc: np.ndarray, home: np.ndar
     if not len(h):
         return
     work = np.cumsum(sizes[of_row[h]])
-    for part in np.split(h, np.searchsorted(work, np.arange(4_000_000, int(work[-1]) + 1, 4_000_000))):
+    most = 4_000_000 // fp.shape[1] ** 2  # pairs at once
+    for part in np.split(h, np.searchsorted(work, np.arange(most, int(work[-1]) + 1, most))):
         if not len(part):
             continue
         n = sizes[of_row[part]]
@@ -264,6 +265,7 @@ def links(distinct: DataFrame, max_bits: int = 4, cell_rows: int = 20_000, words
                 held, rows = [[c[cut:] for c in cols]], rows - cut
         if rows:
             yield from flush([np.concatenate(x) for x in zip(*held)])
+        release_memory()
 
     return ready.mapInArrow(compare, "u long, v long")
 
