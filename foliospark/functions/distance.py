@@ -79,6 +79,18 @@ def weighted_levenshtein(a: Column, b: Column, costs: Column) -> Column:
     return F.element_at(F.aggregate(x, first, row), -1)
 
 
+def weighted_tenths(a: str, b: str, costs: dict[tuple[str, str], int]) -> int:
+    """weighted_levenshtein of two strings, for code that runs in Python."""
+    a, b = a.lower(), b.lower()
+    prev = [10 * j for j in range(len(b) + 1)]
+    for c in a:
+        row = [prev[0] + 10]
+        for j, d in enumerate(b):
+            row.append(min(row[-1] + 10, prev[j + 1] + 10, prev[j] + (0 if c == d else costs.get((c, d), 10))))
+        prev = row
+    return prev[-1]
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 for different lengths, empty arrays and zero norms."""
     zero = F.lit(0.0)

@@ -441,3 +441,13 @@ def test_sidecar_and_validation(spark, tmp_path):
     assert tuple(tx.searchability(pages).first()) == (0, 2, 1, 2, 0.5)
     expected = spark.createDataFrame([(0, 3)], "doc_id long, n_pages long")
     assert not tx.searchability(pages, expected).first().complete
+
+
+def test_protected_match_expands_no_keys_into_rows(spark):
+    """Rows that the join of a page's words with its names shuffles follow the words, not the keys under which they meet."""
+    page = "doc_id long, page_idx int, "
+    cores = [(d, 0, f"wort{k}") for d in range(20) for k in range(50)]
+    got = co.protected_match(spark.createDataFrame(cores, page + "core string"), spark.createDataFrame([(d, 0, "Wort7") for d in range(20)], page + "name string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted({(r.core, r.name, r.exact) for r in got.collect()}) == sorted([("wort" + str(k), "Wort7", False) for k in range(50) if edit_brute(f"wort{k}", "Wort7", {a + b: c for a, b, c in distance.confusion_pairs()}) == 10])
