@@ -1,4 +1,5 @@
 import os
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -21,3 +22,21 @@ def test_staged_tables_come_and_go(spark):
     root = os.path.dirname(other.staged_at)
     storage.remove_staged(spark)
     assert not os.path.exists(root)
+
+
+def test_release_frees_the_shuffle_files_of_steps_done(spark):
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before = shuffled()
+    storage.staged(spark.range(5000).selectExpr("id % 7 AS k").groupBy("k").count(), "counted")
+    made = shuffled() - before
+    assert made
+    storage.release(spark)
+    for _ in range(50):
+        if not made & shuffled():
+            break
+        time.sleep(0.1)
+    assert not made & shuffled()

@@ -451,3 +451,22 @@ def test_protected_match_expands_no_keys_into_rows(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert sorted({(r.core, r.name, r.exact) for r in got.collect()}) == sorted([("wort" + str(k), "Wort7", False) for k in range(50) if edit_brute(f"wort{k}", "Wort7", {a + b: c for a, b, c in distance.confusion_pairs()}) == 10])
+
+
+def test_lines_are_shuffled_once_on_the_way_to_reading_order(spark):
+    """The lines and the gutters' spans, each by page; no line is shuffled again to meet its paragraph."""
+    page = [line(i, 0.1, 0.9, 0.95 - i * 0.02) for i in range(20)]
+    plan = layout.reading_order(layout.line_roles(lines(spark, page)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_a_small_word_list_is_not_shuffled_to(spark):
+    lex = spark.createDataFrame([("en", "tin", 9), ("en", "line", 9)], "lang string, word_lower string, freq long")
+    cores = spark.createDataFrame([("en", "lin"), ("en", "iine"), ("en", "zzzz"), ("de", "lin")], "lang string, core string")
+    near = lx.at_hand(lex)
+    assert "SortMergeJoin" not in lx.valid(cores, near, "core")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.core for r in co._alike(cores, near).collect()) == ["iine", "lin"]
+    few = TUNING.__class__(lexicon_at_hand=1)
+    assert lx.at_hand(lex, few) is lex
+    want = sorted(map(tuple, co.optical_candidates(cores, lex).collect()))
+    assert want == sorted(map(tuple, co.optical_candidates(cores, near).collect())) == [("en", "iine", "line"), ("en", "lin", "tin")]
