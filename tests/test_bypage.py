@@ -64,7 +64,7 @@ def test_word_lists_that_are_too_long_are_not_sent(pages):
     assert bypage.packed(pages[1], TUNING.__class__(lexicon_in_pages=10)) is None
 
 
-@pytest.mark.parametrize("name", ["corrected_pages"])
+@pytest.mark.parametrize("name", ["corrected_pages", "corrected_words"])
 def test_corrected_queries_shuffle_documents_only(spark, name):
     """Neither lines nor tokens are shuffled, which took more room than the disk has."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
